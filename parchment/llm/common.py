@@ -56,3 +56,8 @@ def unit_interval(hashed: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts stay small: a batch is what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, multiset_hash
+from . import decontamination, licenses, mixing, multiset_hash, secrets
 from .common import table
 
 
@@ -12,12 +12,27 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_document(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_benchmark_leaks": op5_benchmark_leaks,
+    "op6_license_spans": op6_license_spans,
+    "op9_secret_spans": op9_secret_spans,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
 }
 
