@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, multiset_hash, secrets
+from . import decontamination, licenses, mixing, multiset_hash, secrets, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_document(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +34,7 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_simhash_components": op3_simhash_components,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_license_spans": op6_license_spans,
     "op9_secret_spans": op9_secret_spans,
