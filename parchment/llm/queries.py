@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, multiset_hash, secrets, simhash
+from . import decontamination, language, licenses, mixing, multiset_hash, quality, secrets, simhash
 from .common import table
 
 
@@ -12,10 +12,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_document(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +42,9 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_quality_scores": op2_quality_scores,
     "op3_simhash_components": op3_simhash_components,
+    "op4_languages": op4_languages,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_license_spans": op6_license_spans,
     "op9_secret_spans": op9_secret_spans,
