@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, licenses, mixing, multiset_hash, quality, secrets, simhash
+from . import decontamination, language, licenses, mixing, multiset_hash, quality, secrets, simhash, substring_dedup
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,30 @@ QUERIES = {
     "op4_languages": op4_languages,
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_license_spans": op6_license_spans,
+    "op7_repeated_passages": op7_repeated_passages,
     "op9_secret_spans": op9_secret_spans,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS key
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS least FROM windows) WHERE least < doc_id
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), marked AS (
+  SELECT words.doc_id, words.i, word,
+    max(repeated.i) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN repeated ON words.doc_id = repeated.doc_id AND words.i = repeated.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS rest FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+ORACLE_SQL = {"op7_repeated_passages": OP7_SQL}
