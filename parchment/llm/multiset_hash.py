@@ -6,9 +6,9 @@ document's fingerprint is the sum of its pieces' vectors modulo powers of two.
 So the order of pieces doesn't matter, and a piece is inserted or deleted by
 adding or subtracting its vector (combine()).
 
-The vector has two parts. EXACT lanes hold 32-bit halves of 64-bit hashes,
-summed modulo 2**32: they tell bags apart. SKETCH lanes hold +1 or -1, summed
-modulo 2**16: the cosine of two sums estimates the cosine of the two bags.
+The vector has two parts. Exact lanes hold 32-bit halves of 64-bit hashes,
+summed modulo 2**32: they tell bags apart. Sketch lanes hold plus or minus the piece's
+weight, summed modulo 2**16: the cosine of two sums estimates the cosine of the two bags.
 
 Only DataFrame and SQL expressions; two lanes of ones are counted in one long.
 """
@@ -29,20 +29,24 @@ LANES = 64 * len(SEEDS)
 
 
 def _sums(piece: Column) -> list[Column]:
-    """Aggregates of the pieces of a group; an empty piece adds nothing."""
-    there = piece != ""
+    """Aggregates of the pieces of a group; an empty piece adds nothing.
+
+    A piece's sketch is scaled by its length in eights, 8 at most, so that short pieces
+    that repeat often don't drown the others.
+    """
+    weight = F.least(F.lit(8), F.expr("(length(piece) + 7) div 8"))
     hashed = lambda seed: F.xxhash64(F.lit(seed), piece)
     ones = [
-        F.sum(F.when(there, F.shiftrightunsigned(hashed(seed), i).bitwiseAND(F.lit(PAIR))).otherwise(0)).alias(f"s{seed}_{i}")
+        F.sum(F.shiftrightunsigned(hashed(seed), i).bitwiseAND(F.lit(PAIR)) * weight).alias(f"s{seed}_{i}")
         for seed in SEEDS
         for i in range(32)
     ]
     exact = [
-        F.sum(F.when(there, part).otherwise(0)).alias(f"e{seed}_{k}")
+        F.sum(F.when(piece != "", part).otherwise(0)).alias(f"e{seed}_{k}")
         for seed in EXACT_SEEDS
         for k, part in enumerate((hashed(seed).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed(seed), 32)))
     ]
-    return [F.sum(F.when(there, 1).otherwise(0)).alias("n_pieces"), *ones, *exact]
+    return [F.sum(weight).alias("weight"), *ones, *exact]
 
 
 def _vector() -> tuple[Column, Column]:
@@ -53,7 +57,7 @@ def _vector() -> tuple[Column, Column]:
         for i in range(32)
         for half in (F.col(f"s{seed}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"s{seed}_{i}"), 32))
     ]
-    centred = [F.pmod(2 * x - F.col("n_pieces") + 32768, F.lit(65536)) - 32768 for x in lanes]
+    centred = [F.pmod(2 * x - F.col("weight") + 32768, F.lit(65536)) - 32768 for x in lanes]
     exact = [F.col(f"e{seed}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for seed in EXACT_SEEDS for k in (0, 1)]
     return F.array(*exact), F.array(*[x.cast("int") for x in centred])
 
