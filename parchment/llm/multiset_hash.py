@@ -1,7 +1,7 @@
 """Homomorphic multiset hashes of documents.
 
-A text is a bag of paragraphs; long paragraphs are cut further at the white
-space behind punctuation. Every piece is hashed to a wide vector, and a
+A text is a bag of paragraphs; long paragraphs are cut further behind
+punctuation and after eight words. Every piece is hashed to a wide vector, and a
 document's fingerprint is the sum of its pieces' vectors modulo powers of two.
 So the order of pieces doesn't matter, and a piece is inserted or deleted by
 adding or subtracting its vector (combine()).
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Where pieces end: line ends, and white space behind a punctuation mark or symbol.
-PIECE = r"[\r\n]+|(?<=[^\p{L}\p{N}\s])\s+"
+#: A piece: up to eight words of a line; a word that ends in punctuation or a symbol is its last.
+PIECE = r"(?:[^\s]*[\p{L}\p{N}][ \t]+){0,7}[^\s]+"
 SEEDS = (101, 102)  # 64 sketch lanes each
 EXACT_SEEDS = (201, 202)  # two exact lanes each
 PAIR = 0x0000000100000001
@@ -64,7 +64,7 @@ def _vector() -> tuple[Column, Column]:
 
 def bag_hashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, exact, sketch of every row of df; rows with equal keys are summed together."""
-    pieces = df.select(*keys, F.explode(F.split(F.coalesce(text, F.lit("")), PIECE)).alias("piece"))
+    pieces = df.select(*keys, F.explode_outer(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))).alias("piece")).fillna("", ["piece"])
     exact, sketch = _vector()
     return pieces.groupBy(*keys).agg(*_sums(F.col("piece"))).select(*keys, exact.alias("exact"), sketch.alias("sketch"))
 
