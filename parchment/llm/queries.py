@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, licenses, mixing, multiset_hash, quality, secrets, simhash, substring_dedup
+from . import decontamination, html_text, language, licenses, mixing, multiset_hash, quality, secrets, simhash, substring_dedup
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_benchmark_leaks": op5_benchmark_leaks,
     "op6_license_spans": op6_license_spans,
     "op7_repeated_passages": op7_repeated_passages,
+    "op8_page_texts": op8_page_texts,
     "op9_secret_spans": op9_secret_spans,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
 }
