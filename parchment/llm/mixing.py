@@ -26,12 +26,13 @@ CELL = 4096
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size of every row. The table is written, so row stays as it is."""
+    """row, doc_id, source, th (hash of the text), size of every row. The table is written, so row stays as it is."""
     return materialize(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             "source",
+            F.xxhash64("text").alias("th"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         ),
         "mix-sizes",
@@ -219,3 +220,19 @@ def mix_by_document(docs: DataFrame, **options) -> DataFrame:
         .join(named, F.col("source").eqNullSafe(F.col("of")))
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"), F.coalesce("s", F.lit(0)).alias("n_shards"))
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, with `taken` (words of it in the mix, repeats counted), without what the mix leaves out.
+
+    Cases are as mix() defines them; rows with one doc_id and text become one, and take what they took together.
+    """
+    draws, sizes, _ = mix(docs, **options)
+    taken = (
+        draws.groupBy(F.col("row").alias("t_row")).agg(F.sum("words").alias("t"))
+        .join(sizes, F.col("t_row") == F.col("row"))
+        .groupBy(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th")).agg(F.sum("t").cast("long").alias("taken"))
+    )
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("__th") == F.col("t_th")))
+    return joined.dropDuplicates(["doc_id", "__th"]).drop("__th", "t_id", "t_th")
