@@ -59,7 +59,7 @@ def _vector() -> tuple[Column, Column]:
     ]
     centred = [F.pmod(2 * x - F.col("weight") + 32768, F.lit(65536)) - 32768 for x in lanes]
     exact = [F.col(f"e{seed}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for seed in EXACT_SEEDS for k in (0, 1)]
-    return F.array(*exact), F.array(*[x.cast("int") for x in centred])
+    return F.array(*exact), F.array(*[x.cast("smallint") for x in centred])
 
 
 def bag_hashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -73,7 +73,7 @@ def combine(a: Column, b: Column, bits: int, sign: int = 1) -> Column:
     """Lane by lane a + b (or a - b) modulo 2**bits: insertion, or deletion, of a bag."""
     wide = F.lit(1 << bits)
     total = F.zip_with(a, b, lambda x, y: F.pmod(x.cast("long") + sign * y.cast("long") + (wide / 2 if bits == 16 else 0), wide).cast("long"))
-    return F.transform(total, lambda x: (x - 32768).cast("int")) if bits == 16 else total
+    return F.transform(total, lambda x: (x - 32768).cast("smallint")) if bits == 16 else total
 
 
 def as_text(exact: Column, sketch: Column) -> Column:
@@ -93,14 +93,13 @@ def likeness(exact_a: Column, a: Column, exact_b: Column, b: Column) -> Column:
     return F.when((exact_a == exact_b) & (a == b), 1.0).otherwise(cosine)
 
 
+NO_ID = -(1 << 63)  # stands for a null doc_id
+
+
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """k, copy and more columns. k is doc_id with a stand-in for null, copy numbers rows of one doc_id by hash of text."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").alias("id"),
-        F.xxhash64(text).alias("h"), F.length(text).alias("n"), *more,
-    )
-    return base.withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("h", "n")))
+    """k, h, copy and more columns. k is doc_id with a stand-in for null, h a hash of the text; copy numbers rows of one doc_id by h."""
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *more)
+    return base.withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("h")))
 
 
 def successors(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -112,7 +111,7 @@ def successors(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = materialize(
-        _keyed(docs).select("k", "copy", "n").repartitionByRange(ranges, "k", "copy").withColumn("part", F.spark_partition_id()),
+        _keyed(docs, F.length(F.coalesce("text", F.lit(""))).alias("n")).select("k", "copy", "n").repartitionByRange(ranges, "k", "copy").withColumn("part", F.spark_partition_id()),
         "bag-ids",
     )
     firsts = ids.groupBy("part").agg(F.min(F.struct("k", "copy")).alias("first"))
@@ -142,42 +141,43 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     other by hash of text; a table of one row is its own successor; an empty
     table gives no rows; columns beyond doc_id and text are not read.
 
-    Texts cross the network once, dealt by doc_id; only the heads that
+    Texts cross the network once, dealt by doc_id: both joins below ask for the
+    same columns of `texts`, so they read one exchange. Only the heads that
     neighbours need, and the vectors, move again.
     """
     texts = _keyed(docs, F.coalesce("text", F.lit("")).alias("text"))
-    nexts = materialize(successors(docs), "bag-next")
-
-    wanted = nexts.select(F.col("next_k").alias("w_k"), F.col("next_copy").alias("w_copy"), F.col("k").alias("to_k"), F.col("copy").alias("to_copy"), "q")
+    wanted = successors(docs).select(F.col("next_k").alias("w_k"), F.col("next_copy").alias("w_copy"), F.col("k").alias("to_k"), F.col("copy").alias("to_copy"), "q")
     # the difference keeps `copy` out of the join's key, so that texts stay where they are
     heads = texts.join(wanted, (F.col("k") == F.col("w_k")) & (F.col("copy") - F.col("w_copy") == 0)).select(
-        "to_k", "to_copy", F.col("q").alias("h_q"), F.substring("text", F.lit(1), F.col("q").cast("int")).alias("head")
+        "to_k", "to_copy", F.col("k").alias("next_k"), F.col("copy").alias("next_copy"),
+        F.col("q").alias("h_q"), F.substring("text", F.lit(1), F.col("q").cast("int")).alias("head"),
     )
-    pairs = texts.join(heads, (F.col("k") == F.col("to_k")) & (F.col("copy") - F.col("to_copy") == 0)).select(
-        "k", "copy", "id", "n", "text",
-        F.concat(F.substring("text", F.lit(1), (F.col("n") - F.col("h_q")).cast("int")), "head").alias("edited"),
-    )
-    both = pairs.select(
-        "k", "copy", "id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"),
-    ).select("k", "copy", "id", "n", "sha", F.col("v.kind").alias("kind"), F.col("v.t").alias("t"))
-    hashed = materialize(bag_hashes(both, ["k", "copy", "id", "n", "sha", "kind"], "t"), "bag-hashes")
-
-    own = hashed.where("kind = 0").drop("kind")
-    after = hashed.where("kind = 1").select(F.col("k").alias("a_k"), F.col("copy").alias("a_copy"), F.col("exact").alias("a_exact"), F.col("sketch").alias("a_sketch"))
-    other = own.select(F.col("k").alias("o_k"), F.col("copy").alias("o_copy"), F.col("exact").alias("o_exact"), F.col("sketch").alias("o_sketch"))
-    to = nexts.select(F.col("k").alias("n_k"), F.col("copy").alias("n_copy"), "next_k", "next_copy")
-    return (
-        own.join(after, (F.col("k") == F.col("a_k")) & (F.col("copy") == F.col("a_copy")))
-        .join(to, (F.col("k") == F.col("n_k")) & (F.col("copy") == F.col("n_copy")))
-        .join(other, (F.col("next_k") == F.col("o_k")) & (F.col("next_copy") == F.col("o_copy")))
+    row = ["k", "copy", "next_k", "next_copy", "n", "sha"]
+    both = (
+        texts.join(heads, (F.col("k") == F.col("to_k")) & (F.col("copy") - F.col("to_copy") == 0))
         .select(
-            F.col("id").alias("doc_id"),
-            F.col("n").cast("long").alias("n_chars"),
-            F.col("sha").alias("edited_sha256"),
-            as_text(F.col("exact"), F.col("sketch")).alias("fingerprint"),
-            as_text(F.col("a_exact"), F.col("a_sketch")).alias("edited_fingerprint"),
-            likeness(F.col("exact"), F.col("sketch"), F.col("a_exact"), F.col("a_sketch")).alias("near_edited"),
-            likeness(F.col("exact"), F.col("sketch"), F.col("o_exact"), F.col("o_sketch")).alias("near_next"),
+            "k", "copy", "next_k", "next_copy", "text", F.length("text").alias("n"),
+            F.concat(F.substring("text", F.lit(1), (F.length("text") - F.col("h_q")).cast("int")), "head").alias("edited"),
         )
+        .withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
+        .select(*row, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v"))
+        .select(*row, F.col("v.kind").alias("kind"), F.col("v.t").alias("t"))
+    )
+    # the two vectors of a row meet where its pieces were summed
+    hashed = materialize(
+        bag_hashes(both, [*row, "kind"], "t")
+        .groupBy(*row)
+        .agg(F.array_sort(F.collect_list(F.struct("kind", "exact", "sketch"))).alias("v"))
+        .select(*row, *[F.col("v")[i][c].alias(f"{c}{i}") for i in (0, 1) for c in ("exact", "sketch")]),
+        "bag-hashes",
+    )
+    other = hashed.select(F.col("k").alias("o_k"), F.col("copy").alias("o_copy"), F.col("exact0").alias("exact2"), F.col("sketch0").alias("sketch2"))
+    return hashed.join(other, (F.col("next_k") == F.col("o_k")) & (F.col("next_copy") == F.col("o_copy"))).select(
+        F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_chars"),
+        F.col("sha").alias("edited_sha256"),
+        as_text(F.col("exact0"), F.col("sketch0")).alias("fingerprint"),
+        as_text(F.col("exact1"), F.col("sketch1")).alias("edited_fingerprint"),
+        likeness(*[F.col(c) for c in ("exact0", "sketch0", "exact1", "sketch1")]).alias("near_edited"),
+        likeness(*[F.col(c) for c in ("exact0", "sketch0", "exact2", "sketch2")]).alias("near_next"),
     )
