@@ -2,9 +2,10 @@
 
 The Burrows-Wheeler transform is kept in a wavelet matrix of packed bits with
 rank directories. A bit vector marks where neighbouring suffixes share less
-than `threshold` symbols, so a match of at least that length is mapped to the
-group of all suffixes that share its first `threshold` symbols, and the group to
-the least document there. Queries step many texts leftwards at once.
+than `threshold` symbols: it opens groups of suffixes that share their first
+`threshold` symbols. A match that long is widened to its group, which drops what
+it has beyond the threshold, and the group knows its least document. Queries
+step many texts leftwards at once.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ class FMIndex:
         self.n = n
         self.groups = Bits((~same).astype(np.uint8))  # a one opens a group
         owner = np.repeat(docs, lengths + 1)[order]
-        self.least = np.minimum.reduceat(owner, np.flatnonzero(~same)) if n else owner
+        self.opens = np.append(np.flatnonzero(~same), n)
+        self.least = np.minimum.reduceat(owner, self.opens[:-1]) if n else owner
 
     @staticmethod
     def _sort(text: np.ndarray, threshold: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,34 +118,37 @@ class FMIndex:
         c = c + self.offset
         return self.start[c] + self.matrix.rank(c, left), self.start[c] + self.matrix.rank(c, right)
 
-    def least_document(self, left: np.ndarray) -> np.ndarray:
-        """The least document with the first `threshold` symbols of the suffix at `left`."""
-        return self.least[self.groups.rank(left + 1) - 1]
-
     def stream(self, symbols: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of texts, from their ends: (text, place) of each place whose
-        match reaches the threshold and also starts in a document below docs."""
+        match reaches the threshold and also starts in a document below docs.
+
+        A symbol that the match can't take makes its right end give way by one.
+        """
         begins = np.cumsum(lengths) - lengths
-        order = np.argsort(-lengths, kind="stable")
+        place, end = lengths - 1, lengths.copy()
         left, right = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64)
         size = np.zeros(len(lengths), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in range(int(lengths.max(initial=0))):
-            live = order[: np.searchsorted(-lengths[order], -t, side="left")]
-            place = lengths[live] - 1 - t
-            c = symbols[begins[live] + place]
-            l, r = self.step(c, left[live], right[live])
+        live = np.flatnonzero(place >= 0)
+        while len(live):
+            l, r = self.step(symbols[begins[live] + place[live]], left[live], right[live])
             lost = l >= r
-            if lost.any():  # no such match: begin anew with this symbol
-                l2, r2 = self.step(c[lost], np.zeros(lost.sum(), np.int64), np.full(lost.sum(), self.n, np.int64))
-                l[lost], r[lost] = l2, r2
-                size[live[lost]] = 0
-            left[live], right[live] = l, r
+            if lost.any():
+                out = live[lost]
+                end[out] = np.where(size[out] > 0, end[out] - 1, place[out])
+                place[out], left[out], right[out], size[out] = end[out] - 1, 0, self.n, 0
+                live, l, r = live[~lost], l[~lost], r[~lost]
             size[live] += 1
             deep = size[live] >= self.threshold
             if deep.any():
-                hit = self.least_document(l[deep]) < docs[live[deep]]
-                found.append((live[deep][hit], place[deep][hit]))
+                group = self.groups.rank(l[deep] + 1) - 1
+                hit = self.least[group] < docs[live[deep]]
+                found.append((live[deep][hit], place[live[deep]][hit]))
+                l[deep], r[deep] = self.opens[group], self.opens[group + 1]
+                end[live[deep]] = place[live[deep]] + self.threshold
+            left[live], right[live] = l, r
+            place[live] -= 1
+            live = np.flatnonzero(place >= 0)
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])

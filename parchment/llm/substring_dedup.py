@@ -114,8 +114,10 @@ def _fetch(threshold: int):
                     at = np.arange(lo, lo + n)
                     one, two = (hashed.of(at, at + threshold, k).view(np.int64) for k in (0, 1))
                     rows += [(None, d, th, int(p), None, int(x), int(y)) for p, x, y in zip(at, one, two)]
-            out = pd.DataFrame(rows, columns=["shard", "d", "th", "lo", "words", "w1", "w2"])
-            yield out.astype({"shard": "Int64", "w1": "Int64", "w2": "Int64"})
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = ("Int64", "int64", "int64", "int64", object, "Int64", "Int64")  # a column of None and numbers would turn to floats
+            names = ("shard", "d", "th", "lo", "words", "w1", "w2")
+            yield pd.DataFrame({n: pd.array(list(c), dtype=k) if k == "Int64" else pd.Series(list(c), dtype=k) for n, c, k in zip(names, columns, kinds)})
 
     return found
 
