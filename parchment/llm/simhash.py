@@ -1,7 +1,7 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint is cut into two halves and each half into 16 segments; a half's
-vector of segment popcounts is a point of a grid. Flipping a bit moves a point
+A fingerprint is cut into two halves and each half into 24 segments, 8 of two
+bits and 16 of one; a half's vector of segment popcounts is a point of a grid. Flipping a bit moves a point
 by one step, so the Manhattan distance of points is a lower bound of the
 Hamming distance: fingerprints within 4 bits are within 2 steps in one half at
 least. Such points have a grid cell within one step of both, so every
@@ -9,7 +9,7 @@ fingerprint goes to its own cells and their neighbours, and meets there all it
 can link to. Pairs of a cell are verified exactly, and a cell reports a star of
 each group it finds instead of the group's pairs.
 
-A cell with more than CELL_MOST members isn't gathered. Its members go another
+A cell with more than CELL_MOST members isn't held. Its members go another
 exact way: to all values within two bits of themselves. Two fingerprints within
 4 bits share such a value, and all that share one are within 4 bits, so stars
 need no verification there.
@@ -65,18 +65,19 @@ def fingerprint(text: str = "text") -> Column:
 def cells(fp: Column) -> Column:
     """The cells of both halves: each half's point and the points one step away; null where the grid ends.
 
-    A cell is the half's number above 16 popcounts of two bits each.
+    A cell is the half's number, 16 popcounts of one bit and 8 of two bits.
     """
     out = []
     for half in (0, 1):
         x = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        point = x.bitwiseAND(F.lit(0x55555555)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x55555555))
-        here = point + F.lit(half << 32)
+        pairs = x.bitwiseAND(F.lit(0x5555)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(0x5555))
+        here = x.bitwiseAND(F.lit(0xFFFF0000)) + pairs + F.lit(half << 32)
         out.append(here)
-        for i in range(16):
-            digit = F.shiftrightunsigned(point, 2 * i).bitwiseAND(F.lit(3))
-            out.append(F.when(digit < 2, here + F.lit(1 << 2 * i)))
-            out.append(F.when(digit > 0, here - F.lit(1 << 2 * i)))
+        out += [here.bitwiseXOR(F.lit(1 << i)) for i in range(16, 32)]
+        for i in range(0, 16, 2):
+            count = F.shiftrightunsigned(pairs, i).bitwiseAND(F.lit(3))
+            out.append(F.when(count < 2, here + F.lit(1 << i)))
+            out.append(F.when(count > 0, here - F.lit(1 << i)))
     return F.array(*out)
 
 
@@ -96,21 +97,58 @@ def stars(members: np.ndarray) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label) if i != k]
 
 
-def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges of cells, from arrays of their members. Cells of one size are looked at together."""
-    for b in batches:
-        edges: list[tuple[int, int]] = []
-        by_size: dict[int, list[np.ndarray]] = {}
-        for m in b["members"]:
-            by_size.setdefault(len(m), []).append(m)
-        for size, group in by_size.items():
-            step = max(1, (1 << 21) // size**2)
-            for at in range(0, len(group), step):
-                block = np.array(group[at : at + step], dtype=np.int64).view(np.uint64)
-                near = np.bitwise_count(block[:, :, None] ^ block[:, None, :]) <= RADIUS
-                for i in np.flatnonzero(near.sum(axis=(1, 2)) > size):
-                    edges += stars(block[i])
-        yield pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+def edges_of(cell: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of whole cells, given in runs. Cells of one size are looked at together."""
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[starts, len(cell)])
+    edges: list[tuple[int, int]] = []
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[sizes == size]
+        step = max(1, (1 << 21) // size**2)
+        for at in range(0, len(own), step):
+            block = fp[own[at : at + step, None] + np.arange(size)].view(np.uint64)
+            near = np.bitwise_count(block[:, :, None] ^ block[:, None, :]) <= RADIUS
+            for i in np.flatnonzero(near.sum(axis=(1, 2)) > size):
+                edges += stars(block[i])
+    return edges
+
+
+def meet(most: int):
+    """From rows sorted by cell: kind 0, edges (u, v) of cells with `most` members at most; kind 1, members u of larger cells.
+
+    What is held is a batch and one unfinished cell, which is never larger than `most`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        large = None  # the cell that was given up last
+
+        def give(final: bool) -> pd.DataFrame:
+            nonlocal cell, fp, large
+            crowded = [fp[cell == large]] if large is not None else []
+            if crowded:
+                fp, cell = fp[cell != large], cell[cell != large]
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(cell)])
+            over = np.repeat(sizes > most, sizes)
+            if len(over) and over[-1]:
+                large = cell[-1]
+            crowded.append(fp[over])
+            fp, cell = fp[~over], cell[~over]
+            keep = len(cell) if final or not len(cell) or cell[-1] == large else int(np.searchsorted(cell, cell[-1]))
+            edges = edges_of(cell[:keep], fp[:keep]) if keep else []
+            cell, fp = cell[keep:], fp[keep:]
+            many = np.concatenate(crowded)
+            u = np.concatenate([np.array([e[0] for e in edges], np.int64), many])
+            v = np.concatenate([np.array([e[1] for e in edges], np.int64), many])
+            return pd.DataFrame({"kind": np.r_[np.zeros(len(edges), np.int32), np.ones(len(many), np.int32)], "u": u, "v": v})
+
+        for b in batches:
+            cell, fp = np.r_[cell, b["cell"].to_numpy(np.int64)], np.r_[fp, b["fp"].to_numpy(np.int64)]
+            yield give(False)
+        yield give(True)
+
+    return run
 
 
 def ball(fp: Column) -> Column:
@@ -122,18 +160,17 @@ def ball(fp: Column) -> Column:
 
 def links(fps: DataFrame, most: int = CELL_MOST) -> DataFrame:
     """u, v: edges that connect all distinct fingerprints `fp` within RADIUS bits, directly or by others."""
+    spark = fps.sparkSession
     keys = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell")).where("cell is not null")
-    sizes = materialize(keys.groupBy("cell").count().where("count > 1"), "simhash-cells")
-    text_batches(fps.sparkSession, 4000)
-    few = sizes.where(F.col("count") <= most).select(F.col("cell").alias("c"))
-    gathered = keys.join(few, F.col("cell") == F.col("c"), "left_semi").groupBy("cell").agg(F.collect_list("fp").alias("members"))
-    found = gathered.select("members").mapInPandas(verify, "u long, v long")
-
-    many = sizes.where(F.col("count") > most).select(F.col("cell").alias("c"))
-    crowded = materialize(keys.join(many, F.col("cell") == F.col("c"), "left_semi").select("fp").distinct(), "simhash-crowded")
+    text_batches(spark, 50_000)  # of two numbers
+    met = materialize(keys.repartition("cell").sortWithinPartitions("cell").mapInPandas(meet(most), "kind int, u long, v long").distinct(), "simhash-met")
+    found = met.where("kind = 0").select("u", "v")
+    crowded = met.where("kind = 1").select(F.col("u").alias("fp"))
+    if crowded.isEmpty():
+        return found
     around = crowded.repartition("fp").select("fp", F.explode(ball(F.col("fp"))).alias("value"))
-    meet = around.groupBy(F.col("value").alias("v_value")).agg(F.min("fp").alias("root"), F.count("*").alias("n")).where("n > 1")
-    more = around.join(meet, F.col("value") == F.col("v_value")).where("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct()
+    shared = around.groupBy(F.col("value").alias("s_value")).agg(F.min("fp").alias("root"), F.count("*").alias("n")).where("n > 1")
+    more = around.join(shared, F.col("value") == F.col("s_value")).where("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct()
     return found.unionByName(more)
 
 
