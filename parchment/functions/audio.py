@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from . import text as T
 
@@ -94,7 +95,7 @@ def spliced(audio: Column, start: Column, stop: Column, new: Column) -> Column:
     return F.concat(F.slice(audio, F.lit(1), start), new, F.slice(audio, stop + 1, F.greatest(F.lit(0), F.size(audio) - stop)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_wav(raw: pd.Series) -> pd.Series:
     """16-bit WAV bytes to samples in -1 .. 1; channels are averaged; null for what isn't such a file."""
 
