@@ -117,7 +117,7 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
     return tree
 
 
-def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block_words: int = 512, shard_blocks: int = 4096, bucket_blocks: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block_words: int = 512, shard_blocks: int = 4096, bucket_blocks: int = 2_000, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Draw the mix. Returns (draws, sizes, targets).
 
     draws has a row per drawn block: shard, slot (its place in the shard), row,
