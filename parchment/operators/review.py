@@ -27,6 +27,11 @@ def tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return cut.withColumn("offset", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0))).where(F.col("word").rlike(f"^{T.WORD}$")).select(key, "offset", "word")
 
 
+def words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, word of every word, where nothing asks for places."""
+    return df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(T.WORD), F.lit(0))).alias("word"))
+
+
 def word_frequency(toks: DataFrame) -> DataFrame:
     return toks.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -37,27 +42,30 @@ def proper_nouns(frequency: DataFrame, least: int = 2) -> DataFrame:
     return frequency.where((F.col("n") >= least) & (first == F.upper(first)) & (first != F.lower(first))).select(F.lower("word").alias("form")).distinct()
 
 
-def suspects(toks: DataFrame, lexicon: DataFrame, proper: DataFrame) -> DataFrame:
-    """toks with `reason`, only the suspicious ones. Distinct words are judged once and joined back.
+def judged_words(frequency: DataFrame, lexicon: DataFrame, proper: DataFrame) -> DataFrame:
+    """word, reason, n of suspicious words, each judged once.
 
-    lexicon and proper have `form`. Patterns of misread text come first; else a word is
-    suspicious if any of its forms, two letters or longer, is unknown.
+    frequency has word and n; lexicon and proper have `form`. Patterns of misread text come
+    first; else a word is suspicious if any of its forms, two letters or longer, is unknown.
     """
-    words = toks.select("word").distinct().withColumn("pattern", T.ocr_reason(F.col("word")))
-    known = lexicon.select("form").union(proper).distinct().withColumn("known", F.lit(True))
+    marked = frequency.withColumn("reason", T.ocr_reason(F.col("word")))
     forms = (
-        words.where("pattern is null").join(proper.select(F.col("form").alias("p")), F.lower("word") == F.col("p"), "left_anti")
-        .select("word", F.explode(T.candidates(F.col("word"))).alias("form")).where(F.length("form") >= 2)
+        marked.where("reason is null").join(proper.select(F.col("form").alias("p")), F.lower("word") == F.col("p"), "left_anti")
+        .select("word", "n", F.explode(T.candidates(F.col("word"))).alias("form")).where(F.length("form") >= 2)
     )
-    unknown = forms.join(known, "form", "left_anti").select("word").distinct().withColumn("pattern", F.lit("not in the lexicon"))
-    judged = words.where("pattern is not null").unionByName(unknown).select(F.col("word").alias("w"), F.col("pattern").alias("reason"))
-    return toks.join(judged, F.col("word") == F.col("w")).drop("w")
+    unknown = forms.join(lexicon.select("form").union(proper).distinct(), "form", "left_anti").select("word", "n").distinct()
+    return marked.where("reason is not null").select("word", "reason", "n").unionByName(unknown.select("word", F.lit("not in the lexicon").alias("reason"), "n"))
+
+
+def suspects(toks: DataFrame, judged: DataFrame) -> DataFrame:
+    """toks (with word) that are suspicious, and why."""
+    return toks.join(judged.select(F.col("word").alias("w"), "reason"), F.col("word") == F.col("w")).drop("w")
 
 
-def recurrence_gate(found: DataFrame, limit: int = RECURRENCE_LIMIT) -> DataFrame:
-    """Suspects whose exact form comes up less often than `limit`; forms are counted first, so a frequent one is never gathered."""
-    rare = found.groupBy(F.col("word").alias("w")).agg(F.count("*").alias("recurrence")).where(F.col("recurrence") < limit)
-    return found.join(rare, F.col("word") == F.col("w")).drop("w")
+def recurrence_gate(toks: DataFrame, judged: DataFrame, limit: int = RECURRENCE_LIMIT) -> DataFrame:
+    """Suspects whose exact form comes up less often than `limit`. The gate closes on words, before any place is looked up."""
+    rare = judged.where(F.col("n") < limit).select(F.col("word").alias("w"), "reason", F.col("n").alias("recurrence"))
+    return toks.join(rare, F.col("word") == F.col("w")).drop("w")
 
 
 def context(text: Column, offset: Column, word: Column, around: int = CONTEXT) -> Column:

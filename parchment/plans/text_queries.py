@@ -182,12 +182,12 @@ def _tokens(spark, sf) -> DataFrame:
 
 @query(f"WITH {SQL_TOKENS} SELECT word, count(*) AS n FROM toks GROUP BY word")
 def token_frequency(spark, sf):
-    return review.word_frequency(_tokens(spark, sf))
+    return review.word_frequency(_words(spark, sf))
 
 
 @query(f"WITH {SQL_TOKENS} SELECT DISTINCT lower(word) AS form FROM (SELECT word, count(*) AS n FROM toks GROUP BY word) WHERE n >= 2 AND word[1] = upper(word[1]) AND word[1] <> lower(word[1])")
 def proper_nouns(spark, sf):
-    return review.proper_nouns(review.word_frequency(_tokens(spark, sf)))
+    return review.proper_nouns(review.word_frequency(_words(spark, sf)))
 
 
 #: Lexicon: lower-case words that stand in three documents at least.
@@ -209,15 +209,20 @@ found AS (SELECT doc_id, "offset", toks.word, reason FROM toks JOIN judged ON to
 )
 
 
-def _suspects(spark, sf) -> DataFrame:
-    toks = _tokens(spark, sf)
-    lexicon = toks.groupBy(F.lower("word").alias("form")).agg(F.count_distinct("doc_id").alias("d")).where("d >= 3").select("form")
-    return review.suspects(toks, lexicon, review.proper_nouns(review.word_frequency(toks)))
+def _words(spark, sf) -> DataFrame:
+    return review.words(table(spark, sf, "documents"))
+
+
+def _judged(spark, sf) -> DataFrame:
+    w = _words(spark, sf)
+    lexicon = w.groupBy(F.lower("word").alias("form")).agg(F.count_distinct("doc_id").alias("d")).where("d >= 3").select("form")
+    frequency = review.word_frequency(w)
+    return review.judged_words(frequency, lexicon, review.proper_nouns(frequency))
 
 
 @query(SQL_SUSPECTS + "SELECT * FROM found")
 def suspects(spark, sf):
-    return _suspects(spark, sf)
+    return review.suspects(_tokens(spark, sf), _judged(spark, sf))
 
 
 SQL_GATE = SQL_SUSPECTS + ", rare AS (SELECT word AS w, count(*) AS recurrence FROM found GROUP BY word HAVING count(*) < 4) "
@@ -225,7 +230,7 @@ SQL_GATE = SQL_SUSPECTS + ", rare AS (SELECT word AS w, count(*) AS recurrence F
 
 @query(SQL_GATE + "SELECT found.*, recurrence FROM found JOIN rare ON word = w")
 def recurrence_gate(spark, sf):
-    return review.recurrence_gate(_suspects(spark, sf))
+    return review.recurrence_gate(_tokens(spark, sf), _judged(spark, sf))
 
 
 @query(
@@ -234,7 +239,7 @@ def recurrence_gate(spark, sf):
 FROM found f JOIN rare ON f.word = w JOIN documents d ON d.doc_id = f.doc_id"""
 )
 def suspect_context(spark, sf):
-    rare = review.recurrence_gate(_suspects(spark, sf)).select("doc_id", "offset", "word")
+    rare = review.recurrence_gate(_tokens(spark, sf), _judged(spark, sf)).select("doc_id", "offset", "word")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return rare.join(docs, "doc_id").select("doc_id", "offset", "word", review.context(F.col("text"), F.col("offset"), F.col("word")).alias("context"))
 
@@ -253,7 +258,7 @@ SELECT word, proposal, cause, CASE WHEN cause = '' AND proposal <> word THEN pro
 )
 def guard_rails(spark, sf):
     """Rare words of plain letters against frequent ones of their length and first four letters."""
-    freq = review.word_frequency(_tokens(spark, sf)).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
+    freq = review.word_frequency(_words(spark, sf)).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
     rare = freq.where("n = 1 and size between 5 and 12").select("word", "head", "size")
     common = freq.where("n >= 20").select(F.col("word").alias("proposal"), "head", "size")
     judged = rare.join(common, ["head", "size"]).withColumn("g", review.guard(F.col("word"), F.col("proposal"), F.lit(True)))
