@@ -7,8 +7,10 @@ is template; slots that vary are content, unless most of their text is links.
 What mark-up itself says (menus, forms, adverts and so on) is left out as well.
 
 Induction and extraction each read every page once. Only hashes of slots and
-texts are counted, with pre-aggregation; a host gets one wrapper row, which
-meets its pages in a join that Spark may broadcast or split by size.
+texts are counted, with pre-aggregation; a host gets one wrapper row. Wrappers
+are written and counted: up to BROADCAST_VALUES values they are broadcast, so
+pages stay where they are; beyond that pages are dealt by host and salt, and a
+host's wrapper goes to all its salts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import materialize, text_batches
 
 CONSTANT = 0.8  # part of a host's different pages that makes a text template
 PAGES_LEAST = 8  # different pages of a host before anything is called constant
+BROADCAST_VALUES = 1_000_000  # values of eight bytes in all wrappers that may be broadcast
+SALTS = 32  # tasks that one host's pages are dealt to otherwise
 LINKED = 0.6  # part of a slot's characters inside links that makes it a menu
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
@@ -305,7 +309,17 @@ def _pair_hash(slots: list[int], texts: list[int]) -> list[int]:
     return out
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def with_wrappers(pages: DataFrame, found: DataFrame, most: int = BROADCAST_VALUES) -> DataFrame:
+    """pages (host) with the menus and constants of their hosts."""
+    values = F.coalesce(F.size("menus"), F.lit(0)) + F.coalesce(F.size("constants"), F.lit(0)) + F.floor(F.length("w_host") / 8) + 4
+    if (found.agg(F.sum(values)).first()[0] or 0) <= most:
+        return pages.join(F.broadcast(found), F.col("host") == F.col("w_host"), "left")
+    salted = found.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")
+    return pages.withColumn("salt", salt).join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
+
+
+def extract(pages: DataFrame, most: int = BROADCAST_VALUES) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Defined cases: a null or empty page, and one without content, has the empty
@@ -335,10 +349,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text_batches(pages.sparkSession)
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = wrappers(own.select("host", "html"))
-    text_batches(pages.sparkSession)
+    found = materialize(wrappers(own.select("host", "html")), "html-wrappers")
     return (
-        own.join(found, F.col("host") == F.col("w_host"), "left")
+        with_wrappers(own, found, most)
         .select("page_id", "url", text_of("html", "menus", "constants").alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

@@ -36,6 +36,7 @@ def test_induction_over_a_host(spark):
     assert by[7] == "Story 7 begins here." and by[100] == "Story 3 begins here."  # what all pages share is template
     assert by[99] == "Subscribe to our fine paper today\n\nStory 5 begins here.\n\nCommon middle."  # one page has no template
     assert by[None] == by[101] == "" and {r.n_chars for r in got if r.page_id == 101} == {0}
+    assert sorted(map(str, ht.extract(pages, 0).collect())) == sorted(map(str, got))  # wrappers too large to broadcast
     assert ht.extract(pages.limit(0)).collect() == []
 
 
