@@ -315,7 +315,7 @@ def with_wrappers(pages: DataFrame, found: DataFrame, most: int = BROADCAST_VALU
     if (found.agg(F.sum(values)).first()[0] or 0) <= most:
         return pages.join(F.broadcast(found), F.col("host") == F.col("w_host"), "left")
     salted = found.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")  # copies of a page part as well
     return pages.withColumn("salt", salt).join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
 
 
