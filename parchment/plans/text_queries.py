@@ -57,9 +57,36 @@ def doc_segments(spark, sf):
     return fit.select("doc_id", "para", F.posexplode(T.segments(F.col("p"))).alias("idx", "s")).select("doc_id", "para", "idx", "s.text")
 
 
-@query()
+#: Levels of cutting as nested list functions, then the fold over pieces.
+SQL_CUT = r"list_transform(string_split(regexp_replace(x, '({0})\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y))"
+SQL_PACK = """list_reduce(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''), lambda a, w: {'out': CASE WHEN a.cur <> '' AND length(a.cur) + 1 + length(w) > 250 THEN a.out || [a.cur] ELSE a.out END,
+  'cur': CASE WHEN a.cur = '' OR length(a.cur) + 1 + length(w) > 250 THEN w ELSE a.cur || ' ' || w END}, {'out': CAST([] AS VARCHAR[]), 'cur': ''})"""
+SQL_SEGMENTS = """
+WITH para AS ({paragraphs}), s AS (SELECT doc_id, para, unnest(range(len(ss))) AS i, unnest(ss) AS x FROM (SELECT doc_id, para, {sentences} AS ss FROM para)),
+one AS (SELECT doc_id, para, i, unnest(CASE WHEN length(x) <= 250 THEN [x] ELSE {stops} END) AS x, unnest(range(CASE WHEN length(x) <= 250 THEN 1 ELSE len({stops}) END)) AS j FROM s),
+two AS (SELECT doc_id, para, i, j, unnest(CASE WHEN length(x) <= 250 THEN [x] ELSE {commas} END) AS x, unnest(range(CASE WHEN length(x) <= 250 THEN 1 ELSE len({commas}) END)) AS k FROM one),
+long AS (SELECT doc_id, para, i, j, k, {pack} AS r FROM two WHERE length(x) > 250),
+three AS (SELECT doc_id, para, i, j, k, 0 AS m, x FROM two WHERE length(x) <= 250
+  UNION ALL SELECT doc_id, para, i, j, k, unnest(range(len(l))) AS m, unnest(l) AS x FROM (SELECT doc_id, para, i, j, k, CASE WHEN r.cur = '' THEN r.out ELSE r.out || [r.cur] END AS l FROM long)),
+pieces AS (SELECT doc_id, para, list({{'t': x, 'last': last}} ORDER BY i, j, k, m) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, para, i ORDER BY j DESC, k DESC, m DESC) = 1 AS last FROM three) GROUP BY doc_id, para),
+folded AS (SELECT doc_id, para, list_reduce(p, lambda a, x: {{
+    'out': (CASE WHEN a.cur <> '' AND length(a.cur) + 1 + length(x.t) > 250 THEN a.out || [{{'t': a.cur, 'e': false}}] ELSE a.out END)
+      || CASE WHEN x.last AND length(CASE WHEN a.cur = '' OR length(a.cur) + 1 + length(x.t) > 250 THEN x.t ELSE a.cur || ' ' || x.t END) >= 30
+        THEN [{{'t': CASE WHEN a.cur = '' OR length(a.cur) + 1 + length(x.t) > 250 THEN x.t ELSE a.cur || ' ' || x.t END, 'e': true}}] ELSE [] END,
+    'cur': CASE WHEN x.last AND length(CASE WHEN a.cur = '' OR length(a.cur) + 1 + length(x.t) > 250 THEN x.t ELSE a.cur || ' ' || x.t END) >= 30 THEN ''
+      ELSE CASE WHEN a.cur = '' OR length(a.cur) + 1 + length(x.t) > 250 THEN x.t ELSE a.cur || ' ' || x.t END END
+  }}, {{'out': CAST([] AS STRUCT(t VARCHAR, e BOOLEAN)[]), 'cur': ''}}) AS r FROM pieces),
+seg AS (SELECT doc_id, para, CASE WHEN r.cur = '' THEN r.out ELSE r.out || [{{'t': r.cur, 'e': true}}] END AS s FROM folded)
+""".format(paragraphs=SQL_PARAGRAPHS, sentences=SQL_SENTENCES.format("p"), stops=SQL_CUT.format("[;:]"), commas=SQL_CUT.format(","), pack=SQL_PACK)
+
+
+@query(
+    SQL_SEGMENTS
+    + """SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(len(s)) AS BIGINT) AS n_segments, CAST(max(list_max(list_transform(s, lambda x: length(x.t)))) AS INT) AS longest,
+  CAST(sum(len(list_filter(s, lambda x: x.e))) AS BIGINT) AS n_ends FROM seg GROUP BY doc_id"""
+)
 def doc_segments_summary(spark, sf):
-    """All paragraphs, long sentences split; tests hold it against a plain fold."""
+    """Segments of all paragraphs, long sentences cut."""
     seg = lines(spark, sf).select("doc_id", "para", T.segments(F.col("p")).alias("s"))
     return seg.groupBy("doc_id").agg(
         F.count("*").alias("n_paragraphs"), F.sum(F.size("s")).alias("n_segments"), F.max(F.array_max(F.transform("s", lambda x: F.length(x["text"])))).alias("longest"), F.sum(F.size(F.filter("s", lambda x: x["ends"]))).alias("n_ends")
