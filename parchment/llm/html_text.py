@@ -60,18 +60,21 @@ DROP_WORDS = set(
     " recommended share sharing social footer login signup search widget masthead toolbar pagination pager skip".split()
 )
 HEADS = {"header", "masthead"}
+#: Words that an article may not lie in or bear itself; the other words may name a page's layout around it.
+FOREIGN = set("comment comments disqus respond reply replies related recommended".split())
 
 
 class Node:
-    __slots__ = ("tag", "sig", "path", "drop", "main", "link")
+    __slots__ = ("tag", "sig", "path", "drop", "foreign", "main", "link")
 
-    def __init__(self, tag: str, sig: str, path: str, drop: bool, main: bool, link: bool):
-        self.tag, self.sig, self.path, self.drop, self.main, self.link = tag, sig, path, drop, main, link
+    def __init__(self, tag: str, sig: str, path: str, drop: bool, foreign: bool, main: bool, link: bool):
+        self.tag, self.sig, self.path, self.drop, self.foreign, self.main, self.link = tag, sig, path, drop, foreign, main, link
 
 
 def _open(parent: Node, tag: str, attributes: str) -> Node:
+    """drop: what the element and those around it say is not main text; foreign: and no article inside can change that."""
     words: set[str] = set()
-    sig, drop, main = tag, parent.drop, parent.main
+    sig, foreign, main = tag, parent.foreign, parent.main
     if attributes:
         found = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(attributes)}
         name = found.get("class", "") + " " + found.get("id", "")
@@ -80,18 +83,23 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
             sig += "." + ".".join(sorted(words))
         role = found.get("role", "").lower()
         hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"\shidden(?=[\s/=]|$)", attributes)
-        drop = drop or role in DROP_ROLES or bool(hidden)
+        foreign = foreign or role in DROP_ROLES or bool(hidden)
         main = main or role in ("main", "article")
     main = main or tag in ("article", "main")
-    if tag not in ("html", "body", "article", "main"):
-        drop = drop or tag in DROP_TAGS or bool(words & DROP_WORDS) or (not main and (tag == "header" or bool(words & HEADS)))
-    return Node(tag, sig, parent.path + "/" + sig, drop, main, parent.link or tag == "a")
+    if tag in ("html", "body"):
+        drop = foreign
+    elif tag in ("article", "main"):
+        drop = foreign = foreign or bool(words & FOREIGN)
+    else:
+        foreign = foreign or tag in DROP_TAGS or bool(words & FOREIGN)
+        drop = parent.drop or foreign or bool(words & DROP_WORDS) or (not main and (tag == "header" or bool(words & HEADS)))
+    return Node(tag, sig, parent.path + "/" + sig, drop, foreign, main, parent.link or tag == "a")
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
     """(path, text, characters in links, dropped by mark-up, in a main element) of every block in page order."""
     page = page or ""
-    root = Node("", "", "", False, False, False)
+    root = Node("", "", "", False, False, False, False)
     stack = [root]
     out: list[tuple[str, str, int, bool, bool]] = []
     parts: list[str] = []
