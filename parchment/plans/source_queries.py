@@ -10,7 +10,17 @@ from ..sources import plain, services
 from .registry import query, table
 
 
-@query()
+@query(
+    r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS x FROM documents)),
+k AS (SELECT * FROM l WHERE line <> '' AND NOT regexp_matches(line, '(?i)^\s*(?:page\s*)?\d{1,4}\s*$')),
+f AS (SELECT *, length(line) <= 70 AND right(line, 1) NOT IN ('.', ',', ';', ':', '!', '?', '«', '»') AND (regexp_matches(line, '(?i)^\s*(?:chapitre|chapter|cap[ií]tulo|kapitel)\b') OR upper(line) = line) AS look FROM k),
+h AS (SELECT *, look AND coalesce(NOT lag(look) OVER (PARTITION BY doc_id ORDER BY pos), false) AS h FROM f),
+c AS (SELECT *, CAST(sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS chapter FROM h),
+t AS (SELECT *, CASE WHEN h THEN regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^[ .:\-—–_*#]+|[ .:\-—–_*#]+$', '', 'g') END AS title FROM c)
+SELECT doc_id, chapter, max(CASE WHEN upper(title) = title THEN upper(title[1]) || lower(title[2:]) ELSE title END) AS title, count(*) FILTER (NOT h)::INT AS n_paragraphs FROM t GROUP BY doc_id, chapter
+"""
+)
 def plain_chapters(spark, sf):
     """Documents read as plain books."""
     c = plain.chapters(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
