@@ -46,7 +46,7 @@ def cast_diagnostics(cast: DataFrame, segments: DataFrame, role: str = "role") -
 def resolve(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
     """wanted (w) with `found` of the catalogue (name): the exact name, else the only one equal but for case, else the only one that contains it.
 
-    Equalities are hash joins; only names that they leave open meet the catalogue by substring.
+    Equalities are hash joins; only names that they leave open meet the catalogue by substring, and there only names that share a run of letters.
     """
     names = catalogue.select("name").distinct()
     asked = wanted.select("w").distinct()
@@ -55,7 +55,11 @@ def resolve(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
     only = lambda hits: hits.groupBy("w").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1").select("w", "name")
     same = only(open_.join(names, F.lower("w") == F.lower("name")))
     left = open_.join(same, "w", "left_anti")
-    part = only(left.join(names, F.contains(F.lower("name"), F.lower("w"))))
+    # a name that contains w contains its first three letters, so names are keyed by all runs of up to three
+    low = names.withColumn("low", F.lower("name"))
+    runs = F.flatten(F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - k + 1)), lambda i: F.substring(F.col("low"), i, k))))
+    keyed = low.select("name", "low", F.explode(F.array_distinct(runs)).alias("run"))
+    part = only(left.withColumn("run", F.substring(F.lower("w"), 1, 3)).join(keyed, "run").where(F.contains("low", F.lower("w"))))
     return wanted.join(exact.unionByName(same).unionByName(part).withColumnRenamed("name", "found"), "w", "left")
 
 

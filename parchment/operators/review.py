@@ -32,6 +32,12 @@ def words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(T.WORD), F.lit(0))).alias("word"))
 
 
+def document_frequency(df: DataFrame, text: str = "text") -> DataFrame:
+    """form, d: in how many texts a lower-case word stands. Repeats go inside each text, so rows are counted, not pairs told apart."""
+    forms = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(T.WORD), F.lit(0)), lambda w: F.lower(w)))
+    return df.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("d"))
+
+
 def word_frequency(toks: DataFrame) -> DataFrame:
     return toks.groupBy("word").agg(F.count("*").alias("n"))
 

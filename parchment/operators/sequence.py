@@ -122,6 +122,14 @@ def greedy_intervals(intervals: Column) -> Column:
 
 
 def nearest_occurrence(wanted: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """wanted (keys, text, at) with `found`: of the rows (keys, text, pos) with that text the nearest, the smaller of two."""
-    near = wanted.join(rows, [*keys, "text"])
-    return near.groupBy(*keys, "text", "at").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("at")).alias("d"), "pos")).alias("m")).select(*keys, "text", "at", F.col("m.pos").alias("found"))
+    """wanted (keys, text, at) with `found`: of the rows (keys, text, pos) with that text the nearest, the smaller of two; only where there is one.
+
+    Both sides go through one sorted window, which looks back and ahead: no pairs are made.
+    """
+    both = wanted.select(*keys, "text", F.col("at").alias("__p"), F.lit(None).cast("long").alias("__pos")).unionByName(
+        rows.select(*keys, "text", F.col("pos").alias("__p"), F.col("pos").cast("long").alias("__pos"))
+    )
+    w = Window.partitionBy(*keys, "text").orderBy("__p")
+    before, after = F.max("__pos").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.min("__pos").over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = F.when(after.isNull() | (F.col("__p") - before <= after - F.col("__p")), before).otherwise(after)
+    return both.withColumn("found", near).where("__pos is null and found is not null").select(*keys, "text", F.col("__p").alias("at"), "found")

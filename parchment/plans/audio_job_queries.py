@@ -43,13 +43,13 @@ def last_speech_run(spark, sf):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, left(text, 160) AS t, (doc_id % 40) / 3.0 AS duration, doc_id % 7 = 0 AS artifact, (doc_id % 11) / 2.0 AS run FROM documents),
+WITH d AS (SELECT doc_id, text AS t, length(text) / 18.0 * (doc_id % 40) / 20.0 AS duration, doc_id % 7 = 0 AS artifact, (doc_id % 11) / 2.0 AS run FROM documents),
 x AS (SELECT *, length(t) / 18.0 + 0.15 AS ex, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS p FROM d)
 SELECT doc_id, CASE WHEN duration > length(t) / 10.0 + 0.8 THEN 'absurd length' WHEN length(t) >= 12 AND NOT duration BETWEEN ex * 0.75 AND ex * 1.45 THEN 'length'
   WHEN artifact THEN 'trailing sound' WHEN len(p) >= 2 AND run > (length(p[-1]) / 18.0 + 0.15) * 1.6 THEN 'long last sentence' ELSE '' END AS cause FROM x""")
 def qc_verdict(spark, sf):
-    t = F.substring("text", 1, 160)
-    cause = A.verdict((F.col("doc_id") % 40) / 3.0, t, F.col("doc_id") % 7 == 0, (F.col("doc_id") % 11) / 2.0)
+    t = F.col("text")
+    cause = A.verdict(F.length(t) / 18.0 * (F.col("doc_id") % 40) / 20.0, t, F.col("doc_id") % 7 == 0, (F.col("doc_id") % 11) / 2.0)
     return table(spark, sf, "documents").select("doc_id", cause.alias("cause"))
 
 
@@ -148,9 +148,9 @@ def status_label(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", label.alias("label"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(strip_accents(left(text, 60)), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g')) AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(strip_accents(text), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g')) AS slug FROM documents")
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT doc_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM (SELECT doc_id, CAST(n_chars AS BIGINT) AS s FROM documents)""")
@@ -187,20 +187,20 @@ def cover_priority(spark, sf):
 @query("""
 WITH l AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 60) AS l FROM documents),
 h AS (SELECT doc_id, list_filter(l, lambda x: regexp_matches(x, '^[A-Za-z]+\\s*[:=]\\s*.+'))[1] AS f, list_filter(l, lambda x: trim(x) <> '')[1] AS t FROM l)
-SELECT doc_id, coalesce(f, '') AS field, coalesce(left(t, 80), '') AS title FROM h""".replace("\\\\", "\\"))
+SELECT doc_id, coalesce(f, '') AS field, coalesce(t, '') AS title FROM h""".replace("\\\\", "\\"))
 def metadata_peek(spark, sf):
     """First field line of a text's head, and its first line; only the head's lines are looked at."""
     head = F.slice(F.split("text", "\n"), 1, 60)
     field = F.filter(head, lambda x: x.rlike(r"^[A-Za-z]+\s*[:=]\s*.+"))
     first = F.filter(head, lambda x: F.trim(x) != "")
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.try_element_at(field, F.lit(1)), F.lit("")).alias("field"), F.coalesce(F.substring(F.try_element_at(first, F.lit(1)), 1, 80), F.lit("")).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.try_element_at(field, F.lit(1)), F.lit("")).alias("field"), F.coalesce(F.try_element_at(first, F.lit(1)), F.lit("")).alias("title"))
 
 
-@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, min(turn) AS first_turn, arg_min(left(text, 40), turn) AS opening FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, min(turn) AS first_turn, arg_min(text, turn) AS opening FROM conversations GROUP BY conv_id")
 def chapter_titles(spark, sf):
     """The first row's text stands for each group."""
     c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.min_by(F.substring("text", 1, 40), "turn").alias("opening"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.min_by("text", "turn").alias("opening"))
 
 
 @query("SELECT o_orderpriority AS k, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1 ORDER BY n DESC, k LIMIT 6")

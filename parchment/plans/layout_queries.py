@@ -46,10 +46,10 @@ def rare_groups(spark, sf):
 
 
 @query(r"""
-WITH h AS (SELECT source, trim(regexp_replace(upper(left(text, 24)), '[^A-ZÀ-Ý]+', ' ', 'g')) AS head FROM documents)
+WITH h AS (SELECT source, trim(regexp_replace(upper(string_split(text, chr(10))[1]), '[^A-ZÀ-Ý]+', ' ', 'g')) AS head FROM documents)
 SELECT source, head, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 2""")
 def repeated_heads(spark, sf):
-    head = F.trim(F.regexp_replace(F.upper(F.substring("text", 1, 24)), "[^A-ZÀ-Ý]+", " "))
+    head = F.trim(F.regexp_replace(F.upper(F.substring_index("text", "\n", 1)), "[^A-ZÀ-Ý]+", " "))
     return table(spark, sf, "documents").groupBy("source", head.alias("head")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
@@ -85,14 +85,14 @@ def line_groups(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,9}')) AS f FROM documents WHERE lang = 'en' AND doc_id < 400),
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS f FROM documents),
 m AS (SELECT DISTINCT f[1] || '?' || f[3:] AS word FROM w), c AS (SELECT word, chr(CAST(97 + k AS INT)) AS letter FROM m, range(26) t(k))
 SELECT letter, count(*) AS votes FROM c WHERE replace(word, '?', letter) IN (SELECT f FROM w) GROUP BY letter""")
 def glyph_votes(spark, sf):
-    """English words with their second letter masked."""
-    d = table(spark, sf, "documents").where("lang = 'en' and doc_id < 400")
-    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,9}"), F.lit(0))).alias("form")).distinct()
-    return L.glyph_votes(w.select(F.concat(F.substring("form", 1, 1), F.lit("?"), F.substring("form", 3, 20)).alias("word")), w)
+    """All words with their second letter masked."""
+    d = table(spark, sf, "documents")
+    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("form")).distinct()
+    return L.glyph_votes(w.select(F.concat(F.substring("form", 1, 1), F.lit("?"), F.substring("form", 3, 1 << 30)).alias("word")), w)
 
 
 #: Orders stand for segments, their lines for takes of customers' texts.
@@ -118,31 +118,31 @@ def track_currency(spark, sf):
     return C.track_currency(s, m, "k", "i", "x")
 
 
-@query("SELECT c_mktsegment AS role, c_name AS voice FROM customer WHERE c_custkey % 100 = 0 AND c_name <> '' AND lower(c_mktsegment) IN (SELECT lower(c_mktsegment) FROM customer WHERE c_nationkey = 3)")
+@query("SELECT c_mktsegment AS role, c_name AS voice FROM customer WHERE c_name <> '' AND lower(c_mktsegment) IN (SELECT lower(c_mktsegment) FROM customer WHERE c_nationkey = 3)")
 def effective_voices(spark, sf):
     c = table(spark, sf, "customer")
-    cast = c.where("c_custkey % 100 = 0").select(F.upper("c_mktsegment").alias("key"), F.col("c_mktsegment").alias("role"), F.col("c_name").alias("voice")).drop("key")
+    cast = c.select(F.col("c_mktsegment").alias("role"), F.col("c_name").alias("voice"))
     return C.effective_voices(cast, c.where("c_nationkey = 3").select(F.col("c_mktsegment").alias("role")))
 
 
 @query("""
-WITH a AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_partkey % 50 = 0), b AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_partkey % 50 = 1)
+WITH a AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_size = 7), b AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_size = 9)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'voice without segments' ELSE 'role without voice' END AS issue FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def cast_diagnostics(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("role"))
-    return C.cast_diagnostics(p.where("p_partkey % 50 = 0"), p.where("p_partkey % 50 = 1"))
+    p = table(spark, sf, "part").select("p_size", F.col("p_brand").alias("role"))
+    return C.cast_diagnostics(p.where("p_size = 7"), p.where("p_size = 9"))
 
 
 @query("""
-WITH w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE p_name[2:] END AS w FROM part WHERE p_partkey % 20 = 0), n AS (SELECT DISTINCT p_name AS name FROM part),
+WITH w AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE p_name[2:] END AS w FROM part), n AS (SELECT DISTINCT p_name AS name FROM part),
 e AS (SELECT w, name FROM w JOIN n ON w = name), o AS (SELECT w FROM w WHERE w NOT IN (SELECT w FROM e)),
 i AS (SELECT w, min(name) AS name FROM o JOIN n ON lower(w) = lower(name) GROUP BY w HAVING count(*) = 1),
 s AS (SELECT w, min(name) AS name FROM o JOIN n ON contains(lower(name), lower(w)) WHERE w NOT IN (SELECT w FROM i) GROUP BY w HAVING count(*) = 1)
 SELECT w.w, f.name AS found FROM w LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM i UNION ALL SELECT * FROM s) f ON w.w = f.w""")
 def resolve_voice(spark, sf):
     p = table(spark, sf, "part")
-    form = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.substring("p_name", 2, 1000))
-    return C.resolve(p.where("p_partkey % 20 = 0").select(form.alias("w")).distinct(), p.select(F.col("p_name").alias("name")))
+    form = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.substring("p_name", 2, 1 << 30))
+    return C.resolve(p.select(form.alias("w")).distinct(), p.select(F.col("p_name").alias("name")))
 
 
 @query("""SELECT p_partkey, p_type || '/' || p_brand || '+dialogue=' || p_name || '+letter=x@' || printf('%.2f', p_size / 4.0) AS sig, p_type AS backend, p_brand AS voice, p_name AS dialogue, p_size / 4.0 AS speed FROM part WHERE NOT contains(p_name, '+')""")
@@ -160,11 +160,11 @@ def persona_names(spark, sf):
 
 @query(r"""
 WITH n AS (SELECT page_id, regexp_replace(regexp_replace(url, '^\w+://', ''), '[?#].*$', '') AS name FROM pages),
-h AS (SELECT DISTINCT ON (href) href, pos, title FROM (SELECT regexp_replace(regexp_replace(url, '^\w+://[^/]+/', ''), '[?#].*$', '') AS href, page_id AS pos, 't' || page_id AS title FROM pages WHERE page_id % 3 = 0) ORDER BY href, pos)
+h AS (SELECT DISTINCT ON (href) href, pos, title FROM (SELECT regexp_replace(regexp_replace(url, '^\w+://[^/]+/', ''), '[?#].*$', '') AS href, page_id AS pos, 't' || page_id AS title FROM pages WHERE url LIKE 'https:%') ORDER BY href, pos)
 SELECT n.page_id, (SELECT min_by(title, pos) FROM h WHERE ends_with(n.name, href) AND href <> '') AS title FROM n""")
 def toc_suffix_join(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^\w+://", ""), r"[?#].*$", "").alias("name"))
-    toc = table(spark, sf, "pages").where("page_id % 3 = 0").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://[^/]+/", ""), r"[?#].*$", "").alias("href"), F.col("page_id").alias("pos"))
+    toc = table(spark, sf, "pages").where("url like 'https:%'").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://[^/]+/", ""), r"[?#].*$", "").alias("href"), F.col("page_id").alias("pos"))
     first = toc.where("href <> ''").groupBy("href").agg(F.min("pos").alias("pos")).withColumn("title", F.concat(F.lit("t"), F.col("pos").cast("string")))
     titles = C.suffix_join(p.select("name").distinct(), first)
     return p.join(titles, "name").select("page_id", "title")

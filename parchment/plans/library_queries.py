@@ -63,10 +63,10 @@ def voiced_segments(spark, sf):
     return L.voiced(c.select("c_custkey", "role"), c.where("c_nationkey = 3"), F.lit("narrator"))
 
 
-@query("SELECT n_name AS service, coalesce(state, 'absent') AS state FROM nation LEFT JOIN (SELECT s_nationkey, max(CASE WHEN s_acctbal > 0 THEN 'running' ELSE 'exited' END) AS state FROM supplier WHERE s_suppkey % 7 = 0 GROUP BY 1) ON s_nationkey = n_nationkey")
+@query("SELECT n_name AS service, coalesce(state, 'absent') AS state FROM nation LEFT JOIN (SELECT s_nationkey, max(CASE WHEN s_acctbal > 8500 THEN 'running' ELSE 'exited' END) AS state FROM supplier WHERE s_acctbal > 7000 GROUP BY 1) ON s_nationkey = n_nationkey")
 def service_inventory(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("service"))
-    s = table(spark, sf, "supplier").where("s_suppkey % 7 = 0").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("service", F.when(F.col("s_acctbal") > 0, "running").otherwise("exited").alias("state"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 7000").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("service", F.when(F.col("s_acctbal") > 8500, "running").otherwise("exited").alias("state"))
     return L.inventory(n.select("service"), s)
 
 
@@ -81,11 +81,11 @@ def flagged_causes(spark, sf):
     return L.flagged_causes(t, ["l_orderkey"]).select("l_orderkey", "n", F.array_join("causes", ",").alias("causes"))
 
 
-@query("SELECT DISTINCT w AS form FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM documents UNION ALL SELECT lower(p_type) FROM part) WHERE w NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT DISTINCT w AS form FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents UNION ALL SELECT lower(p_type) FROM part) WHERE w NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) FROM documents WHERE lang = 'en')")
 def allowed_words(spark, sf):
     d = table(spark, sf, "documents")
-    forms = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("form"))
-    return L.allowed_words(table(spark, sf, "part").select(F.lower("p_type").alias("form")), forms(d), forms(d.where("doc_id % 2 = 0")))
+    forms = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("form"))
+    return L.allowed_words(table(spark, sf, "part").select(F.lower("p_type").alias("form")), forms(d), forms(d.where("lang = 'en'")))
 
 
 @query("SELECT doc_id, '…' || replace(substring(text, greatest(0, p - 90) + 1, p - greatest(0, p - 90)), chr(10), ' ') || '⟦the⟧' || replace(substring(text, p + 4, 90), chr(10), ' ') || '…' AS marked, p AS place FROM (SELECT doc_id, text, CAST(instr(text, 'the') - 1 AS INT) AS p FROM documents) WHERE p >= 0")
@@ -102,9 +102,9 @@ def relocated_words(spark, sf):
     return d.select("doc_id", "word", L.relocated(F.col("text"), F.col("word"), F.col("offset") - 60).alias("place"))
 
 
-@query("SELECT conv_id, array_to_string(l[1:2] || ['@Ann'] || l[3:4] || ['@'] || l[5:], '|') AS text FROM (SELECT conv_id, list(left(replace(text, '@', '#'), 8) ORDER BY turn) AS l FROM conversations GROUP BY conv_id) WHERE len(l) >= 4")
+@query("SELECT conv_id, array_to_string(l[1:2] || ['@Ann'] || l[3:4] || ['@'] || l[5:], '|') AS text FROM (SELECT conv_id, list(replace(text, '@', '#') ORDER BY turn) AS l FROM conversations GROUP BY conv_id) WHERE len(l) >= 4")
 def assigned_paragraphs(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring(F.replace("text", F.lit("@"), F.lit("#")), 1, 8).alias("t")))), lambda x: x["t"]).alias("l")).where(F.size("l") >= 4)
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.replace("text", F.lit("@"), F.lit("#")).alias("t")))), lambda x: x["t"]).alias("l")).where(F.size("l") >= 4)
     return c.select("conv_id", F.array_join(L.assigned(F.col("l"), F.lit(2), F.lit(3), F.lit("Ann")), "|").alias("text"))
 
 
@@ -113,4 +113,4 @@ def announcements(spark, sf):
     """What is said before the chapters of a source; numbers are put in words."""
     d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 120).alias("n"), T.clean_title(F.substring_index("text", "\n", 1)).alias("title"))
     words = numbers.spelled_numbers(F.col("n").cast("string"))
-    return d.withColumn("words", words).select("doc_id", L.chapter_announcement(F.col("n"), F.col("words"), F.substring("title", 1, 60), F.col("n") == 7).alias("said"))
+    return d.withColumn("words", words).select("doc_id", L.chapter_announcement(F.col("n"), F.col("words"), F.col("title"), F.col("n") == 7).alias("said"))

@@ -37,18 +37,18 @@ def hash_ids(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT doc_id, left(text, 24) AS t, doc_id % 30 AS s FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda x: x <> '') AS tok FROM l),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS para, unnest(x) AS t FROM d), l2 AS (SELECT *, para % 30 AS s FROM l),
+w AS (SELECT *, list_filter(string_split_regex(trim(t), '\\s+'), lambda x: x <> '') AS tok FROM l2),
 x AS (SELECT *, len(list_filter(tok, lambda v: regexp_full_match(v, '[\\p{L}''’-]+') AND regexp_matches(v, '(?i)[aeiouyàâäéèêëîïôöùûüœæ]') AND (length(v) >= 2 OR lower(v) IN ('a', 'à', 'y')))) AS good FROM w)
-SELECT doc_id, CASE WHEN s NOT BETWEEN 5 AND 24 THEN true WHEN regexp_matches(t, '(?i)^\\s*(chapitre|chapter|cap[ií]tulo|kapitel)\\b') THEN true WHEN length(trim(t)) >= 20 THEN false
+SELECT doc_id, CAST(para AS INT) AS para, CASE WHEN s NOT BETWEEN 5 AND 24 THEN true WHEN regexp_matches(t, '(?i)^\\s*(chapitre|chapter|cap[ií]tulo|kapitel)\\b') THEN true WHEN length(trim(t)) >= 20 THEN false
   WHEN length(regexp_replace(t, '[^\\p{L}]', '', 'g')) < 3 THEN true WHEN upper(t) = t AND length(trim(t)) < 8 THEN true ELSE good < 0.6 * len(tok) END AS garbage FROM x""".replace("\\\\", "\\"))
 def garbage_lines(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 24).alias("t"), (F.col("doc_id") % 30).alias("s"))
-    return d.select("doc_id", M.garbage(F.col("t"), F.col("s"), F.lit(5), F.lit(24)).alias("garbage"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "t")).withColumn("s", F.col("para") % 30)
+    return d.select("doc_id", "para", M.garbage(F.col("t"), F.col("s"), F.lit(5), F.lit(24)).alias("garbage"))
 
 
 #: First lines of documents stand for lines of a source's pages.
-SQL_PAGE = "l AS (SELECT source, doc_id, left(string_split(text, chr(10))[1], 40) AS text, CAST(doc_id * 37 % 100 AS DOUBLE) AS y, 8 + doc_id % 9 AS h FROM documents)"
+SQL_PAGE = "l AS (SELECT source, doc_id, string_split(text, chr(10))[1] AS text, CAST(doc_id * 37 % 100 AS DOUBLE) AS y, 8 + doc_id % 9 AS h FROM documents)"
 
 
 @query(f"""
@@ -60,7 +60,7 @@ r AS (SELECT source, doc_id, text, h, regexp_full_match(text, '\\s*\\d{{1,4}}\\s
   OR (e AND (h < 8.5 OR (upper(text) = text AND lower(text) <> text))) AS running FROM s)
 SELECT source, doc_id, running, NOT running AND h >= 12.5 AND NOT (h >= 18 AND regexp_full_match(trim(text), '\\p{{L}}[''’]?')) AS heading FROM r""".replace("\\\\", "\\"))
 def running_lines(spark, sf):
-    first = F.substring(F.split("text", "\n")[0], 1, 40)
+    first = F.split("text", "\n")[0]
     lines = table(spark, sf, "documents").select("source", "doc_id", first.alias("text"), (F.col("doc_id") * 37 % 100).cast("double").alias("y"), (8 + F.col("doc_id") % 9).cast("double").alias("h"))
     return P.classify(lines, ["source"], F.lit(10.0), F.lit(100.0), F.col("doc_id") % 50 == 0).select("source", "doc_id", "running", "heading")
 
@@ -73,7 +73,7 @@ def merged_chapters(spark, sf):
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    c = table(spark, sf, "documents").select(F.col("source").alias("book_id"), rank.alias("chapter"), "doc_id", F.array(F.substring("text", 1, 9)).alias("paragraphs"), F.struct(F.col("n_chars").alias("first"), F.col("n_chars").alias("last")).alias("pages"))
+    c = table(spark, sf, "documents").select(F.col("source").alias("book_id"), rank.alias("chapter"), "doc_id", F.array("text").alias("paragraphs"), F.struct(F.col("n_chars").alias("first"), F.col("n_chars").alias("last")).alias("pages"))
     m = V.merge_into_previous(c, 4)
     return m.select("book_id", F.col("chapter").cast("long").alias("chapter"), "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), "pages.first", "pages.last")
 

@@ -96,13 +96,13 @@ def splice_shift(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, role, left(text, 20) AS t FROM conversations),
+WITH c AS (SELECT conv_id, turn, role, text AS t FROM conversations),
 n AS (SELECT *, array_to_string(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS b,
   array_to_string(list(t) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' ') AS a FROM c)
 SELECT conv_id, turn, coalesce(b, '') AS before, coalesce(a, '') AS after FROM n WHERE role = 'assistant'""")
 def flagged_context(spark, sf):
     """What stands around an assistant's turn; neighbours are taken before rows are dropped."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 20).alias("t"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"))
     return S.neighbours(c, ["conv_id"], ["turn"], "t").where("role = 'assistant'").select("conv_id", "turn", "before", "after")
 
 
@@ -172,12 +172,12 @@ def persona_blocks_greedy(spark, sf):
 
 
 @query(f"""
-WITH {SQL_EVENTS}, w AS (SELECT user_id, event_type AS text, CAST(pos * 2 AS BIGINT) AS at FROM e WHERE pos <= 5)
+WITH {SQL_EVENTS}, w AS (SELECT user_id, event_type AS text, CAST(pos * 2 AS BIGINT) AS at FROM e)
 SELECT w.user_id, w.text, w.at, CAST(e.pos AS BIGINT) AS found FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.text
 QUALIFY row_number() OVER (PARTITION BY w.user_id, w.text, w.at ORDER BY abs(e.pos - w.at), e.pos) = 1""")
 def nearest_occurrence(spark, sf):
     e = _events(spark, sf).select("user_id", F.col("event_type").alias("text"), F.col("pos").cast("long").alias("pos"))
-    wanted = e.where("pos <= 5").select("user_id", "text", (F.col("pos") * 2).alias("at"))
+    wanted = e.select("user_id", "text", (F.col("pos") * 2).alias("at"))
     return S.nearest_occurrence(wanted, e, ["user_id"])
 
 

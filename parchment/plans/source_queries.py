@@ -27,9 +27,9 @@ def plain_chapters(spark, sf):
     return c.select("doc_id", "chapter", "title", F.size("paragraphs").alias("n_paragraphs"))
 
 
-@query("SELECT doc_id, CAST(doc_id AS INT) AS chapter, source AS title, len(l) AS n_paragraphs, CAST(list_sum(list_transform(l, lambda x: length(x))) AS BIGINT) AS chars FROM (SELECT doc_id, source, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE NOT contains(text, '---')) WHERE len(l) > 0")
+@query("SELECT doc_id, CAST(doc_id AS INT) AS chapter, source AS title, len(l) AS n_paragraphs, CAST(list_sum(list_transform(l, lambda x: length(x))) AS BIGINT) AS chars FROM (SELECT doc_id, source, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) WHERE len(l) > 0")
 def markdown_round_trip(spark, sf):
-    d = table(spark, sf, "documents").where("not contains(text, '---')").select("doc_id", "source", T.lines_of(F.col("text")).alias("l")).where(F.size("l") > 0)
+    d = table(spark, sf, "documents").select("doc_id", "source", T.lines_of(F.col("text")).alias("l")).where(F.size("l") > 0)
     back = d.select("doc_id", plain.from_markdown(plain.to_markdown(F.col("doc_id"), F.col("source"), F.col("l"))).alias("m"))
     chars = F.aggregate("m.paragraphs", F.lit(0).cast("long"), lambda a, p: a + F.length(p))
     return back.select("doc_id", "m.chapter", "m.title", F.size("m.paragraphs").cast("long").alias("n_paragraphs"), chars.alias("chars"))
@@ -40,17 +40,17 @@ def html_blocks(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(P.paragraphs(F.col("html"))).alias("pos", "text"))
 
 
-@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<script\b.*?</script>', '', 'gsi'), '<meta\b[^>]*>', '', 'gi')) + length('<base href=\"' || url || '\">') AS n FROM pages WHERE NOT contains(url, '$') AND NOT contains(url, '\')".replace('\\"', '"'))
+@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<script\b.*?</script>', '', 'gsi'), '<meta\b[^>]*>', '', 'gi')) + length('<base href=\"' || url || '\">') AS n FROM pages".replace('\\"', '"'))
 def clean_pages(spark, sf):
-    p = table(spark, sf, "pages").where(r"not contains(url, '$') and not contains(url, '\\')")
+    p = table(spark, sf, "pages")
     return p.select("page_id", F.length(P.clean_html(F.col("html"), F.col("url"))).cast("long").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, floor(50 * (length(text) / 18.0::DOUBLE + 0.15::DOUBLE)) / 50 AS seconds FROM documents")
 def synthesised_lengths(spark, sf):
-    """First lines of documents through the stand-in for speech, and what they come to in seconds."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text")).where(F.length("text").between(1, 120))
-    return services.synthesised(d, services.Tone).select("doc_id", F.round(F.size("audio") / 24000, 3).alias("seconds"))
+    """Documents through the stand-in for speech, at fifty samples a second, and what they come to in seconds."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return services.synthesised(d, lambda: services.Tone(sample_rate=50)).select("doc_id", (F.size("audio") / 50).alias("seconds"))
 
 
 @query("SELECT doc_id, '[\"' || source || '\"]' AS reply FROM documents")

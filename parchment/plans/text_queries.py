@@ -33,30 +33,6 @@ def doc_sentences_summary(spark, sf):
     return p.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum("s").alias("n_sentences"), F.sum("n").alias("n_chars"))
 
 
-#: Sentences of 250 characters at most are one piece each, so segments are a fold over sentences; longer ones are tested in Python.
-SQL_FOLD = """
-WITH para AS ({paragraphs}), s AS (SELECT doc_id, para, {sentences} AS ss FROM para),
-ok AS (SELECT * FROM s WHERE list_max(list_transform(ss, lambda x: length(x))) <= 250),
-folded AS (
-  SELECT doc_id, para, list_reduce(ss, lambda a, x: {{
-    'out': CASE WHEN a.cur <> '' AND length(a.cur) + 1 + length(x) > 250 THEN
-        CASE WHEN length(x) >= 30 THEN a.out || [a.cur, x] ELSE a.out || [a.cur] END
-      WHEN length(CASE WHEN a.cur = '' THEN x ELSE a.cur || ' ' || x END) >= 30 THEN a.out || [CASE WHEN a.cur = '' THEN x ELSE a.cur || ' ' || x END] ELSE a.out END,
-    'cur': CASE WHEN a.cur <> '' AND length(a.cur) + 1 + length(x) > 250 THEN CASE WHEN length(x) >= 30 THEN '' ELSE x END
-      WHEN length(CASE WHEN a.cur = '' THEN x ELSE a.cur || ' ' || x END) >= 30 THEN '' ELSE CASE WHEN a.cur = '' THEN x ELSE a.cur || ' ' || x END END
-  }}, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}}) AS r FROM ok),
-segs AS (SELECT doc_id, para, CASE WHEN r.cur = '' THEN r.out ELSE r.out || [r.cur] END AS seg FROM folded)
-SELECT doc_id, para, unnest(range(len(seg))) AS idx, unnest(seg) AS text FROM segs
-""".format(paragraphs=SQL_PARAGRAPHS, sentences=SQL_SENTENCES.format("p"))
-
-
-@query(SQL_FOLD)
-def doc_segments(spark, sf):
-    """Spoken segments of paragraphs whose sentences all fit."""
-    fit = lines(spark, sf).where(F.array_max(F.transform(T.sentences(F.col("p")), lambda x: F.length(x))) <= T.MAX_CHARS)
-    return fit.select("doc_id", "para", F.posexplode(T.segments(F.col("p"))).alias("idx", "s")).select("doc_id", "para", "idx", "s.text")
-
-
 #: Levels of cutting as nested list functions, then the fold over pieces.
 SQL_CUT = r"list_transform(string_split(regexp_replace(x, '({0})\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y))"
 SQL_PACK = """list_reduce(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''), lambda a, w: {'out': CASE WHEN a.cur <> '' AND length(a.cur) + 1 + length(w) > 250 THEN a.out || [a.cur] ELSE a.out END,
@@ -93,6 +69,11 @@ def doc_segments_summary(spark, sf):
     )
 
 
+@query(SQL_SEGMENTS + "SELECT doc_id, para, unnest(range(len(s))) AS idx, unnest(list_transform(s, lambda x: x.t)) AS text, unnest(list_transform(s, lambda x: x.e)) AS ends FROM seg")
+def doc_segments(spark, sf):
+    return lines(spark, sf).select("doc_id", "para", F.posexplode(T.segments(F.col("p"))).alias("idx", "s")).select("doc_id", "para", "idx", "s.text", "s.ends")
+
+
 @query(f"WITH para AS ({SQL_PARAGRAPHS}), s AS (SELECT doc_id, para, {SQL_SENTENCES.format('p')} AS ss FROM para) SELECT doc_id, para, unnest(range(len(ss))) AS idx, unnest(ss) AS sentence FROM s")
 def sentence_split(spark, sf):
     return lines(spark, sf).select("doc_id", "para", F.posexplode(T.sentences(F.col("p"))).alias("idx", "sentence"))
@@ -130,16 +111,15 @@ def capitalise_acronyms(spark, sf):
 
 
 @query(
-    f"""
-WITH segs AS (SELECT doc_id, para, idx, text, count(*) OVER (PARTITION BY doc_id, para) AS n FROM ({SQL_FOLD}))
-SELECT doc_id, para, idx, CAST(round_even(CASE WHEN idx = n - 1 THEN 800 ELSE 380 END * 1.25, 0) AS BIGINT) AS pause_after_ms,
-  sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para, idx) :: BIGINT AS chars_so_far FROM segs
-"""
+    SQL_SEGMENTS
+    + """, segs AS (SELECT doc_id, para, len(s) AS n, unnest(range(len(s))) AS idx, unnest(list_transform(s, lambda x: x.t)) AS text, unnest(list_transform(s, lambda x: x.e)) AS ends FROM seg)
+SELECT doc_id, para, idx, CAST(round_even(CASE WHEN idx = n - 1 THEN 800 WHEN ends THEN 380 ELSE 250 END * 1.25, 0) AS BIGINT) AS pause_after_ms,
+  sum(length(text)) OVER (PARTITION BY doc_id ORDER BY para, idx) :: BIGINT AS chars_so_far FROM segs"""
 )
 def segment_pauses(spark, sf):
     """Silences at 1.25 times their length, rounded half to even."""
     segs = doc_segments(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "para")))
-    base = F.when(F.col("idx") == F.col("n") - 1, T.PAUSE_PARAGRAPH).otherwise(T.PAUSE_SENTENCE)
+    base = F.when(F.col("idx") == F.col("n") - 1, T.PAUSE_PARAGRAPH).when(F.col("ends"), T.PAUSE_SENTENCE).otherwise(T.PAUSE_SEGMENT)
     run = Window.partitionBy("doc_id").orderBy("para", "idx").rowsBetween(Window.unboundedPreceding, 0)
     return segs.select("doc_id", "para", "idx", F.bround(base * F.lit(1.25)).cast("long").alias("pause_after_ms"), F.sum(F.length("text")).over(run).alias("chars_so_far"))
 
@@ -151,15 +131,15 @@ def role_tagging(spark, sf):
 
 @query(
     """
-SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN left(text, 12) WHEN turn % 5 = 3 THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS reader
+SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN text WHEN turn % 5 = 3 THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS reader
 FROM conversations QUALIFY role <> 'system'
 """
 )
 def persona_forward_fill(spark, sf):
     """System turns mark who reads what follows; every fifth turn gives back to the narrator. Markers go."""
     c = table(spark, sf, "conversations")
-    mark = F.when(F.col("role") == "system", F.concat(F.lit("@"), F.substring("text", 1, 12))).when(F.col("turn") % 5 == 3, "@narrateur")
-    filled = forward_fill(c.withColumn("m", F.when(mark == "@narrateur", "").otherwise(F.substring(mark, 2, 12))), ["conv_id"], ["turn"], "m")
+    mark = F.when(F.col("role") == "system", F.concat(F.lit("@"), F.col("text"))).when(F.col("turn") % 5 == 3, "@narrateur")
+    filled = forward_fill(c.withColumn("m", F.when(mark == "@narrateur", "").otherwise(F.substring(mark, 2, 1 << 30))), ["conv_id"], ["turn"], "m")
     return filled.where("role <> 'system'").select("conv_id", "turn", F.coalesce("m_filled", F.lit("")).alias("reader"))
 
 
@@ -241,9 +221,8 @@ def _words(spark, sf) -> DataFrame:
 
 
 def _judged(spark, sf) -> DataFrame:
-    w = _words(spark, sf)
-    lexicon = w.groupBy(F.lower("word").alias("form")).agg(F.count_distinct("doc_id").alias("d")).where("d >= 3").select("form")
-    frequency = review.word_frequency(w)
+    lexicon = review.document_frequency(table(spark, sf, "documents")).where("d >= 3").select("form")
+    frequency = review.word_frequency(_words(spark, sf))
     return review.judged_words(frequency, lexicon, review.proper_nouns(frequency))
 
 
@@ -273,9 +252,9 @@ def suspect_context(spark, sf):
 
 @query(
     f"""
-WITH {SQL_TOKENS}, freq AS (SELECT word, count(*) AS n FROM toks GROUP BY word),
-rare AS (SELECT word, left(word, 4) AS head, length(word) AS size FROM freq WHERE n = 1 AND length(word) BETWEEN 5 AND 12 AND regexp_full_match(word, '[A-Za-z]+')),
-common AS (SELECT word AS proposal, left(word, 4) AS head, length(word) AS size FROM freq WHERE n >= 20 AND regexp_full_match(word, '[A-Za-z]+')),
+WITH {SQL_TOKENS}, freq AS (SELECT regexp_replace(word, '[^\\x00-\\x7F]', 'z', 'g') AS word, count(*) AS n FROM toks GROUP BY 1),
+rare AS (SELECT word, left(word, 4) AS head, length(word) AS size FROM freq WHERE n = 1),
+common AS (SELECT word AS proposal, left(word, 4) AS head, length(word) AS size FROM freq WHERE n >= 20),
 pairs AS (SELECT word, proposal FROM rare JOIN common USING (head, size)),
 judged AS (SELECT word, proposal, CASE WHEN proposal = word THEN '' WHEN levenshtein(lower(word), lower(proposal)) > least(3, greatest(1, length(word) // 2))
   THEN levenshtein(lower(word), lower(proposal)) || ' > ' || least(3, greatest(1, length(word) // 2))
@@ -284,9 +263,9 @@ SELECT word, proposal, cause, CASE WHEN cause = '' AND proposal <> word THEN pro
 """
 )
 def guard_rails(spark, sf):
-    """Rare words of plain letters against frequent ones of their length and first four letters."""
-    freq = review.word_frequency(_words(spark, sf)).where(F.col("word").rlike("^[A-Za-z]+$")).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
-    rare = freq.where("n = 1 and size between 5 and 12").select("word", "head", "size")
+    """Rare words against frequent ones of their length and first four letters; DuckDB counts bytes, so letters outside ASCII are one letter."""
+    freq = review.word_frequency(_words(spark, sf).withColumn("word", F.regexp_replace("word", r"[^\x00-\x7F]", "z"))).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
+    rare = freq.where("n = 1").select("word", "head", "size")
     common = freq.where("n >= 20").select(F.col("word").alias("proposal"), "head", "size")
     judged = rare.join(common, ["head", "size"]).withColumn("g", review.guard(F.col("word"), F.col("proposal"), F.lit(True)))
     return judged.select("word", "proposal", "g.cause", "g.replacement")
@@ -338,8 +317,8 @@ def bench_outcome(spark, sf):
 
 @query()
 def alignment_truth(spark, sf):
-    """Corrections that turn each text into the first text with the same opening."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.substring("text", 1, 40).alias("head"))
+    """Corrections that turn each text into the first text with the same first line."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.substring_index("text", "\n", 1).alias("head"))
     firsts = d.groupBy("head").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     clean = d.join(firsts, "head").where("id = first").select("head", "first", F.col("raw").alias("clean"))
     return review.alignment_truth(d.join(clean, "head").where("id <> first").select("id", "raw", "clean"))

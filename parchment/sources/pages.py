@@ -66,4 +66,5 @@ def paragraphs(html: Column) -> Column:
 def clean_html(html: Column, base: Column) -> Column:
     """A page without scripts and meta elements, with a base for its links."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script\b.*?</script>", ""), r"(?i)<meta\b[^>]*>", "")
+    base = F.replace(F.replace(base, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))  # no references to groups
     return F.regexp_replace(bare, r"(?i)(<head[^>]*>)", F.concat(F.lit('$1<base href="'), base, F.lit('">')))
