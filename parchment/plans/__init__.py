@@ -1,14 +1,6 @@
 """Queries by family, gathered in QUERIES and ORACLE_SQL."""
 
-import sys
-
-from pyspark import cloudpickle
-
-import parchment
-
 from . import audio_job_queries, layout_queries, library_queries, misc_queries, sequence_queries, source_queries, text_queries
 from .registry import ORACLE_SQL, QUERIES
 
-cloudpickle.register_pickle_by_value(sys.modules["parchment"])  # a cluster's workers need no copy of the package
-
-__all__ = ["ORACLE_SQL", "QUERIES", "audio_job_queries", "layout_queries", "library_queries", "misc_queries", "parchment", "sequence_queries", "source_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audio_job_queries", "layout_queries", "library_queries", "misc_queries", "sequence_queries", "source_queries", "text_queries"]
