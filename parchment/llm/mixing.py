@@ -225,14 +225,15 @@ def mix_by_document(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with `taken` (words of it in the mix, repeats counted), without what the mix leaves out.
 
-    Cases are as mix() defines them; rows with one doc_id and text become one, and take what they took together.
+    Cases are as mix() defines them; rows with one doc_id and text become one, and take what they took together; a column
+    `taken` of docs gives way.
     """
     draws, sizes, _ = mix(docs, **options)
     taken = (
         draws.groupBy(F.col("row").alias("t_row")).agg(F.sum("words").alias("t"))
         .join(sizes, F.col("t_row") == F.col("row"))
-        .groupBy(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th")).agg(F.sum("t").cast("long").alias("taken"))
+        .groupBy(F.col("doc_id").alias("__t_id"), F.col("th").alias("__t_th")).agg(F.sum("t").cast("long").alias("taken"))
     )
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("__th") == F.col("t_th")))
-    return joined.dropDuplicates(["doc_id", "__th"]).drop("__th", "t_id", "t_th")
+    keyed = docs.drop("taken").withColumn("__th", F.xxhash64("text"))
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__t_id")) & (F.col("__th") == F.col("__t_th")))
+    return joined.dropDuplicates(["doc_id", "__th"]).drop("__th", "__t_id", "__t_th")

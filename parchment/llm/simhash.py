@@ -212,7 +212,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         table.join(own, F.col("fp") == F.col("c_fp"))
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("s"))
-        .select(F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th"))
+        .select(F.col("s.doc_id").alias("__s_id"), F.col("s.th").alias("__s_th"))
     )
-    kept = docs.withColumn("__th", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("__th") == F.col("s_th")), "left_semi")
+    kept = docs.withColumn("__th", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.col("__th") == F.col("__s_th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__th"]).drop("__th")

@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, k string, w string, row string, label string, d string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, k string, w string, row string, label string, d string, s_id string, t_id string, fp string, taken string, score string, y string"
 
 
 def make(spark, rows):
     """Rows (doc_id, text, lang, source), with extra columns whose names operators might use themselves."""
-    full = [(i, t, lang, src, None if t is None else len(t), "x", "x", "x", "x", "x", "x") for i, t, lang, src in rows]
+    full = [(i, t, lang, src, None if t is None else len(t), *["x"] * 12) for i, t, lang, src in rows]
     return spark.createDataFrame(full, DOCS)
 
 
