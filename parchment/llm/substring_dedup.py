@@ -9,7 +9,8 @@ a segment loses all its windows at once. Only where an anchor has several
 different segments are words fetched and dealt by anchor to shards. A shard
 builds an FM-index of its segments and streams them through it: backward search
 over the wavelet matrix gives matching statistics, and places that match at
-least `threshold` words of a smaller document are reported.
+least `threshold` words of a smaller document are reported, at every place where
+the first document has the segment.
 
 An anchor with more than SEGMENTS_MOST different segments doesn't go to a shard.
 Its windows take another exact way, two 64-bit hashes with pre-aggregated minima.
@@ -108,22 +109,22 @@ def _fetch(threshold: int):
                 for w in wanted:
                     lo, n = w["lo"], w["n"]
                     if not w["crowded"]:
-                        rows.append((w["shard"], d, th, lo, b" ".join(words[lo : lo + n + threshold - 1]), None, None))
+                        rows.append((w["shard"], d, th, lo, 0, b" ".join(words[lo : lo + n + threshold - 1]), None, None))
                         continue
                     hashed = hashed or Hashed(words)
                     at = np.arange(lo, lo + n)
                     one, two = (hashed.of(at, at + threshold, k).view(np.int64) for k in (0, 1))
-                    rows += [(None, d, th, int(p), None, int(x), int(y)) for p, x, y in zip(at, one, two)]
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = ("Int64", "int64", "int64", "int64", object, "Int64", "Int64")  # a column of None and numbers would turn to floats
-            names = ("shard", "d", "th", "lo", "words", "w1", "w2")
+                    rows += [(None, d, th, lo, int(p) - lo, None, int(x), int(y)) for p, x, y in zip(at, one, two)]
+            columns = list(zip(*rows)) or [()] * 8
+            kinds = ("Int64", "int64", "int64", "int64", "int64", object, "Int64", "Int64")  # a column of None and numbers would turn to floats
+            names = ("shard", "d", "th", "lo", "at", "words", "w1", "w2")
             yield pd.DataFrame({n: pd.array(list(c), dtype=k) if k == "Int64" else pd.Series(list(c), dtype=k) for n, c, k in zip(names, columns, kinds)})
 
     return found
 
 
 def _search(threshold: int):
-    """A shard's repeated windows, from its FM-index."""
+    """A shard's repeated windows, from its FM-index: window `at` of the segment from lo on."""
 
     def found(b: pd.DataFrame) -> pd.DataFrame:
         words = [w.split(b" ") for w in b["words"]]
@@ -133,7 +134,7 @@ def _search(threshold: int):
         index = FMIndex(symbols, lengths, docs, len(known), threshold)
         text, place = index.stream(symbols, lengths, docs)
         own = b.iloc[text]
-        return pd.DataFrame({"d": own["d"].to_numpy(), "th": own["th"].to_numpy(), "lo": own["lo"].to_numpy() + place, "n": np.ones(len(text), np.int64)})
+        return pd.DataFrame({"d": own["d"].to_numpy(), "th": own["th"].to_numpy(), "lo": own["lo"].to_numpy(), "at": place})
 
     return found
 
@@ -149,10 +150,22 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, most: int = SE
         occurrences.groupBy("a", "sh", "n", "off").agg(F.min(F.struct("d", "th", "lo")).alias("first"), F.count("*").alias("times")),
         "substring-segments",
     )
-    copied = distinct.where("times > 1").select(F.col("a").alias("c_a"), F.col("sh").alias("c_sh"), F.col("n").alias("c_n"), F.col("off").alias("c_off"), F.col("first.d").alias("c_d"))
-    whole = occurrences.join(
-        copied, (F.col("a") == F.col("c_a")) & (F.col("sh") == F.col("c_sh")) & (F.col("n") == F.col("c_n")) & (F.col("off") == F.col("c_off"))
-    ).where("d > c_d").select("d", "th", "lo", "n")
+    copied = distinct.where("times > 1").select(
+        F.col("a").alias("c_a"), F.col("sh").alias("c_sh"), F.col("n").alias("c_n"), F.col("off").alias("c_off"), F.col("first.d").alias("c_d"),
+        F.col("first.th").alias("c_th"), F.col("first.lo").alias("c_lo"),
+    )
+    # other places of a segment than its first; those in the first document itself name that place, whose hits are theirs too
+    inside = F.col("d") == F.col("c_d")
+    again = materialize(
+        occurrences.join(
+            copied, (F.col("a") == F.col("c_a")) & (F.col("sh") == F.col("c_sh")) & (F.col("n") == F.col("c_n")) & (F.col("off") == F.col("c_off"))
+        )
+        .where((F.col("d") > F.col("c_d")) | (F.col("th") != F.col("c_th")) | (F.col("lo") != F.col("c_lo")))
+        .select("d", "th", "lo", "n", F.when(inside, F.col("c_th")).alias("c_th"), F.when(inside, F.col("c_lo")).alias("c_lo")),
+        "substring-again",
+    )
+    whole = again.where("c_lo is null").select("d", "th", "lo", "n")
+    own = again.where("c_lo is not null").select(F.col("d").alias("o_d"), F.col("th").alias("o_th"), F.col("lo").alias("o_lo"), "c_th", "c_lo")
 
     several = materialize(
         distinct.groupBy(F.col("a").alias("s_a")).agg(F.count("*").alias("s_n"), F.sum(F.col("n") + threshold - 1).alias("s_words")).where("s_n > 1"),
@@ -171,14 +184,19 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, most: int = SE
     fetched = materialize(
         docs.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("th") == F.col("w_th")))
         .select("d", "th", "text", "wanted")
-        .mapInPandas(_fetch(threshold), "shard long, d long, th long, lo int, words binary, w1 long, w2 long"),
+        .mapInPandas(_fetch(threshold), "shard long, d long, th long, lo int, at int, words binary, w1 long, w2 long"),
         "substring-fetched",
     )
-    searched = fetched.where("words is not null").groupBy("shard").applyInPandas(_search(threshold), "d long, th long, lo int, n int")
+    searched = fetched.where("words is not null").groupBy("shard").applyInPandas(_search(threshold), "d long, th long, lo int, at int")
     windows = fetched.where("words is null")
     least = windows.groupBy(F.col("w1").alias("l1"), F.col("w2").alias("l2")).agg(F.min("d").alias("l_d"), F.count("*").alias("times")).where("times > 1")
-    single = windows.join(least, (F.col("w1") == F.col("l1")) & (F.col("w2") == F.col("l2"))).where("d > l_d").select("d", "th", "lo", F.lit(1).alias("n"))
-    return whole.unionByName(searched).unionByName(single)
+    single = windows.join(least, (F.col("w1") == F.col("l1")) & (F.col("w2") == F.col("l2"))).where("d > l_d").select("d", "th", "lo", "at")
+    hits = materialize(searched.unionByName(single), "substring-hits")
+    first = hits.select("d", "th", (F.col("lo") + F.col("at")).alias("lo"), F.lit(1).alias("n"))
+    others = hits.join(own, (F.col("d") == F.col("o_d")) & (F.col("th") == F.col("c_th")) & (F.col("lo") == F.col("c_lo"))).select(
+        "d", F.col("o_th").alias("th"), (F.col("o_lo") + F.col("at")).alias("lo"), F.lit(1).alias("n")
+    )
+    return whole.unionByName(first).unionByName(others)
 
 
 def keep(text: str | None, ranges, threshold: int = THRESHOLD) -> tuple[list[bytes], int]:

@@ -50,6 +50,16 @@ def test_against_brute_force(spark, most, shard_words):
     assert got(sd.remove_repeats(make(spark, rows), most=most, shard_words=shard_words)) == plain(rows, 50)
 
 
+@pytest.mark.parametrize("most", [2000, 0])
+def test_passage_twice_in_the_first_document_that_has_its_segment(spark, most):
+    x, y, u, v, m = (" ".join(f"{k}{i}" for i in range(60)) for k in "xyuvm")
+    p = " ".join(f"p{i}" for i in range(80))
+    rows = [(1, f"{x} {p} {y}", "en", "s"), (2, f"{u} {p} {v} {m} {u} {p} {v}", "en", "s"), (3, f"{u} {p} {v}", "en", "s")]
+    rows += [(5, f"{x} {m}", "en", "s"), (5, f"{y} {v} {m} {v}", "en", "s")]  # two rows of one document
+    got_rows = got(sd.remove_repeats(make(spark, rows), most=most))
+    assert got_rows == plain(rows, 50) and [r[2] for r in got_rows if r[0] == 2] == [160]
+
+
 def test_odd_cases(spark, odd, odd_rows, empty):
     assert got(sd.remove_repeats(odd)) == plain(odd_rows, 50)
     assert sd.remove_repeats(empty).collect() == []
