@@ -8,7 +8,8 @@ adding or subtracting its vector (combine()).
 
 The vector has two parts. Exact lanes hold 32-bit halves of 64-bit hashes,
 summed modulo 2**32: they tell bags apart. Sketch lanes hold plus or minus the piece's
-weight, summed modulo 2**16: the cosine of two sums estimates the cosine of the two bags.
+weight, summed modulo 2**32, which no single text reaches: the cosine of two sums estimates
+the cosine of the two bags. Printed fingerprints show sketch lanes modulo 2**16.
 
 Only DataFrame and SQL expressions; two lanes of ones are counted in one long.
 """
@@ -50,16 +51,17 @@ def _sums(piece: Column) -> list[Column]:
 
 
 def _vector() -> tuple[Column, Column]:
-    """exact: array of 32-bit values; sketch: array of centred 16-bit values."""
+    """exact: array of 32-bit values; sketch: array of centred 32-bit values."""
     lanes = [
         half
         for seed in SEEDS
         for i in range(32)
         for half in (F.col(f"s{seed}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"s{seed}_{i}"), 32))
     ]
-    centred = [F.pmod(2 * x - F.col("weight") + 32768, F.lit(65536)) - 32768 for x in lanes]
+    half = 1 << 31
+    centred = [F.pmod(2 * x - F.col("weight") + half, F.lit(2 * half)) - half for x in lanes]
     exact = [F.col(f"e{seed}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for seed in EXACT_SEEDS for k in (0, 1)]
-    return F.array(*exact), F.array(*[x.cast("smallint") for x in centred])
+    return F.array(*exact), F.array(*[x.cast("int") for x in centred])
 
 
 def bag_hashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -69,15 +71,19 @@ def bag_hashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return pieces.groupBy(*keys).agg(*_sums(F.col("piece"))).select(*keys, exact.alias("exact"), sketch.alias("sketch"))
 
 
-def combine(a: Column, b: Column, bits: int, sign: int = 1) -> Column:
-    """Lane by lane a + b (or a - b) modulo 2**bits: insertion, or deletion, of a bag."""
-    wide = F.lit(1 << bits)
-    total = F.zip_with(a, b, lambda x, y: F.pmod(x.cast("long") + sign * y.cast("long") + (wide / 2 if bits == 16 else 0), wide).cast("long"))
-    return F.transform(total, lambda x: (x - 32768).cast("smallint")) if bits == 16 else total
+def combine(a: Column, b: Column, bits: int, sign: int = 1, centred: bool = False) -> Column:
+    """Lane by lane a + b (or a - b) modulo 2**bits: insertion, or deletion, of a bag.
+
+    Exact lanes have 32 bits, sketch lanes 32 centred ones; 16 bits, always centred, are the lanes that fingerprints print.
+    """
+    centred = centred or bits == 16
+    half = F.lit(1 << (bits - 1) if centred else 0).cast("long")
+    total = F.zip_with(a, b, lambda x, y: F.pmod(x.cast("long") + sign * y.cast("long") + half, F.lit(1 << bits).cast("long")) - half)
+    return F.transform(total, lambda x: x.cast("smallint" if bits == 16 else "int")) if centred else total
 
 
 def as_text(exact: Column, sketch: Column) -> Column:
-    """The fingerprint in hexadecimal digits: exact lanes, then sketch lanes four to a long."""
+    """The fingerprint in hexadecimal digits: exact lanes, then sketch lanes modulo 2**16, four to a long."""
     heads = [F.lpad(F.lower(F.hex(F.element_at(exact, i + 1).cast("long"))), 8, "0") for i in range(2 * len(EXACT_SEEDS))]
     quad = lambda i: sum(
         F.shiftleft(F.element_at(sketch, 4 * i + j + 1).cast("long").bitwiseAND(F.lit(0xFFFF)), 48 - 16 * j) for j in range(4)

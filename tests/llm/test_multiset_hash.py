@@ -35,6 +35,19 @@ def test_order_doesnt_matter_and_bags_add_up(spark):
     assert less.e == v[4].exact and less.s == v[4].sketch
 
 
+def test_a_line_repeated_thousands_of_times(spark):
+    line = "a line of eight words that comes again and again.\n"
+    wide = "x" * 70 + ".\n"
+    rows = [(i, f"{wide * n}{line * 3}", "en", "s") for i, n in enumerate((4200, 5000, 10000, 40000))]
+    got = {r.doc_id: r for r in mh.fingerprints_with_edits(make(spark, rows)).collect()}
+    assert all(r.near_edited > 0.99 and r.near_next > 0.99 for r in got.values())
+    df = spark.createDataFrame([(1, wide * 5000 + line), (2, wide * 5000), (3, line)], "id long, t string")
+    h = mh.bag_hashes(df, ["id"], "t")
+    whole, a, b = (h.where(f"id = {i}").select(F.col("sketch").alias(f"s{i}")) for i in (1, 2, 3))
+    r = whole.join(a).join(b).select("s1", "s2", "s3", mh.combine(F.col("s2"), F.col("s3"), 32, 1, True).alias("sum"), mh.combine(F.col("s1"), F.col("s3"), 32, -1, True).alias("less")).first()
+    assert r["sum"] == r.s1 and r.less == r.s2 and max(map(abs, r.s2)) == 40_000
+
+
 def test_odd_cases(spark, odd, odd_rows, empty):
     got = mh.fingerprints_with_edits(odd).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in odd_rows)
