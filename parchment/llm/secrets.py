@@ -36,10 +36,11 @@ KEY_OWNERS = {"api", "private", "access", "secret", "auth", "encryption", "signi
 HOLDERS = re.compile(r"(?i)^(?:change_?me|example|placeholder|your[_-].*|x+|\*+|null|none|true|false|undefined|todo.*|<.*>|\$\{?\w+\}?)$")
 
 MARK = re.compile(r"[=:]")
-NAME = re.compile(r"""(?:["']?([A-Za-z_$][A-Za-z0-9_.$-]{0,127})["']?|\[\s*["']([^"'\n\]]{1,128})["']\s*\])\s*$""")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
+NAME_STARTS = NAME_CHARS - frozenset("0123456789.-")
 TERM = re.compile(r"""[\x20\t]*(?:[rRbBuUfF]{0,2}"((?:[^"\\\n]|\\.)*)"|[rRbBuUfF]{0,2}'((?:[^'\\\n]|\\.)*)'|\$\{?([A-Za-z_]\w*)\}?|([A-Za-z0-9+/_.=@!#%^&*~-]+))""")
 JOIN = re.compile(r"[\x20\t]*\+(?=[\x20\t]*[\"'A-Za-z_$])")
-ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\n]{1,512})</\1>")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")  # nothing is given back, so time is linear
 
 ACCEPT = 0.8
 
@@ -75,6 +76,41 @@ def randomness(value: str) -> float:
     return min(1.0, (classes - 1) / 2 * 0.6 + min(entropy, 4.0) / 4.0 * 0.4)
 
 
+def name_before(text: str, p: int) -> str | None:
+    """The name that ends before p: an identifier, in quotes or not, or a string in brackets.
+
+    Read backward and of any length; at most two marks pass over the same characters, so time is linear.
+    """
+
+    def blanks(i: int) -> int:
+        while i and text[i - 1].isspace():
+            i -= 1
+        return i
+
+    while p and text[p - 1] in " \t":
+        p -= 1
+    if text[p - 1 : p] in (":", "?", "+"):
+        p -= 1
+    p = blanks(p)
+    if text[p - 1 : p] == "]":
+        b = blanks(p - 1)
+        if text[b - 1 : b] not in ('"', "'"):
+            return None
+        a = b = b - 1
+        while a and text[a - 1] not in "\"'\n]":
+            a -= 1
+        at = blanks(a - 1) if a and text[a - 1] in "\"'" else 0
+        return text[a:b] if a < b and at and text[at - 1] == "[" else None
+    if text[p - 1 : p] in ('"', "'"):
+        p -= 1
+    a = p
+    while a and text[a - 1] in NAME_CHARS:
+        a -= 1
+    while a < p and text[a] not in NAME_STARTS:
+        a += 1
+    return text[a:p] or None
+
+
 def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]:
     """(name, literal, places of its parts, quoted) of every assignment, constants followed."""
     held: dict[str, tuple[str, list[tuple[int, int]]]] = {}
@@ -84,13 +120,9 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]:
         p = mark.start()
         if p < end or text[p : p + 2] in ("==", "::") or text[p - 1 : p] in ("=", "!", "<", ">"):
             continue
-        left = text[max(0, p - 160) : p].rstrip(" \t")
-        if left.endswith(":") or left.endswith("?") or left.endswith("+"):
-            left = left[:-1]
-        name = NAME.search(left)
+        name = name_before(text, p)
         if not name:
             continue
-        name = name[1] or name[2]
         at = p + 1 + (text[p + 1 : p + 2] in ("=", ">"))
         value, places, quoted, known = "", [], False, True
         while term := TERM.match(text, at):
@@ -125,10 +157,10 @@ def scan_text(text: str | None) -> tuple[list, list]:
     text = text or ""
     base = sorted(base_spans(text), key=lambda s: (s[0], s[2]))
     more = set()
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         for name, value, places, quoted in pairs(text):
             if sensitivity(name) >= 0.7 and 0.6 * sensitivity(name) + 0.3 * randomness(value) + 0.1 * quoted >= ACCEPT:
-                more |= {(a, b, 3, a, b) for a, b in places if b - a >= 4}
+                more |= {(a, b, 3, a, b) for a, b in places if b > a}
     more = {s for s in more if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)}
     return base, sorted([*base, *more], key=lambda s: (s[0], s[2]))
 

@@ -93,6 +93,20 @@ def test_secret_pairs_follow_constants():
     assert secrets.redact(None) is None and secrets.redact("plain words") == "plain words"
 
 
+def test_secret_pairs_of_any_length():
+    say = lambda t: [t[a:b] for a, b, kind, *_ in secrets.scan_text(t)[1] if kind == 3]
+    rng = random.Random(5)
+    key = "".join(rng.choice("ABCxyz012345/+") for _ in range(600))
+    assert say(f"<token>{key}</token>") == [key] and secrets.redact(f"<token>{key}</token>") == "<token>[REDACTED]</token>"
+    name = "a" * 300 + "_pwd"
+    assert say(f"<{name}>{key}</{name}>") == [key]
+    assert say(f'{name} = "hunter2Xy9"') == ["hunter2Xy9"] and say(f'x["{"db " * 100}pwd"] = "hunter2Xy9"') == ["hunter2Xy9"]
+    assert say(f'{name}{" " * 400}= "hunter2Xy9"') == ["hunter2Xy9"]
+    assert say(f'{"pwd" + "_x" * 200} = "hunter2Xy9"') == ["hunter2Xy9"]
+    assert say('k = "aB3" + "9xQ" + "7Zt" + ""\nauthToken = k') == ["aB3", "9xQ", "7Zt"]
+    assert secrets.redact('pwd = "aB3" + "9xQ" + "7Zt"') == 'pwd = "[REDACTED]" + "[REDACTED]" + "[REDACTED]"'
+
+
 def plain_distance(p, t):
     row = list(range(len(p) + 1))
     best = row[-1]
