@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed into DOM trees, folded (siblings of one kind
-become one node) and aligned by simple tree matching. Aligned nodes share a
-slot. Over all pages of the host, a slot's text that most different pages have
+Pages of one host are parsed into DOM trees and folded (siblings of one kind
+become one node). Nodes of two pages share a slot when they have one path,
+whatever the order of their siblings: siblings of a folded tree all differ, so
+this is what alignment of unordered trees comes to (align()), and it is the same
+for every page and batch, in induction and extraction. Over all pages of the host, a slot's text that most different pages have
 is template; slots that vary are content, unless most of their text is links.
 What mark-up itself says (menus, forms, adverts and so on) is left out as well.
 
@@ -207,39 +209,16 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
 def align(wrapper: tuple, tree: tuple, path: str = "") -> tuple[tuple, dict[str, str]]:
     """The wrapper grown by what the tree adds, and each path of the tree: its slot.
 
-    A node that matches has its wrapper node's slot; one that crosses the
-    wrapper's order is a slot of its own, marked by "+".
+    A node has the slot of the wrapper's sibling of its kind, also where it
+    crosses the wrapper's order: a block that moves stays one slot. So a path's
+    slot is the path itself, from whatever page the wrapper began.
     """
-    matched = {j: i for i, j in tree_match(wrapper, tree)[1]}
-    grown, slots = list(wrapper), {}
-    taken = {sig for sig, _ in wrapper}
-    for j, (sig, below) in enumerate(tree):
-        name = sig
-        if j in matched:
-            i = matched[j]
-            child, inner = align(wrapper[i][1], below, path + "/" + name)
-            grown[i] = (sig, child)
-        else:
-            name = sig + "+" if sig in taken else sig
-            child, inner = align((), below, path + "/" + name)
-            grown.append((sig, child)) if sig not in taken else None
-        slots[path + "/" + sig] = path + "/" + name
-        slots |= {path + "/" + sig + k[len(path + "/" + name) :]: v for k, v in inner.items()}
-    return tuple(grown), slots
-
-
-class Wrapper:
-    """A host's wrapper tree; slots() aligns one page with it."""
-
-    def __init__(self):
-        self.tree: tuple = ()
-        self.known: dict[tuple, dict[str, str]] = {}
-
-    def slots(self, page_blocks: list) -> dict[str, str]:
-        tree = folded([b[0] for b in page_blocks])
-        if tree not in self.known:
-            self.tree, self.known[tree] = align(self.tree, tree)
-        return self.known[tree]
+    grown, slots = dict(wrapper), {}
+    for sig, below in tree:
+        here = path + "/" + sig
+        grown[sig], inner = align(grown.get(sig, ()), below, here)
+        slots |= {here: here} | inner
+    return tuple(grown.items()), slots
 
 
 def digest(text: str) -> int:
@@ -248,24 +227,22 @@ def digest(text: str) -> int:
     return int(np.uint64(xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slots and texts of pages, those of one host in a batch aligned with each other."""
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slots and texts of pages."""
     names = ["host", "page", "slot", "text", "chars", "linked"]
     for b in batches:
-        wrappers: dict[str, Wrapper] = {}
         rows = []
         for host, page in zip(b["host"], b["html"]):
             found = blocks(page)
-            slots = wrappers.setdefault(host, Wrapper()).slots(found)
             whole = digest("\n".join(t for _, t, *_ in found))
-            rows += [(host, whole, digest(slots[p]), digest(t), len(t), linked) for p, t, linked, drop, _ in found if not drop]
+            rows += [(host, whole, digest(p), digest(t), len(t), linked) for p, t, linked, drop, _ in found if not drop]
         yield pd.DataFrame(rows, columns=names)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """w_host, menus (slots), constants (hash of slot and text) of every host. pages has host and html."""
     seen = materialize(
-        pages.mapInPandas(_aligned, "host string, page long, slot long, text long, chars long, linked long")
+        pages.mapInPandas(_slots, "host string, page long, slot long, text long, chars long, linked long")
         .groupBy("host", "page", "slot", "text").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")),
         "html-slots",
     )
@@ -287,7 +264,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def main_text(page: str | None, menus: set[int] = frozenset(), is_constant=None) -> str:
     """The page's content blocks, joined by an empty line."""
     found = blocks(page)
-    slots = {p: digest(s) for p, s in Wrapper().slots(found).items()} if menus or is_constant else {}
+    slots = {p: digest(p) for p, *_ in found} if menus or is_constant else {}
     main = any(m and not d for *_, d, m in found)
     kept = []
     for path, text, linked, drop, inside in found:

@@ -41,5 +41,18 @@ def test_induction_over_a_host(spark):
     assert ht.extract(pages.limit(0)).collect() == []
 
 
+def test_blocks_that_change_order_are_one_slot(spark):
+    def one(i):
+        box, story = "<div class=shop><p>Our paper has a shop.</p></div>", f"<div class=story><p>Story {i} begins here.</p></div>"
+        return page(box + story if i % 2 else story + box, "")
+
+    rows = [(i, f"http://h.example.com/{i}", one(i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for dealt in (pages.coalesce(1), pages.repartition(3)):
+        assert {r.page_id: r.text for r in ht.extract(dealt).collect()} == {i: f"Story {i} begins here." for i in range(40)}
+    a, b = ht.folded(["/b/x", "/b/y", "/c"]), ht.folded(["/c", "/b/y", "/b/x"])
+    assert all(k == v for k, v in ht.align(a, b)[1].items()) and ht.align(a, b)[0] == a
+
+
 def test_pair_hash_is_spark_s(spark):
     assert ht._pair_hash([123], [-77]) == [spark.sql("select xxhash64(123L, -77L) h").first().h]
