@@ -1,6 +1,9 @@
+import ast
 import hashlib
+import math
 import random
 import re
+import time
 
 from parchment.llm import decontamination as dc
 from parchment.llm import licenses, secrets
@@ -107,6 +110,104 @@ def test_secret_pairs_of_any_length():
     assert secrets.redact('pwd = "aB3" + "9xQ" + "7Zt"') == 'pwd = "[REDACTED]" + "[REDACTED]" + "[REDACTED]"'
 
 
+def plain_pairs(source):
+    """Places of accepted pairs, by the compiler's own tree of the source, with values written out."""
+    held, found = {}, set()
+    starts = [0]
+    for line in source.split("\n"):
+        starts.append(starts[-1] + len(line) + 1)
+
+    def value(node):
+        if isinstance(node, ast.Constant):
+            a = starts[node.lineno - 1] + node.col_offset + 1
+            return [(a, a + len(node.value))]
+        if isinstance(node, ast.Name):
+            return held.get(node.id)
+        left, right = value(node.left), value(node.right)
+        return None if left is None or right is None else left + right
+
+    def judge(name, places, quoted=1):
+        whole = "".join(source[a:b] for a, b in places)
+        classes = sum(bool(re.search(p, whole)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        entropy = -sum(whole.count(c) / len(whole) * math.log2(whole.count(c) / len(whole)) for c in set(whole))
+        random_ = 0 if len(whole) < 6 or " " in whole else min(1, (classes - 1) / 2 * 0.6 + min(entropy, 4) / 4 * 0.4)
+        if secrets.sensitivity(name) >= 0.7 and 0.6 * secrets.sensitivity(name) + 0.3 * random_ + 0.1 * quoted >= secrets.ACCEPT:
+            found.update(places)
+
+    for statement in ast.parse(source).body:
+        if isinstance(statement, ast.Expr):  # a setting call
+            for places in filter(None, map(value, statement.value.args)):
+                judge(statement.value.func.attr, places)
+            continue
+        name, node = statement.targets[0].id, statement.value
+        if isinstance(node, ast.Dict):
+            for k, v in zip(node.keys, node.values):
+                if (places := value(v)) is not None:
+                    judge(k.value, places)
+        elif isinstance(node, ast.List):
+            for places in filter(None, map(value, node.elts)):
+                judge(name, places)
+            held.pop(name, None)
+        elif (places := value(node)) is not None:
+            held[name] = places
+            judge(name, places)
+    return sorted(found)
+
+
+def test_secret_pairs_against_the_compiler():
+    rng = random.Random(8)
+    names = ["a", "b", "db_pwd", "myCredentials", "signing_key", "colour", "bearerValue", "pass_"]
+    literal = lambda: '"' + "".join(rng.choice(rng.choice(["abcxyz", "ABC", "0123", "ab 1", "_-"])) for _ in range(rng.randint(1, 12))) + '"'
+    hits = 0
+    for _ in range(400):
+        known, lines = [], []
+
+        def total():
+            terms = [rng.choice(known) if known and rng.random() < 0.4 else literal() for _ in range(rng.randint(1, 3))]
+            return "(" + rng.choice([" + ", " +\n    "]).join(terms) + ")" if rng.random() < 0.3 else " + ".join(terms)
+
+        for _ in range(rng.randint(1, 8)):
+            name, kind = rng.choice(names), rng.random()
+            if kind < 0.6:
+                lines.append(f"{name} = {total()}")
+                known.append(name)
+            elif kind < 0.75:
+                lines.append(f"{name} = [{', '.join(total() for _ in range(rng.randint(1, 3)))}]")
+                known = [k for k in known if k != name]
+            elif kind < 0.9:
+                lines.append("conf = {" + ", ".join(f'"{rng.choice(names)}": {literal()}' for _ in range(rng.randint(1, 3))) + "}")
+            else:
+                lines.append(f"client.set_{rng.choice(names)}({total()})")
+        source = "\n".join(lines)
+        base, every = secrets.scan_text(source)
+        want = [(a, b) for a, b in plain_pairs(source) if not any(s[0] <= a and b <= s[1] for s in base)]
+        assert [(a, b) for a, b, k, *_ in every if k == 3] == want, source
+        hits += len(want)
+    assert hits > 300
+
+
+def test_secret_syntax():
+    say = lambda t: [t[a:b] for a, b, k, *_ in secrets.scan_text(t)[1] if k == 3]
+    key = "hunter2Xy9"
+    for t in (
+        f'"credentials": ["{key}"]', f'pwd = "{key[:5]}" \\\n  "{key[5:]}"', f'obj.setCredential("{key}")', f'put("db_pwd", "{key}")', f'login(user, pwd="{key}")', f'pwd: str = "{key}"',
+        f'<add key="dbPwd" value="{key}"/>', f"- name: DB_PWD\n  value: {key}\n", f"pwd:\n  '{key}'", f'pwd = """{key}"""', f"?user=b&pwd={key}&x=1", f"PWD={key}\nmy_credential=$PWD", f"don't pwd='{key}' it's",
+    ):
+        assert "".join(say(t)) == key, t
+    for t in (f'get_credential("{key}")', f'pwd:\n  "user": "{key}"', f'pwd == "{key}"', f"pwd = load('{key}')", 'pwd = """' + key):
+        assert say(t) == [], t
+
+
+def test_secrets_take_linear_time():
+    began = time.perf_counter()
+    say = lambda t: sum(s[2] == 3 for s in secrets.scan_text(t)[1])
+    assert say('a = "xX1y2z"\n' + "a = a + a\n" * 5000 + "pwd = a\n" * 100) == 1
+    assert say('a = "xX1y2z"\n' + 'a = a + "q"\n' * 20_000 + "pwd = a\n" * 1000) == 20_001
+    for t in ("a=" * 10**6, '\\"' * 10**5, "'\"`" * 10**5, "(" * 10**6, "=[" * 10**5, ":   " * 10**5, "pwd" + " " * 10**6 + "=", "pwd =\n" * 10**5, '"""' * 100_001):
+        assert say("pwd " + t) == 0
+    assert time.perf_counter() - began < 60
+
+
 def plain_distance(p, t):
     row = list(range(len(p) + 1))
     best = row[-1]
