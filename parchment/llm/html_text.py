@@ -1,24 +1,28 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed into DOM trees and folded (siblings of one kind
-become one node). Nodes of two pages share a slot when they have one path,
-whatever the order of their siblings: siblings of a folded tree all differ, so
-this is what alignment of unordered trees comes to (align()), and it is the same
-for every page and batch, in induction and extraction. Over all pages of the host, a slot's text that most different pages have
-is template; slots that vary are content, unless most of their text is links.
-What mark-up itself says (menus, forms, adverts and so on) is left out as well.
-
-Induction and extraction each read every page once. Only hashes of slots and
-texts are counted, with pre-aggregation; a host gets one wrapper row. Wrappers
-are written and counted: up to BROADCAST_VALUES values they are broadcast, so
-pages stay where they are; beyond that pages are dealt by host and salt, and a
-host's wrapper goes to all its salts.
+Pages are parsed into DOM trees and folded (siblings of one kind become one
+node). A host's wrapper is one tree, merged from all its pages: the nodes that
+stand on a part of them, in their mean order. Each page is aligned with that
+tree by simple tree matching, so a node whose kind differs from page to page
+(a class with a number in it) finds its place; what matches nothing hangs below
+the place of its parent. The place of a node is its slot.
+
+Over all pages of a host, a text that most different pages have in one slot is
+template; slots that vary are content, unless most of their text is links. What
+mark-up itself says (menus, forms, adverts and so on) is left out as well.
+
+Merging, counting and extraction each read every page once. Nodes, slots and
+texts are counted with pre-aggregation, so nothing depends on the order of rows.
+A host gets one wrapper, of bounded size. Wrappers are written and counted: up to
+BROADCAST_CHARS they are broadcast, so pages stay where they are; beyond that
+pages are dealt by host, those of large hosts by salt as well.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,171 +32,244 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_batches
 
+SUPPORT = 0.1  # part of a host's pages that have a node of its wrapper; so a wrapper has ten pages' nodes at most
 CONSTANT = 0.8  # part of a host's different pages that makes a text template
-PAGES_LEAST = 8  # different pages of a host before anything is called constant
-BROADCAST_VALUES = 1_000_000  # values of eight bytes in all wrappers that may be broadcast
-SALTS = 32  # tasks that one host's pages are dealt to otherwise
+PAGES_LEAST = 4  # different pages that must have a text before it is called constant
 LINKED = 0.6  # part of a slot's characters inside links that makes it a menu
-
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|title|xmp)\b" + _ATTRIBUTES + r">.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>" + _ATTRIBUTES + r")>",
-    re.DOTALL | re.IGNORECASE,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+BROADCAST_CHARS = 8_000_000  # characters of all wrappers that may be broadcast
+HOST_PAGES = 20_000  # pages of a host for one salt
+GAP_CELLS = 1 << 18  # pairs of unlike siblings that are weighed one by one; longer gaps are matched in order, by tag
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+RAW = set("script style noscript iframe textarea title xmp".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Opening the key closes an open element of the value, up to a container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "thead", "tbody"), "tfoot": ("tr", "tbody")}
 CONTAINERS = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body"}
-INSIDE_P = BLOCK - {"option", "legend", "summary", "html", "body", "head"}
+INSIDE_P = BLOCK - {"option", "optgroup", "legend", "summary", "html", "body", "head"}
 
 # Elements, roles, and words of class or id that mark what isn't main text.
-DROP_TAGS = set("nav footer aside form button select menu dialog head search fieldset input label".split())
+DROP_TAGS = set("nav footer aside form button select menu dialog head search fieldset input label svg math object template".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs"
-    " cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay comment comments disqus respond reply replies related"
-    " recommended share sharing social footer login signup search widget masthead toolbar pagination pager skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar nav navbar navigation breadcrumb breadcrumbs"
+    " cookie cookies consent gdpr newsletter subscribe subscription popup modal comment comments disqus login signup widget masthead toolbar"
+    " pagination pager footer".split()
+)
+#: Words that also name what a text is about: they drop boxes, but no paragraph or heading.
+BOX_WORDS = set("menu notice notices overlay promotion respond reply replies related recommended share sharing social search skip".split())
+#: What a class may be joined with and still mean the same.
+PLAIN_WORDS = set(
+    "site page main top bottom left right box container wrapper wrap list area section block bar inner outer global primary secondary unit slot"
+    " links buttons icons posts articles stories thread form text message".split()
 )
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dd dt td th em strong b i u a code mark q cite".split())
 HEADS = {"header", "masthead"}
 #: Words that an article may not lie in or bear itself; the other words may name a page's layout around it.
 FOREIGN = set("comment comments disqus respond reply replies related recommended".split())
 
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag. Nothing is given back, so a tag that doesn't end is found out in one go.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.IGNORECASE) for t in RAW}
+
+
+def hashed(text: str, seed: int = 0) -> int:
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed & (1 << 64) - 1)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def marks(token: str) -> set[str]:
+    """The marking words of a class or id, if it says nothing else: `left-sidebar` does, `no-sidebar` doesn't."""
+    words = set(re.findall(r"(?<![a-z0-9])[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+    found = words & (DROP_WORDS | BOX_WORDS | HEADS)
+    return found if words <= found | PLAIN_WORDS else set()
+
+
+def kind(token: str) -> str:
+    """A class as a kind of element: parts with a digit in them are one."""
+    return re.sub(r"(?<![^\W_])[^\W_]*\d[^\W_]*", "#", re.sub(r"[\x00-\x1f]", "", token)) if len(token) <= 200 else "#"
+
 
 class Node:
-    __slots__ = ("tag", "sig", "path", "drop", "foreign", "main", "link")
+    """An open element. id: hash of the path of kinds from the root; block: the nearest block it is or lies in."""
+
+    __slots__ = ("tag", "sig", "id", "parent", "block", "drop", "foreign", "main", "link")
 
-    def __init__(self, tag: str, sig: str, path: str, drop: bool, foreign: bool, main: bool, link: bool):
-        self.tag, self.sig, self.path, self.drop, self.foreign, self.main, self.link = tag, sig, path, drop, foreign, main, link
+    def __init__(self, tag: str, sig: str, id_: int, parent: Node | None = None):
+        self.tag, self.sig, self.id, self.parent, self.block = tag, sig, id_, parent, self
+        self.drop = self.foreign = self.main = self.link = False
 
 
 def _open(parent: Node, tag: str, attributes: str) -> Node:
     """drop: what the element and those around it say is not main text; foreign: and no article inside can change that."""
     words: set[str] = set()
-    sig, foreign, main = tag, parent.foreign, parent.main
-    if attributes:
+    sig, role, hidden = tag, "", False
+    if "=" in attributes or "hidden" in attributes:
         found = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(attributes)}
-        name = found.get("class", "") + " " + found.get("id", "")
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())) - {""}
-        if words:
-            sig += "." + ".".join(sorted(words))
+        tokens = (found.get("class", "") + " " + found.get("id", "")).split()
+        if tokens:
+            sig += "." + ".".join(sorted(set(map(kind, tokens))))
+            words = set().union(*map(marks, tokens))
         role = found.get("role", "").lower()
         hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"\shidden(?=[\s/=]|$)", attributes)
-        foreign = foreign or role in DROP_ROLES or bool(hidden)
-        main = main or role in ("main", "article")
-    main = main or tag in ("article", "main")
+    node = Node(tag, sig, hashed(sig, parent.id), parent)
+    if tag not in BLOCK:
+        node.block = parent.block
+    node.foreign = parent.foreign or role in DROP_ROLES or bool(hidden)
+    node.main = parent.main or tag in ("article", "main") or role in ("main", "article")
+    node.link = parent.link or tag == "a"
     if tag in ("html", "body"):
-        drop = foreign
+        node.drop = node.foreign
     elif tag in ("article", "main"):
-        drop = foreign = foreign or bool(words & FOREIGN)
+        node.drop = node.foreign = node.foreign or bool(words & FOREIGN)
     else:
-        foreign = foreign or tag in DROP_TAGS or bool(words & FOREIGN)
-        drop = parent.drop or foreign or bool(words & DROP_WORDS) or (not main and (tag == "header" or bool(words & HEADS)))
-    return Node(tag, sig, parent.path + "/" + sig, drop, foreign, main, parent.link or tag == "a")
-
-
-def blocks(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
-    """(path, text, characters in links, dropped by mark-up, in a main element) of every block in page order."""
-    page = page or ""
-    root = Node("", "", "", False, False, False, False)
-    stack = [root]
-    out: list[tuple[str, str, int, bool, bool]] = []
-    parts: list[str] = []
-    state = {"linked": 0, "owner": root}
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                owner = state["owner"]
-                out.append((owner.path, text, min(state["linked"], len(text)), owner.drop, owner.main))
-            parts.clear()
-        state["linked"] = 0
+        if tag in TEXT_TAGS:
+            words -= BOX_WORDS
+        node.foreign = node.foreign or tag in DROP_TAGS or bool(words & FOREIGN)
+        node.drop = parent.drop or node.foreign or bool(words - HEADS) or (not node.main and (tag == "header" or bool(words & HEADS)))
+    return node
+
 
-    def add(text: str) -> None:
-        if not parts:
+class Page:
+    """What a page holds beside what its mark-up drops.
+
+    blocks: (id of the node, text, characters in links, in a main element) in page order. nodes: id -> (parent's id, kind)
+    of these nodes and those around them, in page order; siblings of one kind have one id.
+    """
+
+    def __init__(self, page: str | None):
+        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.nodes: dict[int, tuple[int, str]] = {}
+        self.stack = [Node("", "", 0)]
+        self.open: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.linked, self.owner = 0, self.stack[0]
+        self.read(page or "")
+        self.flush()
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text:
+                own, n = [], self.owner
+                self.blocks.append((n.id, text, min(self.linked, len(text)), n.main))
+                while n.parent is not None and n.id not in self.nodes:
+                    own.append(n)
+                    n = n.parent
+                for n in reversed(own):
+                    self.nodes[n.id] = (n.parent.id, n.sig)
+            self.parts.clear()
+        self.linked = 0
+
+    def add(self, text: str) -> None:
+        top = self.stack[-1]
+        if top.drop:  # what is dropped inside a line doesn't part it
+            return
+        if not self.parts:
             if not text.strip():
                 return
-            state["owner"] = next(n for n in reversed(stack) if n.tag in BLOCK or n is root)
-        parts.append(text)
-        if stack[-1].link:
-            state["linked"] += len(text)
-
-    def close(tags: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                flush()
-                del stack[i:]
+            self.owner = top.block
+        self.parts.append(text)
+        if top.link:
+            self.linked += len(text)
+
+    def cut(self, i: int) -> None:
+        """Close the element at i of the stack and all in it. Blocks end a text; dropped parts of a line don't."""
+        if any(n.tag in BLOCK and not n.parent.drop for n in self.stack[i:]):
+            self.flush()
+        for n in self.stack[i:]:
+            self.open[n.tag] -= 1
+        del self.stack[i:]
+
+    def close(self, tags: tuple[str, ...]) -> None:
+        if any(self.open[t] for t in tags):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in tags:
+                    self.cut(i)
+                    return
+                if self.stack[i].tag in CONTAINERS:
+                    return
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == tag:
+                    self.cut(i)
+                    return
+                if tag not in BLOCK and tag not in DROP_TAGS and self.stack[i].tag in BLOCK:  # the end of a mark of text doesn't close blocks
+                    return
+
+    def read(self, page: str) -> None:
+        i, broken = 0, False
+        while (j := page.find("<", i)) >= 0:
+            if j > i:
+                self.add(page[i:j])
+            m = TAG.match(page, j)
+            if m is None:
+                if page.startswith("<!--", j):
+                    close, size = page.find("-->", j + 2), 3
+                elif page.startswith("<![CDATA[", j):
+                    close, size = page.find("]]>", j), 3
+                elif page.startswith(("<!", "<?", "</"), j):
+                    close, size = page.find(">", j), 1
+                else:
+                    self.add("<")
+                    i = j + 1
+                    continue
+                if close < 0:
+                    return
+                i = close + size
+                continue
+            # once a quote or tag runs on to the end, quotes aren't trusted any more
+            rest = None if broken else REST.match(page, m.end())
+            broken = rest is None
+            i = rest.end() if rest else page.find(">", m.end()) + 1
+            if not i:
                 return
-            if stack[i].tag in CONTAINERS:
-                return
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            add(" ") if parts else None
-            continue
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if any(n.tag in BLOCK or n.drop != stack[i - 1].drop for n in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag doesn't close blocks
-                    break
-            continue
+            tag = m[2].lower()
+            if m[1]:
+                self.end(tag)
+            elif tag == "br":
+                self.add(" ")
+            else:
+                i = self.start(tag, page[m.end() : i - 1], page, i)
+                if i < 0:
+                    return
+        self.add(page[i:])
+
+    def start(self, tag: str, attributes: str, page: str, i: int) -> int:
         if tag in INSIDE_P:
-            close(("p",)) if any(n.tag == "p" for n in stack) else None
+            self.close(("p",))
         if tag in CLOSES:
-            close(CLOSES[tag])
-        node = _open(stack[-1], tag, m["attributes"])
-        if tag in BLOCK or node.drop != stack[-1].drop:
-            flush()
-        if tag not in VOID and not m["attributes"].endswith("/"):
-            stack.append(node)
-    add(page[at:])
-    flush()
-    return out
-
-
-def folded(paths: list[str]) -> tuple:
-    """The folded tree (sig, children) of the paths of a page's blocks, in page order."""
-    root: dict = {}
-    for p in paths:
-        here = root
-        for sig in p.split("/")[1:]:
-            here = here.setdefault(sig, {})
-
-    def frozen(children: dict) -> tuple:
-        return tuple((sig, frozen(below)) for sig, below in children.items())
-
-    return frozen(root)
-
-
-def tree_match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of children: the number of matched nodes, and the matched pairs at the top."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    gain: dict[tuple[int, int], int] = {}
-    for i in range(len(a)):
-        for j in range(len(b)):
-            w = 1 + tree_match(a[i][1], b[j][1])[0] if a[i][0] == b[j][0] else 0
-            gain[i, j] = w
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+            self.close(CLOSES[tag])
+        top = self.stack[-1]
+        if tag in BLOCK and not top.drop:
+            self.flush()
+        if tag in RAW:
+            end = RAW_END[tag].search(page, i)
+            return end.end() if end else -1
+        if tag not in VOID and not attributes.endswith("/"):
+            self.stack.append(_open(top, tag, attributes))
+            self.open[tag] += 1
+        return i
+
+
+def pairs_in_order(a: list, b: list, weight) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest set of pairs of two lists that keeps their order: its weight, and the pairs. A weight of 0 doesn't pair."""
+    best = [[0] * (len(b) + 1)]
+    weights = [[weight(x, y) for y in b] for x in a]
+    for row in weights:
+        above, here = best[-1], [0]
+        for j, w in enumerate(row):
+            here.append(max(above[j + 1], here[j], above[j] + w))
+        best.append(here)
     pairs, i, j = [], len(a), len(b)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -201,81 +278,241 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            if gain[i, j]:
-                pairs.append((i, j))
+            pairs.append((i, j))
     return best[-1][-1], pairs[::-1]
 
 
-def align(wrapper: tuple, tree: tuple, path: str = "") -> tuple[tuple, dict[str, str]]:
-    """The wrapper grown by what the tree adds, and each path of the tree: its slot.
+def by_tag(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of equal tags, the first with the first and so on."""
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(a):
+        places.setdefault(t, []).append(i)
+    used: Counter[str] = Counter()
+    out = []
+    for j, t in enumerate(b):
+        if used[t] < len(places.get(t, ())):
+            out.append((places[t][used[t]], j))
+            used[t] += 1
+    return out
+
+
+def tag_of(sig: str) -> str:
+    return sig.split(".", 1)[0]
+
+
+class Tree:
+    """Children of every node, (kind, id) in order."""
 
-    A node has the slot of the wrapper's sibling of its kind, also where it
-    crosses the wrapper's order: a block that moves stays one slot. So a path's
-    slot is the path itself, from whatever page the wrapper began.
+    def __init__(self, nodes: dict[int, tuple[int, str]]):
+        self.below: dict[int, list[tuple[str, int]]] = {}
+        for id_, (parent, sig) in nodes.items():
+            self.below.setdefault(parent, []).append((sig, id_))
+
+
+def tree_match(a: Tree, b: Tree, x: int, y: int, memo: dict[tuple[int, int], int]) -> int:
+    """Simple tree matching of what lies below x of a and y of b: how many nodes, alike by tag, can be paired in order.
+
+    No recursion, so depth doesn't matter; pairs are weighed once (memo).
     """
-    grown, slots = dict(wrapper), {}
-    for sig, below in tree:
-        here = path + "/" + sig
-        grown[sig], inner = align(grown.get(sig, ()), below, here)
-        slots |= {here: here} | inner
-    return tuple(grown.items()), slots
+    stack = [(x, y)]
+    while stack:
+        x, y = stack[-1]
+        left, right = a.below.get(x, []), b.below.get(y, [])
+        few = len(left) * len(right) <= GAP_CELLS
+        alike = [(u, v) for s, u in left for t, v in right if tag_of(s) == tag_of(t)] if few else []
+        waiting = [p for p in alike if p not in memo]
+        if waiting:
+            stack += waiting
+            continue
+        stack.pop()
+        if few:
+            allowed = set(alike)
+            memo[x, y] = pairs_in_order([u for _, u in left], [v for _, v in right], lambda u, v: 1 + memo[u, v] if (u, v) in allowed else 0)[0] if allowed else 0
+        else:
+            memo[x, y] = len(by_tag([tag_of(s) for s, _ in left], [tag_of(s) for s, _ in right]))
+    return memo[x, y]
+
+
+ANY = ".*"  # in place of classes: a wrapper's node for the kinds that few pages share
+
+
+class Wrapper:
+    """A host's tree, the slots that are menus, and the texts (hashed with their slots) that are template."""
+
+    def __init__(self, tree: str | None = None, menus: str | None = None, constants: str | None = None):
+        numbers = lambda t: {int(x) for x in t.split(",")} if t else set()
+        self.menus, self.constants = numbers(menus), numbers(constants)
+        self.nodes: dict[int, tuple[int, str]] = {}
+        for row in tree.split("\n") if tree else ():
+            id_, parent, sig = row.split("\t")
+            self.nodes[int(id_)] = (int(parent), sig)
+        self.tree = Tree(self.nodes)
+
+    def align(self, page: Page) -> dict[int, int]:
+        """The slot of every node of a page: the wrapper's node that it is matched with, else a place below its parent's slot."""
+        tree, slots, memo = Tree(page.nodes), {0: 0}, {}
+        queue = [0]
+        while queue:
+            at = queue.pop()
+            slot, below = slots[at], tree.below.get(at, [])
+            known = {sig: id_ for sig, id_ in self.tree.below.get(slot, [])}
+            odd = []
+            for sig, id_ in below:
+                if sig in known:
+                    slots[id_] = known[sig]
+                else:
+                    odd.append((sig, id_))
+            if odd and known:
+                mine = {sig for sig, _ in below}
+                free = [(sig, id_) for sig, id_ in self.tree.below[slot] if sig not in mine and not sig.endswith(ANY)]
+                for (_, w), (_, p) in self.matched(free, odd, tree, memo):
+                    slots[p] = w
+            for sig, id_ in odd:
+                if id_ not in slots:
+                    slots[id_] = known.get(tag_of(sig) + ANY) or hashed(sig, slot)
+            queue += [id_ for _, id_ in below]
+        return slots
+
+    def matched(self, free: list, odd: list, tree: Tree, memo: dict) -> list[tuple]:
+        if len(free) * len(odd) > GAP_CELLS:
+            pairs = by_tag([tag_of(s) for s, _ in free], [tag_of(s) for s, _ in odd])
+        else:
 
+            def weight(w, p):
+                if tag_of(w[0]) != tag_of(p[0]):
+                    return 0
+                inside = tree_match(self.tree, tree, w[1], p[1], memo)
+                # the larger part of what lies below the smaller of the two must match
+                small = min(len(self.tree.below.get(w[1], ())), len(tree.below.get(p[1], ())))
+                return 1 + inside if 2 * inside >= small else 0
 
-def digest(text: str) -> int:
-    from xxhash import xxh64_intdigest
+            pairs = pairs_in_order(free, odd, weight)[1]
+        return [(free[i], odd[j]) for i, j in pairs]
+
+
+def identity(page: Page) -> int:
+    """Pages that agree in their three longest texts are copies of each other."""
+    return hashed("\n".join(sorted(sorted({t for _, t, *_ in page.blocks}, key=lambda t: (-len(t), t))[:3])))
+
+
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of pages; the root has the id 0."""
+    for b in batches:
+        rows: list[tuple] = []
+        for host, page in zip(b["host"], b["html"]):
+            rows.append((host, 0, 0, "", 0))
+            places: Counter[int] = Counter()
+            for id_, (parent, sig) in Page(page).nodes.items():
+                rows.append((host, id_, parent, sig, places[parent]))
+                places[parent] += 1
+        yield pd.DataFrame(rows, columns=["host", "id", "parent", "sig", "place"])
+
+
+def trees(pages: DataFrame) -> DataFrame:
+    """host, n_pages, tree of every host with two pages or more. pages has host and html."""
+    nodes = materialize(
+        pages.mapInPandas(_nodes, "host string, id long, parent long, sig string, place long")
+        .groupBy("host", "id").agg(F.min("parent").alias("parent"), F.min("sig").alias("sig"), F.count("*").alias("n"), F.sum("place").alias("place")),
+        "html-nodes",
+    )
+    hosts = nodes.where("id = 0").select(F.col("host").alias("s_host"), F.col("n").alias("n_pages"))
+    enough = F.greatest(F.lit(2.0), SUPPORT * F.col("n_pages"))
+    counted = nodes.where("id <> 0").join(hosts, F.col("host") == F.col("s_host")).where("n_pages > 1")
+    shared = counted.where(F.col("n") >= enough)
+    inner = shared.select(F.col("host").alias("i_host"), F.col("id").alias("i_id"))
+    inner = inner.unionByName(hosts.select(F.col("s_host").alias("i_host"), F.lit(0).cast("long").alias("i_id")))
+    any_kind = (
+        counted.where(F.col("n") < enough)
+        .groupBy("host", "n_pages", "parent", F.concat(F.substring_index("sig", ".", 1), F.lit(ANY)).alias("sig"))
+        .agg(F.sum("n").alias("n"), F.sum("place").alias("place")).where(F.col("n") >= enough)
+        .join(inner, (F.col("host") == F.col("i_host")) & (F.col("parent") == F.col("i_id")), "left_semi")
+        .withColumn("id", F.xxhash64("parent", "sig"))
+    )
+    columns = ["host", "n_pages", "id", "parent", "sig", (F.col("place") / F.col("n")).alias("place")]
+    row = lambda x: F.concat_ws("\t", x["id"].cast("string"), x["parent"].cast("string"), x["sig"])
+    return (
+        shared.select(*columns).unionByName(any_kind.select(*columns))
+        .groupBy(F.col("host").alias("w_host"), "n_pages").agg(F.array_sort(F.collect_list(F.struct("place", "sig", "id", "parent"))).alias("t"))
+        .select("w_host", "n_pages", F.array_join(F.transform("t", row), "\n").alias("tree"))
+    )
+
+
+class Wrappers:
+    """Wrappers by their rows; a worker reads each once."""
 
-    return int(np.uint64(xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
+    def __init__(self):
+        self.known: dict[tuple, Wrapper] = {}
+
+    def of(self, *row) -> Wrapper:
+        row = tuple(None if pd.isna(x) else x for x in row)
+        if row not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            self.known[row] = Wrapper(*row)
+        return self.known[row]
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slots and texts of pages."""
-    names = ["host", "page", "slot", "text", "chars", "linked"]
+    """Slots and texts of pages; key is the text's hash with its slot."""
+    known = Wrappers()
     for b in batches:
         rows = []
-        for host, page in zip(b["host"], b["html"]):
-            found = blocks(page)
-            whole = digest("\n".join(t for _, t, *_ in found))
-            rows += [(host, whole, digest(p), digest(t), len(t), linked) for p, t, linked, drop, _ in found if not drop]
-        yield pd.DataFrame(rows, columns=names)
+        for host, page, tree in zip(b["host"], b["html"], b["tree"]):
+            page, wrapper = Page(page), known.of(tree)
+            slots, own = wrapper.align(page), identity(page)
+            rows += [(host, own, slots[n], hashed(t, slots[n]), slots[n] in wrapper.nodes, len(t), linked) for n, t, linked, _ in page.blocks]
+        yield pd.DataFrame(rows, columns=["host", "page", "slot", "key", "inside", "chars", "linked"])
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """w_host, menus (slots), constants (hash of slot and text) of every host. pages has host and html."""
+def wrappers(pages: DataFrame, most: int = BROADCAST_CHARS) -> DataFrame:
+    """w_host, n_pages, tree, menus, constants of every host with two pages or more. pages has page_id, url, host and html."""
+    grown = materialize(trees(pages.select("host", "html")), "html-trees")
     seen = materialize(
-        pages.mapInPandas(_slots, "host string, page long, slot long, text long, chars long, linked long")
-        .groupBy("host", "page", "slot", "text").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")),
+        with_wrappers(pages, grown, most)
+        .select("host", "html", "tree")
+        .mapInPandas(_slots, "host string, page long, slot long, key long, inside boolean, chars long, linked long")
+        .groupBy("host", "page", "slot", "key", "inside").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")),
         "html-slots",
     )
-    size = seen.groupBy(F.col("host").alias("s_host")).agg(F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= PAGES_LEAST)
-    texts = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT * PAGES_LEAST)
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.col(c).cast("string"))), ",")
+    size = seen.groupBy(F.col("host").alias("s_host")).agg(F.count_distinct("page").alias("n_different")).where(F.col("n_different") >= PAGES_LEAST)
     constants = (
-        texts.join(size, F.col("host") == F.col("s_host"))
-        .where(F.col("n") >= CONSTANT * F.col("n_pages"))
-        .groupBy(F.col("host").alias("c_host")).agg(F.collect_list(F.xxhash64("slot", "text")).alias("constants"))
+        seen.groupBy("host", "slot", "key").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES_LEAST)
+        .join(size, F.col("host") == F.col("s_host"))
+        .where(F.col("n") >= CONSTANT * F.col("n_different"))
+        .groupBy(F.col("host").alias("c_host")).agg(listed("key").alias("constants"))
     )
     menus = (
-        seen.groupBy("host", "slot").agg(F.sum("chars").alias("c"), F.sum("linked").alias("l"))
+        seen.where("inside").groupBy("host", "slot").agg(F.sum("chars").alias("c"), F.sum("linked").alias("l"))
         .where(F.col("l") >= LINKED * F.col("c"))
-        .groupBy(F.col("host").alias("m_host")).agg(F.collect_list("slot").alias("menus"))
+        .groupBy(F.col("host").alias("m_host")).agg(listed("slot").alias("menus"))
+    )
+    return (
+        grown.join(constants, F.col("w_host") == F.col("c_host"), "left").join(menus, F.col("w_host") == F.col("m_host"), "left")
+        .select("w_host", "n_pages", "tree", "menus", "constants")
     )
-    return constants.join(menus, F.col("c_host") == F.col("m_host"), "full").select(F.coalesce("c_host", "m_host").alias("w_host"), "menus", "constants")
 
 
-def main_text(page: str | None, menus: set[int] = frozenset(), is_constant=None) -> str:
-    """The page's content blocks, joined by an empty line."""
-    found = blocks(page)
-    slots = {p: digest(p) for p, *_ in found} if menus or is_constant else {}
-    main = any(m and not d for *_, d, m in found)
-    kept = []
-    for path, text, linked, drop, inside in found:
-        if drop or (main and not inside):
-            continue
-        if not main and (slots.get(path) in menus or linked >= LINKED * len(text)):
-            continue
-        if is_constant and is_constant(slots[path], text):
-            continue
-        kept.append(text)
-    return "\n\n".join(kept)
+def main_text(html_: str | None, wrapper: Wrapper | None = None) -> str:
+    """The page's content blocks, joined by an empty line.
+
+    Menus of links count only outside main elements. Where a page has main elements, they are its content, unless twice as
+    much varying text stands beside them. A page all of whose text is template keeps it.
+    """
+    page, wrapper = Page(html_), wrapper or Wrapper()
+    slots = wrapper.align(page) if wrapper.menus or wrapper.constants else {}
+    found = []  # text, in a main element, template
+    for n, text, linked, main in page.blocks:
+        slot = slots.get(n)
+        if main or not (slot in wrapper.menus or linked >= LINKED * len(text)):
+            found.append((text, main, bool(wrapper.constants) and hashed(text, slot) in wrapper.constants))
+    if not all(constant for *_, constant in found):
+        found = [f for f in found if not f[2]]
+    inside = sum(len(t) for t, main, _ in found if main)
+    beside = sum(len(t) for t, main, _ in found if not main)
+    if any(main for _, main, _ in found) and beside <= 2 * inside:
+        found = [f for f in found if f[1]]
+    return "\n\n".join(t for t, *_ in found)
 
 
 def host_of(url: Column) -> Column:
@@ -283,60 +520,42 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _pair_hash(slots: list[int], texts: list[int]) -> list[int]:
-    """What Spark's xxhash64 gives for two longs: the second hashed with the first's hash as its seed."""
-    from xxhash import xxh64_intdigest
-
-    out = []
-    for s, t in zip(slots, texts):
-        seed = xxh64_intdigest(s.to_bytes(8, "little", signed=True), 42)
-        out.append(int(np.uint64(xxh64_intdigest(t.to_bytes(8, "little", signed=True), seed)).view(np.int64)))
-    return out
-
-
-def with_wrappers(pages: DataFrame, found: DataFrame, most: int = BROADCAST_VALUES) -> DataFrame:
-    """pages (host) with the menus and constants of their hosts."""
-    values = F.coalesce(F.size("menus"), F.lit(0)) + F.coalesce(F.size("constants"), F.lit(0)) + F.floor(F.length("w_host") / 8) + 4
-    if (found.agg(F.sum(values)).first()[0] or 0) <= most:
+def with_wrappers(pages: DataFrame, found: DataFrame, most: int = BROADCAST_CHARS, host_pages: int = HOST_PAGES) -> DataFrame:
+    """pages (host) with the wrappers of their hosts; null where a host has none."""
+    texts = [c for c in found.columns if c not in ("w_host", "n_pages")]
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.length("w_host") + 8)
+    if (found.agg(F.sum(size)).first()[0] or 0) <= most:
         return pages.join(F.broadcast(found), F.col("host") == F.col("w_host"), "left")
-    salted = found.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")  # copies of a page part as well
-    return pages.withColumn("salt", salt).join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
+    salts = F.ceil(F.col("n_pages") / host_pages).cast("int")
+    large = found.where(F.col("n_pages") > host_pages).select(F.col("w_host").alias("l_host"), salts.alias("salts"))  # at most a host for host_pages pages
+    dealt = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("salts", F.lit(1))).cast("int"))
+    salted = found.withColumn("w_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
 
 
-def extract(pages: DataFrame, most: int = BROADCAST_VALUES) -> DataFrame:
+def extract(pages: DataFrame, most: int = BROADCAST_CHARS) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Defined cases: a null or empty page, and one without content, has the empty
-    text; unclosed and stray tags are repaired as browsers do; pages without a
-    host share a wrapper; a host of fewer than PAGES_LEAST different pages has
-    no constants; copies of a page count once; repeated rows each get their
+    text; unclosed and stray tags are repaired as browsers do, a tag without an
+    end takes the rest of the page with it; elements may nest to any depth; pages
+    without a host share a wrapper; a host of one page has none; a text is called
+    constant where PAGES_LEAST different pages at least have it; pages that
+    agree in their three longest texts count as one; repeated rows each get their
     row; an empty table gives no rows; columns beyond page_id, url and html are
-    not read.
+    not read. The order of rows and files doesn't matter.
     """
 
-    @F.pandas_udf("string")
-    def text_of(htmls: pd.Series, menus: pd.Series, constants: pd.Series) -> pd.Series:
-        held: dict[bytes, set] = {}
-
-        def as_set(values) -> set:
-            if values is None:
-                return set()
-            key = np.asarray(values, np.int64).tobytes()
-            return held.setdefault(key, set(np.asarray(values).tolist()))
-
-        out = []
-        for page, m, c in zip(htmls, menus, constants):
-            known = as_set(c)
-            check = (lambda s, t: _pair_hash([s], [digest(t)])[0] in known) if known else None
-            out.append(main_text(page, as_set(m), is_constant=check))
-        return pd.Series(out, dtype=object)
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Wrappers()
+        for b in batches:
+            text = [main_text(page, known.of(*row)) for page, *row in zip(b["html"], b["tree"], b["menus"], b["constants"])]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": pd.Series(text, dtype=object)})
 
     text_batches(pages.sparkSession)
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = materialize(wrappers(own.select("host", "html")), "html-wrappers")
-    return (
-        with_wrappers(own, found, most)
-        .select("page_id", "url", text_of("html", "menus", "constants").alias("text"))
-        .withColumn("n_chars", F.length("text").cast("long"))
-    )
+    found = materialize(wrappers(own, most), "html-wrappers")
+    kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
+    read = with_wrappers(own, found, most).select("page_id", "url", "html", "tree", "menus", "constants").mapInPandas(texts, kinds)
+    return read.withColumn("n_chars", F.length("text").cast("long"))
