@@ -23,6 +23,8 @@ from .common import WORD, materialize
 
 #: Positions of a source's permuted order that share one key of the range join.
 CELL = 4096
+#: Buckets or shards that are added up together.
+STRETCH = 4096
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -117,6 +119,24 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
     return tree
 
 
+def sums_before(df: DataFrame, key: str, at: str, columns: dict[str, str], width: int = STRETCH) -> DataFrame:
+    """df with, for each column, the sum of it over the rows of `key` before `at` (a whole number from 0).
+
+    In two steps: stretches of `width` places are summed, these sums are added up along a key, and rows only
+    within their stretch. So no task holds more than a stretch, or a key's stretches.
+    """
+    cut = df.withColumn("stretch", F.expr(f"`{at}` div {width}"))
+    whole = cut.groupBy(F.col(key).alias("s_key"), F.col("stretch").alias("s_stretch")).agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
+    along = Window.partitionBy("s_key").orderBy("s_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("s_key", "s_stretch", *[F.coalesce(F.sum(f"s_{c}").over(along), F.lit(0)).alias(f"s_{c}") for c in columns])
+    inside = Window.partitionBy(key, "stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        cut.withColumns({f"i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+        .join(starts, (F.col(key) == F.col("s_key")) & (F.col("stretch") == F.col("s_stretch")))
+        .select(*df.columns, *[(F.col(f"i_{c}") + F.col(f"s_{c}")).alias(name) for c, name in columns.items()])
+    )
+
+
 def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block_words: int = 512, shard_blocks: int = 4096, bucket_blocks: int = 2_000, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Draw the mix. Returns (draws, sizes, targets).
 
@@ -128,7 +148,11 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float =
     source is a source of its own, the last; rows that repeat a doc_id, or a
     whole row, are separate documents; an empty table gives no draws; columns
     beyond doc_id, source and text are not read. The blocks' order comes from
-    hashes of doc_id and block, so reruns agree.
+    hashes of doc_id, text and block, so reruns agree, whatever the order of rows;
+    rows that are equal in these take each other's place.
+
+    Sources are few: one row holds the quotas of all of them, and each node of
+    the tree draws for all. A million hosts as sources aren't meant.
     """
     sizes = word_counts(docs)
     targets = materialize(source_targets(sizes, weights, ratio, cap), "mix-targets")
@@ -144,25 +168,21 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float =
         sizes.where("size > 0")
         .join(plan, F.col("source").eqNullSafe(F.col("of")))
         .select(
-            "row", "doc_id", "source", "idx", "full", "extra", "size",
+            "row", "doc_id", "source", "th", "idx", "full", "extra", "size",
             F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block_words) - 1)).alias("block"),
         )
         .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words))
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "block"))
+        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "th", "block"))
         .withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     )
-    at = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocks.groupBy("idx", "bucket").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    totals = counted.groupBy(F.col("idx").alias("t_idx")).agg(F.sum("n").alias("n_source"))  # a row a source
     bases = (
-        blocks.groupBy("idx", "bucket")
-        .agg(F.sum("words").alias("w"), F.count("*").alias("n"))
-        .select(
-            F.col("idx").alias("b_idx"), F.col("bucket").alias("b_bucket"),
-            F.coalesce(F.sum("w").over(at), F.lit(0)).alias("w0"),
-            F.coalesce(F.sum("n").over(at), F.lit(0)).alias("n0"),
-            F.sum("n").over(Window.partitionBy("idx")).alias("n_source"),
-        )
+        sums_before(counted, "idx", "bucket", {"w": "w0", "n": "n0"})
+        .join(totals, F.col("idx") == F.col("t_idx"))
+        .select(F.col("idx").alias("b_idx"), F.col("bucket").alias("b_bucket"), "w0", "n0", "n_source")
     )
-    inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "row", "block")
+    inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "th", "block", "row")  # rows that are equal take each other's place
     ranked = (
         blocks.withColumn("w_in", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
         .withColumn("n_in", F.row_number().over(inside) - 1)
@@ -193,9 +213,8 @@ def mix(docs: DataFrame, *, weights=(3, 1, 2), ratio: float = 1.5, cap: float =
         .agg(F.expr("transform(array_sort(collect_list(struct(idx, coalesce(n, 0L) as n))), x -> x.n)").alias("quotas"))
     )
     leaves = split_tree(quotas, levels, seed).select(F.col("node").alias("shard"), F.posexplode("quotas").alias("l_idx", "n")).where("n > 0")
-    before = Window.partitionBy("l_idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        leaves.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        sums_before(leaves, "l_idx", "shard", {"n": "lo"})
         .withColumn("hi", F.col("lo") + F.col("n") - 1)
         .withColumn("l_cell", F.explode(F.expr(f"sequence(lo div {CELL}, hi div {CELL})")))
     )

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -79,3 +80,21 @@ def test_odd_cases(spark, odd, odd_rows, empty):
     assert kept.columns == [*(c for c in odd.columns if c != "taken"), "taken"] and mixing.mixed_documents(empty).count() == 0
     total = sum(r["taken"] for r in got)
     assert kept.agg(F.sum("taken")).first()[0] == total
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rng = random.Random(12)
+    rows = [(1, " ".join(["w"] * rng.randint(400, 3000)) + f" {i}", "en", "a") for i in range(8)]  # one doc_id
+    rows += [(i, " ".join(["w"] * rng.randint(1, 900)), "en", rng.choice("abc")) for i in range(2, 60)]
+    result = lambda r, parts: sorted(map(tuple, mixing.mix_by_document(make(spark, r).repartition(parts)).collect()), key=repr)
+    want = result(rows, 1)
+    assert result(rows[::-1], 1) == want and result(rng.sample(rows, len(rows)), 3) == want
+
+
+def test_sums_before(spark):
+    rng = random.Random(4)
+    rows = [(k, at, rng.randint(0, 9), rng.randint(0, 9)) for k in (0, 1) for at in rng.sample(range(500), 200)]
+    got = mixing.sums_before(spark.createDataFrame(rows, "k int, at long, a long, b long"), "k", "at", {"a": "a0", "b": "b0"}, 16).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.a0, r.b0) == tuple(sum(x[c] for x in rows if x[0] == r.k and x[1] < r["at"]) for c in (2, 3))
