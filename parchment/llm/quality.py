@@ -27,7 +27,6 @@ FEATURES = 256
 RIDGE = 1e-2
 CALIBRATION_FOLD = 1  # of crc32 modulo 5; fold 0 is held out
 ACCEPT = 0.3
-PARTS = 8  # partial sums of the normal equations
 
 _MARKS = [ord(c) for c in "!?.,;:|#$%&*@/\\<>{}[]()=_-+\"'~^"]
 _DIGITS, _UPPER, _LOWERS = slice(0x30, 0x3A), slice(0x41, 0x5B), slice(0x61, 0x7B)
@@ -109,14 +108,21 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_fit: in
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
         .select(F.col("doc_id").alias("l_id"), F.col(target).cast("double").alias("y"), crc_fold(F.col("doc_id")).alias("fold"))
         .orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_fit)
+        .select(F.monotonically_increasing_id().alias("l_row"), "*")
     )
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b.y, "fold": b.fold, "x": [np.array(statistics(t), dtype=float) for t in b.text]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "y", "fold")
-    known = materialize(rows.mapInPandas(measured, "y double, fold long, x array<double>").coalesce(PARTS), "quality-fit")
+            yield pd.DataFrame({"l_row": b.l_row, "y": b.y, "fold": b.fold, "th": b.th, "x": [np.array(statistics(t), dtype=float) for t in b.text]})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("l_row", "y", "fold", F.xxhash64("text").alias("th"), "text")
+    # the scan keeps its splits; only statistics move, one row a label, in an order of their own, so that sums repeat
+    known = materialize(
+        rows.mapInPandas(measured, "l_row long, y double, fold long, th long, x array<double>")
+        .groupBy("l_row", "y", "fold").agg(F.min(F.struct("th", "x")).alias("m"))
+        .select("l_row", "y", "fold", "m.x").sortWithinPartitions("l_row"),
+        "quality-fit",
+    )
 
     def sums(of) -> np.ndarray:
         """`of` (matrix and labels of the fit folds -> array), summed over partitions."""
@@ -173,7 +179,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Defined cases: a null or empty text is scored like any other, by its zero
     statistics; a null doc_id isn't held out and never learned from; labels
-    that repeat count each time; without labels of both kinds every score is
+    that repeat count each time, and of documents that share a doc_id one is
+    learned from (the first by hash of text); without labels of both kinds every score is
     the rate of label 1, or 0.5 without any; empty documents give no rows;
     columns beyond doc_id and text are not read.
     """
@@ -185,7 +192,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that the classifier rejects."""
+    """docs, all columns, without the rows that the classifier rejects.
+
+    Null and empty texts are judged by their zero statistics; repeated rows stay or go together; cases of learning are those of
+    quality_scores(); an empty table stays empty; columns beyond doc_id and text pass through, whatever their names.
+    """
     model = fit(docs, labels)
     text_batches(docs.sparkSession)
     return docs.where(score_of(model) >= ACCEPT)
