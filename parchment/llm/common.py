@@ -15,11 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is missing, as in local tests, a folder of our own
-    is made and set.
+    Only where the setting is missing on a local master, as in tests, a folder of
+    our own is made and set. A cluster without the setting is an error: its
+    executors share no folder with the driver.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="parchment-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,12 +56,22 @@ def release(df: DataFrame) -> None:
         _written.remove(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete all tables that this process has materialized, once their results are written elsewhere. How many there were."""
-    n = len(_written)
-    while _written:
-        _delete(spark, _written.pop())
-    return n
+def written() -> int:
+    """How many tables this process has materialized and not deleted: a mark for sweep()."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that this process has materialized after a mark, once their results are written elsewhere. How many went.
+
+    The table behind `keep` stays.
+    """
+    kept = getattr(keep, "_parchment_path", None)
+    gone = [p for p in _written[since:] if p != kept]
+    for path in gone:
+        _delete(spark, path)
+        _written.remove(path)
+    return len(gone)
 
 
 def crc_fold(doc_id: Column) -> Column:
@@ -65,15 +79,15 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def unit_interval(hashed: Column) -> Column:
-    """A number in [0, 1) from the upper 53 bits of a 64-bit hash."""
-    return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts stay small: a batch is what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What one Arrow batch, which is what a Python worker holds at once, takes at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, so long texts make small ones. The bounds are the same for every operator: which was built last doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -162,7 +162,7 @@ def links(fps: DataFrame, most: int = CELL_MOST) -> DataFrame:
     """u, v: edges that connect all distinct fingerprints `fp` within RADIUS bits, directly or by others."""
     spark = fps.sparkSession
     keys = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell")).where("cell is not null")
-    text_batches(spark, 50_000)  # of two numbers
+    text_batches(spark)
     met = materialize(keys.repartition("cell").sortWithinPartitions("cell").mapInPandas(meet(most), "kind int, u long, v long").distinct(), "simhash-met")
     found = met.where("kind = 0").select("u", "v")
     crowded = met.where("kind = 1").select(F.col("u").alias("fp"))
