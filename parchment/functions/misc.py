@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -55,17 +58,29 @@ def true_keys(flags: Column) -> Column:
     return F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: F.coalesce(v, F.lit(False)))))
 
 
-def violations(json: Column, depth: int = 4) -> Column:
-    """Sorted names of objects with "violated": true, down to `depth`, from a JSON text."""
-    levels = [F.from_json(json, "map<string,string>")]
-    names = []
-    nested = F.array(levels[0])
-    for _ in range(depth):
-        entries = F.flatten(F.transform(nested, lambda m: F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>"))))
-        inner = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.from_json(e["value"], "map<string,string>").alias("m")))
-        names.append(F.transform(F.filter(inner, lambda e: F.coalesce(F.try_element_at(e["m"], F.lit("violated")) == "true", F.lit(False))), lambda e: e["k"]))
-        nested = F.filter(F.transform(inner, lambda e: e["m"]), lambda m: m.isNotNull())
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*names))))
+def _violated(text: str | None) -> list[str]:
+    try:
+        stack, found = [json.loads(text or "")], set()
+    except (ValueError, RecursionError):
+        return []
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack += node
+        elif isinstance(node, dict) and "violated" not in node:
+            for name, value in node.items():
+                if isinstance(value, dict) and value.get("violated"):
+                    found.add(name)
+                else:
+                    stack.append(value)
+    return sorted(found)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def violations(texts: pd.Series) -> pd.Series:
+    """Sorted names of objects that say "violated": true, at any depth of a JSON text; what lies inside such an object isn't
+    looked at, and what isn't JSON has none. Depth has no bound, so no fixed number of from_json() would do."""
+    return texts.map(_violated)
 
 
 def merged_settings(old: Column, new: Column, allowed: list[str]) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 # Number words.
 UNITS = "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize".split()
 TENS = {2: "vingt", 3: "trente", 4: "quarante", 5: "cinquante", 6: "soixante"}
-SCALES = ((10**9, "milliard"), (10**6, "million"))
+PREFIXES = "m b tr quadr quint sext sept oct non déc".split()
+SCALES = tuple((10 ** (6 * k + 3 * half), p + ("illiard" if half else "illion")) for k, p in reversed(list(enumerate(PREFIXES, 1))) for half in (1, 0))
+LONGEST = 66  # digits that have a name; longer numbers are read digit by digit
 NUMBER = re.compile(r"\d+(?:[\s.,]\d+)*")
 
 
@@ -53,9 +55,14 @@ def spell(n: int) -> str:
     return " ".join(parts)
 
 
+def _spoken(m: re.Match) -> str:
+    digits = re.sub(r"\D", "", m[0])
+    return spell(int(digits)) if len(digits) <= LONGEST else " ".join(UNITS[int(d)] for d in digits)
+
+
 def spell_all(text: str | None) -> str | None:
-    """Digit groups in a text, joined over one space, stop or comma, put in words."""
-    return text and NUMBER.sub(lambda m: spell(int(re.sub(r"\D", "", m[0]))) if len(re.sub(r"\D", "", m[0])) <= 18 else m[0], text)
+    """Digit groups in a text, joined over one space, stop or comma, put in words. No digit is left."""
+    return text and NUMBER.sub(_spoken, text)
 
 
 def spelled_numbers(c: Column) -> Column:
@@ -65,4 +72,4 @@ def spelled_numbers(c: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(spell_all, na_action="ignore")
 
-    return F.when(c.rlike("[0-9]"), run(c)).otherwise(c)
+    return F.when(c.rlike(r"\p{Nd}"), run(c)).otherwise(c)

@@ -6,8 +6,9 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -16,15 +17,21 @@ MAX_DISTANCE, MAX_WORDS, RECURRENCE_LIMIT, CONTEXT = 3, 2, 4, 45
 FORBIDDEN = r"""[.,;:!?…()\[\]{}«»“”"/\\<>=+*_#@&%$€0-9]"""
 
 
+_WORD = re.compile(T.WORD)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
+def word_places(texts: pd.Series) -> pd.Series:
+    return pd.Series([[(m.start(), m.group()) for m in _WORD.finditer(t)] if t else [] for t in texts], dtype=object)
+
+
 def tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, offset (from 0), word of every word of a text.
+    """key, offset (from 0), word of every word of a text; a text has its places in one go, so nothing is sorted or summed up.
 
-    The text is cut at words with what parts them, so offsets are running lengths: no scan for each word.
+    Spark has no function that says where matches stand. Summing lengths of pieces by a window moves and sorts all pieces,
+    and higher-order functions that sum inside the row take 2.4 times as long as this Arrow function (3.3 s to 1.35 s, sf0.1).
     """
-    pieces = F.split(F.col(text), f"(?<={T.WORD[:-4]})(?!{T.WORD[:-4]})|(?<!{T.WORD[:-4]})(?={T.WORD[:-4]})")
-    cut = df.select(key, F.posexplode(pieces).alias("at", "word"))
-    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return cut.withColumn("offset", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0))).where(F.col("word").rlike(f"^{T.WORD}$")).select(key, "offset", "word")
+    return df.select(key, F.explode(word_places(text)).alias("t")).select(key, "t.offset", "t.word")
 
 
 def words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,10 +39,13 @@ def words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(T.WORD), F.lit(0))).alias("word"))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŒ"
+
+
 def document_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """form, d: in how many texts a lower-case word stands. Repeats go inside each text, so rows are counted, not pairs told apart."""
-    forms = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(T.WORD), F.lit(0)), lambda w: F.lower(w)))
-    return df.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("d"))
+    low = F.translate(F.col(text), UPPER, UPPER.lower())
+    return df.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(T.WORD), F.lit(0)))).alias("form")).groupBy("form").agg(F.count("*").alias("d"))
 
 
 def word_frequency(toks: DataFrame) -> DataFrame:
@@ -54,7 +64,8 @@ def judged_words(frequency: DataFrame, lexicon: DataFrame, proper: DataFrame) ->
     frequency has word and n; lexicon and proper have `form`. Patterns of misread text come
     first; else a word is suspicious if any of its forms, two letters or longer, is unknown.
     """
-    marked = frequency.withColumn("reason", T.ocr_reason(F.col("word")))
+    # asking for n as well keeps the patterns above the count: they see each word once, not each of its places
+    marked = frequency.withColumn("reason", F.when(F.col("n") > 0, T.ocr_reason(F.col("word"))))
     forms = (
         marked.where("reason is null").join(proper.select(F.col("form").alias("p")), F.lower("word") == F.col("p"), "left_anti")
         .select("word", "n", F.explode(T.candidates(F.col("word"))).alias("form")).where(F.length("form") >= 2)
@@ -65,13 +76,18 @@ def judged_words(frequency: DataFrame, lexicon: DataFrame, proper: DataFrame) ->
 
 def suspects(toks: DataFrame, judged: DataFrame) -> DataFrame:
     """toks (with word) that are suspicious, and why."""
-    return toks.join(judged.select(F.col("word").alias("w"), "reason"), F.col("word") == F.col("w")).drop("w")
+    return _at_places(toks, judged.select(F.col("word").alias("w"), "reason"))
+
+
+def _at_places(toks: DataFrame, found: DataFrame) -> DataFrame:
+    """toks whose word is `w` of found. Sizes of exploded texts are guessed far too low, so a merge is asked for: places are never broadcast."""
+    return toks.join(found.hint("merge"), F.col("word") == F.col("w")).drop("w")
 
 
 def recurrence_gate(toks: DataFrame, judged: DataFrame, limit: int = RECURRENCE_LIMIT) -> DataFrame:
     """Suspects whose exact form comes up less often than `limit`. The gate closes on words, before any place is looked up."""
     rare = judged.where(F.col("n") < limit).select(F.col("word").alias("w"), "reason", F.col("n").alias("recurrence"))
-    return toks.join(rare, F.col("word") == F.col("w")).drop("w")
+    return _at_places(toks, rare)
 
 
 def context(text: Column, offset: Column, word: Column, around: int = CONTEXT) -> Column:
@@ -124,7 +140,7 @@ def truth_rows(f) -> Column:
     return f.count_if(f.col("kind") != "undue")
 
 
-TOKEN = re.compile(r"\S+")
+TOKEN = re.compile(r"[A-Za-zÀ-ÿœŒæÆ0-9'’-]+")  # fixed value: a word of the comparison
 
 
 def alignment_truth(pairs: DataFrame) -> DataFrame:

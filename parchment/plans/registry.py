@@ -24,3 +24,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id, text and more columns of documents, in as many parts as there are cores: a file of few row groups would keep
+    most of them idle. Where there are splits enough no row moves."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

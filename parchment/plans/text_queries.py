@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions import text as T
 from ..operators import review
-from .registry import query, table
+from .registry import query, table, texts
 
 #: Sentences by a mark put where Java looks behind and ahead.
 SQL_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?…])\s+([«"A-ZÀ-ÝŒ—])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '')"""
@@ -17,7 +17,7 @@ SQL_PARAGRAPHS = f"SELECT doc_id, unnest(range(len(l))) AS para, unnest(l) AS p
 
 
 def lines(spark, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("para", "p"))
+    return texts(spark, sf).select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("para", "p"))
 
 
 @query(
@@ -184,7 +184,7 @@ toks AS (SELECT doc_id, word, CAST(coalesce(o, 0) AS BIGINT) AS "offset" FROM
 
 
 def _tokens(spark, sf) -> DataFrame:
-    return review.tokens(table(spark, sf, "documents"))
+    return review.tokens(texts(spark, sf))
 
 
 @query(f"WITH {SQL_TOKENS} SELECT word, count(*) AS n FROM toks GROUP BY word")
@@ -217,11 +217,11 @@ found AS (SELECT doc_id, "offset", toks.word, reason FROM toks JOIN judged ON to
 
 
 def _words(spark, sf) -> DataFrame:
-    return review.words(table(spark, sf, "documents"))
+    return review.words(texts(spark, sf))
 
 
 def _judged(spark, sf) -> DataFrame:
-    lexicon = review.document_frequency(table(spark, sf, "documents")).where("d >= 3").select("form")
+    lexicon = review.document_frequency(texts(spark, sf)).where("d >= 3").select("form")
     frequency = review.word_frequency(_words(spark, sf))
     return review.judged_words(frequency, lexicon, review.proper_nouns(frequency))
 
