@@ -8,7 +8,9 @@ from ..functions import numbers
 from ..functions import text as T
 from ..operators import library as L
 from ..operators import review
-from .registry import query, table
+from . import number_sql as N
+from .registry import query, table, texts
+from .text_queries import SQL_TOKENS
 
 #: Lines of an order stand for spans of a page.
 SQL_SPANS = "s AS (SELECT l_orderkey AS page, l_linenumber AS line, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 100 AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS size, l_returnflag || l_linestatus AS text FROM lineitem)"
@@ -94,10 +96,20 @@ def marked_context(spark, sf):
     return d.select("doc_id", L.marked(F.col("text"), F.col("p"), F.lit("the")).alias("marked"), F.col("p").alias("place"))
 
 
-@query()
+@query(
+    rf"""
+WITH {SQL_TOKENS}, last AS (SELECT doc_id, arg_max(word, "offset") AS word, max("offset") - 60 AS asked FROM toks GROUP BY doc_id),
+pieces AS (SELECT doc_id, string_split(regexp_replace(text, '([\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM documents),
+each AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS piece FROM pieces),
+placed AS (SELECT doc_id, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM each),
+near AS (SELECT last.doc_id, arg_min(spot, (abs(spot - asked), spot)) AS best FROM last JOIN placed ON placed.doc_id = last.doc_id AND piece = word GROUP BY last.doc_id)
+SELECT d.doc_id, word, CAST(CASE WHEN asked >= 0 AND substring(text, asked + 1, length(word)) = word THEN asked ELSE coalesce(best, nullif(instr(text, word) - 1, -1)) END AS INT) AS place
+FROM documents d JOIN last USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+)
 def relocated_words(spark, sf):
-    """Where the 40th word of a text stands, asked from 60 characters away."""
-    toks = review.tokens(table(spark, sf, "documents")).groupBy("doc_id").agg(F.max_by("word", "offset").alias("word"), F.max("offset").cast("int").alias("offset"))
+    """Where the last word of each text stands, asked for 60 characters before its place."""
+    toks = review.tokens(texts(spark, sf)).groupBy("doc_id").agg(F.max_by("word", "offset").alias("word"), F.max("offset").cast("int").alias("offset"))
     d = toks.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", "word", L.relocated(F.col("text"), F.col("word"), F.col("offset") - 60).alias("place"))
 
@@ -108,7 +120,15 @@ def assigned_paragraphs(spark, sf):
     return c.select("conv_id", F.array_join(L.assigned(F.col("l"), F.lit(2), F.lit(3), F.lit("Ann")), "|").alias("text"))
 
 
-@query()
+@query(
+    rf"""
+WITH {N.WORDS}, d AS (SELECT doc_id, doc_id % 120 AS n, regexp_replace(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'), '^[ .:\-—–_*#]+|[ .:\-—–_*#]+$', '', 'g') AS bare FROM documents),
+t AS (SELECT doc_id, n, regexp_replace(trim(bare), '^\d+\s*[.:)\-–—]\s+(\S)', '\1') AS t FROM d),
+c AS (SELECT doc_id, n, regexp_replace(trim(CASE WHEN t <> '' AND upper(t) = t THEN upper(t[1]) || lower(t[2:]) ELSE t END), '[.\s]+$', '') AS t FROM t),
+k AS (SELECT doc_id, n, CASE WHEN regexp_full_match(lower(t), '(chapitres?\s*\d+)?') THEN '' ELSE t END AS t, 'Chapitre ' || {N.NUMBER.format("CAST(n AS VARCHAR)")} || '.' AS s FROM c, spoken)
+SELECT doc_id, CASE WHEN n = 0 THEN '' WHEN n = 7 THEN CASE WHEN t <> '' THEN t || '.' ELSE '' END WHEN t <> '' THEN s || ' ' || t || '.' ELSE s END AS said FROM k
+"""
+)
 def announcements(spark, sf):
     """What is said before the chapters of a source; numbers are put in words."""
     d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 120).alias("n"), T.clean_title(F.substring_index("text", "\n", 1)).alias("title"))

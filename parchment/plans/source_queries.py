@@ -35,7 +35,14 @@ def markdown_round_trip(spark, sf):
     return back.select("doc_id", "m.chapter", "m.title", F.size("m.paragraphs").cast("long").alias("n_paragraphs"), chars.alias("chars"))
 
 
-@query()
+#: Blocks by patterns, for pages whose silent elements hold no others of their kind.
+SQL_BLOCKS = "html"
+for _gone, _by in ((r"<script\b.*?</script>", ""), (r"<style\b.*?</style>", ""), (r"<!--.*?-->", ""), (r"<!DOCTYPE[^>]*>", ""), (r"<head\b.*?(</head>|\z)", "\x01"), (r"<nav\b.*?(</nav>|\z)", "\x01"),
+    (r"<footer\b.*?(</footer>|\z)", "\x01"), (r"</?(p|div|blockquote|li|h[1-6])\b[^>]*>", "\x01"), (r"<br\b[^>]*>", " "), (r"</?[a-zA-Z][^>]*>", ""), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&")):
+    SQL_BLOCKS = f"regexp_replace({SQL_BLOCKS}, '{_gone}', '{_by}', 'gsi')"
+
+
+@query(f"SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS text FROM (SELECT page_id, list_filter(list_transform(string_split({SQL_BLOCKS}, chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)")
 def html_blocks(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(P.paragraphs(F.col("html"))).alias("pos", "text"))
 

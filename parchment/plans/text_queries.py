@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions import text as T
 from ..operators import review
+from . import number_sql as N
 from .registry import query, table, texts
 
 #: Sentences by a mark put where Java looks behind and ahead.
@@ -88,24 +89,37 @@ def normalize_text(spark, sf):
     return lines(spark, sf).select("doc_id", "para", T.tidy(T.unify(F.col("p"))).alias("text"))
 
 
-@query()
+SQL_CAPITALS = r"""array_to_string(list_transform(string_split(regexp_replace({0}, '([^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)),
+  lambda w: CASE WHEN regexp_full_match(w, '[A-ZÀ-ÝŒ]{{2,}}') THEN w[1] || lower(w[2:]) ELSE w END), '')"""
+
+
+@query(
+    f"""WITH para AS ({SQL_PARAGRAPHS}), {N.WORDS}, said AS (SELECT doc_id, para, {N.ALL.format(SQL_UNIFY.format('p'))} AS t FROM para, spoken)
+SELECT doc_id, para, {SQL_TIDY.format(SQL_CAPITALS.format('t'))} AS text FROM said"""
+)
 def normalize_text_full(spark, sf):
     """With numbers in words and runs of capitals lowered."""
     spelled = lines(spark, sf).withColumn("t", numbers.spelled_numbers(T.unify(F.col("p"))))
     return spelled.select("doc_id", "para", T.tidy(T.capitalise_acronyms(F.col("t"))).alias("text"))
 
 
-@query()
+@query(f"WITH {N.WORDS} SELECT doc_id, {N.ALL.format('text')} AS text FROM documents, spoken")
 def spelled_numbers(spark, sf):
-    return table(spark, sf, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", numbers.spelled_numbers(F.col("text")).alias("text"))
+    return texts(spark, sf).select("doc_id", numbers.spelled_numbers(F.col("text")).alias("text"))
 
 
 @query(
-    r"""
-SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '([^\p{L}\p{M}\p{Nd}\p{Pc}]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)),
-  lambda w: CASE WHEN regexp_full_match(w, '[A-ZÀ-ÝŒ]{2,}') THEN w[1] || lower(w[2:]) ELSE w END), '') AS text FROM documents
-"""
+    f"""WITH {N.WORDS}, n AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, o_custkey || '.' || o_orderkey AS b, '9' || o_orderkey || '000' || o_custkey || '000000' || o_orderkey AS c FROM orders)
+SELECT o_orderkey, {N.ALL.format('a')} AS one, {N.ALL.format('b')} AS two, {N.ALL.format('c')} AS three FROM n, spoken"""
 )
+def spelled_keys(spark, sf):
+    """Keys of orders, and longer numbers made of them, in words."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    n = table(spark, sf, "orders").select("o_orderkey", k.alias("a"), F.concat(c, F.lit("."), k).alias("b"), F.concat(F.lit("9"), k, F.lit("000"), c, F.lit("000000"), k).alias("c"))
+    return n.select("o_orderkey", numbers.spelled_numbers(F.col("a")).alias("one"), numbers.spelled_numbers(F.col("b")).alias("two"), numbers.spelled_numbers(F.col("c")).alias("three"))
+
+
+@query(f"SELECT doc_id, {SQL_CAPITALS.format('text')} AS text FROM documents")
 def capitalise_acronyms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.capitalise_acronyms(F.col("text")).alias("text"))
 
@@ -250,24 +264,27 @@ def suspect_context(spark, sf):
     return rare.join(docs, "doc_id").select("doc_id", "offset", "word", review.context(F.col("text"), F.col("offset"), F.col("word")).alias("context"))
 
 
+#: DuckDB measures distance in bytes: letters outside ASCII take the place of signs that no word has.
+SQL_BYTES = "translate(lower({0}), 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœß’', '0123456789!#$%&()*+,./:;<=>?@[]^_{{|}}')"
+SQL_GAP = f"levenshtein({SQL_BYTES.format('word')}, {SQL_BYTES.format('asked')})"
+SQL_LIMIT = "least(3, greatest(1, length(word) // 2))"
+
+
 @query(
     f"""
-WITH {SQL_TOKENS}, freq AS (SELECT regexp_replace(word, '[^\\x00-\\x7F]', 'z', 'g') AS word, count(*) AS n FROM toks GROUP BY 1),
-rare AS (SELECT word, left(word, 4) AS head, length(word) AS size FROM freq WHERE n = 1),
-common AS (SELECT word AS proposal, left(word, 4) AS head, length(word) AS size FROM freq WHERE n >= 20),
-pairs AS (SELECT word, proposal FROM rare JOIN common USING (head, size)),
-judged AS (SELECT word, proposal, CASE WHEN proposal = word THEN '' WHEN levenshtein(lower(word), lower(proposal)) > least(3, greatest(1, length(word) // 2))
-  THEN levenshtein(lower(word), lower(proposal)) || ' > ' || least(3, greatest(1, length(word) // 2))
-  WHEN word[1] = upper(word[1]) AND word[1] <> lower(word[1]) AND proposal[1] = lower(proposal[1]) AND proposal[1] <> upper(proposal[1]) THEN 'capital lost' ELSE '' END AS cause FROM pairs)
-SELECT word, proposal, cause, CASE WHEN cause = '' AND proposal <> word THEN proposal ELSE '' END AS replacement FROM judged
+WITH {SQL_TOKENS}, freq AS (SELECT word, count(*) AS n, left(word, 4) AS head, length(word) AS size FROM toks GROUP BY word),
+common AS (SELECT head, size, arg_max(word, (n, word)) AS proposal FROM freq WHERE n >= 20 GROUP BY head, size),
+pairs AS (SELECT word, proposal, CASE WHEN contains(word, '’') THEN replace(proposal, '''', '’') ELSE proposal END AS asked FROM freq JOIN common USING (head, size) WHERE n = 1),
+judged AS (SELECT word, proposal, asked, CASE WHEN asked = word THEN '' WHEN {SQL_GAP} > {SQL_LIMIT} THEN {SQL_GAP} || ' > ' || {SQL_LIMIT}
+  WHEN word[1] = upper(word[1]) AND word[1] <> lower(word[1]) AND asked[1] = lower(asked[1]) AND asked[1] <> upper(asked[1]) THEN 'capital lost' ELSE '' END AS cause FROM pairs)
+SELECT word, proposal, cause, CASE WHEN cause = '' AND asked <> word THEN asked ELSE '' END AS replacement FROM judged
 """
 )
 def guard_rails(spark, sf):
-    """Rare words against frequent ones of their length and first four letters; DuckDB counts bytes, so letters outside ASCII are one letter."""
-    freq = review.word_frequency(_words(spark, sf).withColumn("word", F.regexp_replace("word", r"[^\x00-\x7F]", "z"))).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
-    rare = freq.where("n = 1").select("word", "head", "size")
-    common = freq.where("n >= 20").select(F.col("word").alias("proposal"), "head", "size")
-    judged = rare.join(common, ["head", "size"]).withColumn("g", review.guard(F.col("word"), F.col("proposal"), F.lit(True)))
+    """Each word that stands once is judged against the most frequent word of its length and first four letters, if that stands twenty times."""
+    freq = review.word_frequency(_words(spark, sf)).withColumn("head", F.substring("word", 1, 4)).withColumn("size", F.length("word"))
+    common = freq.where("n >= 20").groupBy("head", "size").agg(F.max(F.struct("n", "word")).alias("m")).select("head", "size", F.col("m.word").alias("proposal"))
+    judged = freq.where("n = 1").select("word", "head", "size").join(common, ["head", "size"]).withColumn("g", review.guard(F.col("word"), F.col("proposal"), F.lit(True)))
     return judged.select("word", "proposal", "g.cause", "g.replacement")
 
 
