@@ -174,6 +174,11 @@ def typewriter(c: Column) -> Column:
     return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), TYPEWRITER, c)
 
 
+def typographic_only(word: Column, expected: Column) -> Column:
+    """Whether a correction only puts the typographic apostrophe in."""
+    return F.replace(word, F.lit("'"), F.lit("’")) == expected
+
+
 def roman(c: Column) -> Column:
     """Value of a Roman numeral in capitals."""
     value = F.create_map(*[F.lit(x) for pair in zip("IVXLCDM", (1, 5, 10, 50, 100, 500, 1000)) for x in pair])

@@ -90,12 +90,6 @@ def allowed_words(spark, sf):
     return L.allowed_words(table(spark, sf, "part").select(F.lower("p_type").alias("form")), forms(d), forms(d.where("lang = 'en'")))
 
 
-@query("SELECT doc_id, '…' || replace(substring(text, greatest(0, p - 90) + 1, p - greatest(0, p - 90)), chr(10), ' ') || '⟦the⟧' || replace(substring(text, p + 4, 90), chr(10), ' ') || '…' AS marked, p AS place FROM (SELECT doc_id, text, CAST(instr(text, 'the') - 1 AS INT) AS p FROM documents) WHERE p >= 0")
-def marked_context(spark, sf):
-    d = table(spark, sf, "documents").withColumn("p", F.instr("text", F.lit("the")) - 1).where("p >= 0")
-    return d.select("doc_id", L.marked(F.col("text"), F.col("p"), F.lit("the")).alias("marked"), F.col("p").alias("place"))
-
-
 @query(
     rf"""
 WITH {SQL_TOKENS}, last AS (SELECT doc_id, arg_max(word, "offset") AS word, max("offset") - 60 AS asked FROM toks GROUP BY doc_id),

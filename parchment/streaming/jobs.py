@@ -25,6 +25,11 @@ def stale_sweep(jobs: DataFrame, cutoff: Column) -> DataFrame:
     return jobs.withColumn("state", F.when(stale & F.col("cancel"), "cancelled").when(stale, "failed").otherwise(F.col("state")))
 
 
+def oldest_pending(jobs: DataFrame, *keys: str) -> DataFrame:
+    """keys, job: what is claimed next, first in, first out. jobs has job and state."""
+    return jobs.where("state = 'pending'").groupBy(*keys).agg(F.min("job").alias("job"))
+
+
 def log_tail(parts: Column) -> Column:
     """The last LOG_CHARS characters of a job's log."""
     return F.right(F.array_join(parts, ""), F.lit(LOG_CHARS))
