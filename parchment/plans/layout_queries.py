@@ -97,13 +97,12 @@ def glyph_votes(spark, sf):
 
 #: Orders stand for segments, their lines for takes of customers' texts.
 @query("""
-WITH s AS (SELECT o_orderkey, o_custkey % 300 AS text, o_orderstatus AS voice FROM orders),
-t AS (SELECT DISTINCT o_custkey % 300 AS text, o_orderstatus AS voice FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND l_quantity > 40 AND l_discount > 0.08)
+WITH s AS (SELECT o_orderkey, o_custkey AS text, o_orderstatus AS voice FROM orders),
+t AS (SELECT DISTINCT o_custkey AS text, o_orderstatus AS voice FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND l_quantity > 40)
 SELECT o_orderkey, s.text, s.voice, CASE WHEN t.text IS NULL THEN 'render' ELSE 'reuse' END AS action FROM s LEFT JOIN t ON s.text = t.text AND s.voice = t.voice""")
 def reuse_plan(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 300).alias("text"), F.col("o_orderstatus").alias("voice"))
-    li = table(spark, sf, "lineitem").where("l_discount > 0.08")
-    takes = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("text", "voice", "l_linenumber", (F.col("l_returnflag") != "R").alias("clean"), F.lit(40.0).alias("start"), F.col("l_quantity").cast("double").alias("end"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("text"), F.col("o_orderstatus").alias("voice"))
+    takes = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("text", "voice", "l_linenumber", (F.col("l_returnflag") != "R").alias("clean"), F.lit(40.0).alias("start"), F.col("l_quantity").cast("double").alias("end"))
     return C.reuse_plan(o, takes, ["text", "voice"], "l_linenumber")
 
 
@@ -126,11 +125,12 @@ def effective_voices(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_size = 7), b AS (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_size = 9)
+WITH a AS (SELECT DISTINCT 'r' || (s_suppkey % 40 + 5) AS k FROM supplier), b AS (SELECT DISTINCT 'r' || c_custkey % 38 AS k FROM customer)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'voice without segments' ELSE 'role without voice' END AS issue FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def cast_diagnostics(spark, sf):
-    p = table(spark, sf, "part").select("p_size", F.col("p_brand").alias("role"))
-    return C.cast_diagnostics(p.where("p_size = 7"), p.where("p_size = 9"))
+    """Suppliers stand for voices of a role, customers for segments of one; roles are written in either case."""
+    cast = table(spark, sf, "supplier").select(F.concat(F.lit("r"), (F.col("s_suppkey") % 40 + 5).cast("string")).alias("role"))
+    return C.cast_diagnostics(cast, table(spark, sf, "customer").select(F.concat(F.lit("R"), (F.col("c_custkey") % 38).cast("string")).alias("role")))
 
 
 @query("""
@@ -145,9 +145,9 @@ def resolve_voice(spark, sf):
     return C.resolve(p.select(form.alias("w")).distinct(), p.select(F.col("p_name").alias("name")))
 
 
-@query("""SELECT p_partkey, p_type || '/' || p_brand || '+dialogue=' || p_name || '+letter=x@' || printf('%.2f', p_size / 4.0) AS sig, p_type AS backend, p_brand AS voice, p_name AS dialogue, p_size / 4.0 AS speed FROM part WHERE NOT contains(p_name, '+')""")
+@query("""SELECT p_partkey, p_type || '/' || p_brand || '+dialogue=' || p_name || '+letter=x@' || printf('%.2f', p_size / 4.0) AS sig, p_type AS backend, p_brand AS voice, p_name AS dialogue, p_size / 4.0 AS speed FROM part""")
 def signature_build_parse(spark, sf):
-    p = table(spark, sf, "part").where("not contains(p_name, '+')")
+    p = table(spark, sf, "part")
     sig = C.signature(F.col("p_type"), F.col("p_brand"), F.create_map(F.lit("letter"), F.lit("x"), F.lit("dialogue"), F.col("p_name")), F.col("p_size") / 4.0)
     parsed = p.select("p_partkey", sig.alias("sig")).withColumn("s", C.parse_signature(F.col("sig")))
     return parsed.select("p_partkey", "sig", "s.backend", "s.voice", F.col("s.roles")["dialogue"].alias("dialogue"), "s.speed")
@@ -160,11 +160,11 @@ def persona_names(spark, sf):
 
 @query(r"""
 WITH n AS (SELECT page_id, regexp_replace(regexp_replace(url, '^\w+://', ''), '[?#].*$', '') AS name FROM pages),
-h AS (SELECT DISTINCT ON (href) href, pos, title FROM (SELECT regexp_replace(regexp_replace(url, '^\w+://[^/]+/', ''), '[?#].*$', '') AS href, page_id AS pos, 't' || page_id AS title FROM pages WHERE url LIKE 'https:%') ORDER BY href, pos)
+h AS (SELECT DISTINCT ON (href) href, pos, title FROM (SELECT regexp_replace(regexp_replace(url, '^\w+://[^/]+/', ''), '[?#].*$', '') AS href, page_id AS pos, 't' || page_id AS title FROM pages) ORDER BY href, pos)
 SELECT n.page_id, (SELECT min_by(title, pos) FROM h WHERE ends_with(n.name, href) AND href <> '') AS title FROM n""")
 def toc_suffix_join(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^\w+://", ""), r"[?#].*$", "").alias("name"))
-    toc = table(spark, sf, "pages").where("url like 'https:%'").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://[^/]+/", ""), r"[?#].*$", "").alias("href"), F.col("page_id").alias("pos"))
+    toc = table(spark, sf, "pages").select(F.regexp_replace(F.regexp_replace("url", r"^\w+://[^/]+/", ""), r"[?#].*$", "").alias("href"), F.col("page_id").alias("pos"))
     first = toc.where("href <> ''").groupBy("href").agg(F.min("pos").alias("pos")).withColumn("title", F.concat(F.lit("t"), F.col("pos").cast("string")))
     titles = C.suffix_join(p.select("name").distinct(), first)
     return p.join(titles, "name").select("page_id", "title")

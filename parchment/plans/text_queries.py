@@ -145,7 +145,7 @@ def role_tagging(spark, sf):
 
 @query(
     """
-SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN text WHEN turn % 5 = 3 THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS reader
+SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'system' THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) WHEN turn % 5 = 3 THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS reader
 FROM conversations QUALIFY role <> 'system'
 """
 )
@@ -153,7 +153,7 @@ def persona_forward_fill(spark, sf):
     """System turns mark who reads what follows; every fifth turn gives back to the narrator. Markers go."""
     c = table(spark, sf, "conversations")
     mark = F.when(F.col("role") == "system", F.concat(F.lit("@"), F.col("text"))).when(F.col("turn") % 5 == 3, "@narrateur")
-    filled = forward_fill(c.withColumn("m", F.when(mark == "@narrateur", "").otherwise(F.substring(mark, 2, 1 << 30))), ["conv_id"], ["turn"], "m")
+    filled = forward_fill(c.withColumn("m", T.persona_of(F.regexp_replace(mark, "\\s+", " "))), ["conv_id"], ["turn"], "m")
     return filled.where("role <> 'system'").select("conv_id", "turn", F.coalesce("m_filled", F.lit("")).alias("reader"))
 
 

@@ -84,6 +84,27 @@ def _open(path: str, raw: bytes) -> tuple[list[tuple], tuple]:
         return spine, (path, said.get("title"), creator, (said.get("language") or "")[:2] or None, year or None, next((r for r in ranked if r), None))
 
 
+def packed(title: str, creator: str, language: str, date: str, documents: list[tuple[str, str | None, str]]) -> bytes:
+    """An archive of documents (name, title in the contents or None, markup), in this order."""
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    items = "".join(f'<item id="d{i}" href="{escaped(n)}" media-type="application/xhtml+xml"/>' for i, (n, _, _) in enumerate(documents))
+    refs = "".join(f'<itemref idref="d{i}"/>' for i in range(len(documents)))
+    about = "".join(f"<dc:{k}>{escaped(v)}</dc:{k}>" for k, v in (("title", title), ("creator", creator), ("language", language), ("date", date)))
+    package = (
+        '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>' + about + "</metadata>"
+        f'<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{refs}</spine></package>'
+    )
+    links = "".join(f'<li><a href="{escaped(n)}#top">{escaped(t)}</a></li>' for n, t, _ in documents if t is not None)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf"/></rootfiles></container>')
+        z.writestr("OEBPS/package.opf", package)
+        z.writestr("OEBPS/nav.xhtml", f"<html><body><nav><ol>{links}</ol></nav></body></html>")
+        for name, _, markup in documents:
+            z.writestr(f"OEBPS/{name}", markup)
+    return out.getvalue()
+
+
 def _each(want: int, columns: str):
     names = [c.split()[0] for c in columns.split(", ")]
 

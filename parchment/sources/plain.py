@@ -64,10 +64,10 @@ def from_markdown(c: Column) -> Column:
     )
 
 
-def write_markdown(chapters: DataFrame, path: str) -> None:
-    """One folder for each chapter number with its Markdown text."""
-    out = chapters.select("chapter", to_markdown(F.col("chapter"), F.coalesce("title", F.lit("")), F.col("paragraphs")).alias("value"))
-    out.write.mode("overwrite").partitionBy("chapter").option("lineSep", "\n\f").text(path)
+def write_markdown(chapters: DataFrame, path: str, book: str | None = None) -> None:
+    """One folder for each chapter number with its Markdown text; with `book`, a column, below one for each book."""
+    out = chapters.select(*([book] if book else []), "chapter", to_markdown(F.col("chapter"), F.coalesce("title", F.lit("")), F.col("paragraphs")).alias("value"))
+    out.write.mode("overwrite").partitionBy(*([book] if book else []), "chapter").option("lineSep", "\n\f").text(path)
 
 
 SEGMENTS = "idx int, text string, pause_after_ms int, role string, chapter int, title string"

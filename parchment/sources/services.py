@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,6 +23,25 @@ class Model(Protocol):
     def ask(self, prompt: str) -> str: ...
 
 
+class Moderator(Protocol):
+    def judge(self, texts: list[str]) -> list[dict[str, bool]]: ...
+
+
+class Unavailable(Exception):
+    """A service that didn't answer; another try may help."""
+
+
+def retried(call: Callable, *args, tries: int = 3, wait: float = 2.0):
+    """call(*args), again after wait, 2 * wait ... seconds while the service is unavailable; the last failure is raised."""
+    for k in range(tries):
+        try:
+            return call(*args)
+        except Unavailable:
+            if k == tries - 1:
+                raise
+            time.sleep(wait * (k + 1))
+
+
 class Tone:
     """A tone as long as the text would take."""
 
@@ -41,6 +61,26 @@ class Echo:
         return json.dumps([{"id": e["id"], "correction": e["word"]} for e in entries])
 
 
+class Cutter:
+    """Proposes each word without its last letter."""
+
+    def ask(self, prompt: str) -> str:
+        return json.dumps([{"id": e["id"], "correction": e["word"][:-1]} for e in json.loads(prompt)])
+
+
+class WordList:
+    """Categories by words, from a service that is unavailable at every other call."""
+
+    def __init__(self, words: dict[str, str]):
+        self.words, self.calls = words, 0
+
+    def judge(self, texts: list[str]) -> list[dict[str, bool]]:
+        self.calls += 1
+        if self.calls % 2:
+            raise Unavailable
+        return [{name: word in t for name, word in self.words.items()} for t in texts]
+
+
 def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
@@ -76,6 +116,21 @@ def asked(items: DataFrame, make: Callable[[], Model], size: int = 12) -> DataFr
     return items.mapInPandas(run, _with(items, "proposal", StringType()))
 
 
+def moderated(texts: DataFrame, make: Callable[[], Moderator], size: int = 32, wait: float = 2.0) -> DataFrame:
+    """texts (text) with `flags`: sorted names of the categories that a text breaks. `size` texts go at a time, three tries each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = make()
+        for b in batches:
+            flags: list[list[str]] = []
+            for at in range(0, len(b), size):
+                found = retried(judge.judge, [t or "" for t in b["text"].iloc[at : at + size]], wait=wait)
+                flags += [sorted(k for k, broken in f.items() if broken) for f in found]
+            yield b.assign(flags=flags)
+
+    return texts.mapInPandas(run, _with(texts, "flags", ArrayType(StringType())))
+
+
 def reply_json(c: Column) -> Column:
     """The JSON in a model's reply: without thoughts, inside a fence if there is one, else between the outermost brackets."""
     said = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")

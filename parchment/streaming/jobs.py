@@ -64,7 +64,11 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 class JobQueue:
-    """First in, first out over an append-only table of events, one writer. A claim is an event, so nothing is updated."""
+    """First in, first out over an append-only table of events. Nothing is updated: a claim is an event behind a lock.
+
+    A lock is a file that only one worker can create (the file system's create without overwriting), so two workers that
+    see the same pending job don't both get it; the other goes on to the next.
+    """
 
     SCHEMA = "job long, project string, kind string, ts double, seq long"
 
@@ -93,13 +97,23 @@ class JobQueue:
             self._append((job, project, "pending", ts, 0))
         return not busy
 
+    def _lock(self, job: int) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}-claims/{job}")
+        try:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+        except Exception as e:
+            if "already exists" not in str(e).lower():
+                raise
+            return False
+        return True
+
     def claim(self, ts: float) -> int | None:
-        """The oldest pending job, now running."""
-        row = self.jobs().where("state = 'pending'").agg(F.min_by(F.struct("job", "project"), "job").alias("j")).first()
-        if not row.j:
-            return None
-        self._append((row.j.job, row.j.project, "running", ts, 1))
-        return row.j.job
+        """The oldest pending job that no other worker has claimed, now running; None if there is none."""
+        for row in self.jobs().where("state = 'pending'").orderBy("job").select("job", "project").toLocalIterator():
+            if self._lock(row.job):
+                self._append((row.job, row.project, "running", ts, 1))
+                return row.job
+        return None
 
     def finish(self, job: int, project: str, ts: float, state: str = "done") -> None:
         self._append((job, project, state, ts, 2))
