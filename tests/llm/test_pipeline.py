@@ -4,7 +4,10 @@ import pytest
 
 import corpus_pipeline
 from parchment.llm import decontamination as dc
-from parchment.llm import secrets, simhash
+from parchment.llm import secrets
+
+from .conftest import make
+from .test_similar import plain_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,18 +32,7 @@ def test_stages(spark, stages):
     assert all(set(s[0].asDict()) == columns for s in stages[:5]) and set(mixed[0].asDict()) == columns | {"taken"}
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
     assert len(bad & ids(docs) - ids(good)) <= 2
-    fps = {r.doc_id: simhash.simhash(r.text) for r in good}
-    least, left = {}, dict(fps)
-    for i in sorted(fps):  # transitive closure by flooding
-        if i in left:
-            reach, todo = {i}, [i]
-            while todo:
-                x = todo.pop()
-                new = {j for j in left if j not in reach and ((fps[x] ^ fps[j]) & ((1 << 64) - 1)).bit_count() <= 4}
-                reach |= new
-                todo += new
-            least |= {j: i for j in reach}
-            left = {j: f for j, f in left.items() if j not in reach}
+    least = plain_groups([(r.doc_id, r.text) for r in good])
     assert ids(single) == set(least.values())
     items = [(r.item_id, dc.normal(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     matcher = dc.Matcher(items)
@@ -57,3 +49,30 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_odd_rows(spark, odd, odd_rows):
+    """Every stage takes nulls, empty and long texts, repeated rows and clashing names, and keeps the columns."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+        assert docs.columns == odd.columns, name
+    assert docs.count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, odd, SF)
+    assert set(mixed.columns) == set(odd.columns) and {r.doc_id for r in mixed.collect()} <= {i for i, *_ in odd_rows}
+
+
+def test_repeated_rows(spark):
+    docs = make(spark, [(i % 5, f"one text of some words, number {i % 5}, that is here several times " * 9, "en", "a") for i in range(20)])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == sorted(set(plain_groups([(r.doc_id, r.text) for r in docs.collect()]).values()))
+    assert corpus_pipeline.drop_benchmark(spark, docs, SF).count() == corpus_pipeline.redact_secrets(spark, docs, SF).count() == 20
+    assert sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()) == list(range(5))
+
+
+def test_run_sweeps_behind_itself(spark):
+    from parchment.llm import common
+
+    before = common.written()
+    corpus_pipeline.run(spark, SF).count()
+    names = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in common._written[before:]]
+    assert [n for n in names if not n.startswith("mix")] == ["pipeline-secrets"]
