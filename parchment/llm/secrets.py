@@ -57,7 +57,8 @@ ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")
 SETTERS = {"set", "put", "with", "add", "use", "update", "change", "store", "save", "configure", "init"}
 #: Names that give the name, and names that give the value, of a pair written as two.
 LABELS, VALUES = {"key", "name", "id", "field"}, {"value", "val", "content", "default"}
-STEM = re.compile("|".join(sorted({*SENSITIVE, "key"})), re.IGNORECASE)
+#: A text without any of these has no sensitive name.
+STEMS = tuple(sorted(a for a in {*SENSITIVE, "key"} if not any(b != a and b in a for b in {*SENSITIVE, "key"})))
 
 ACCEPT = 0.8
 
@@ -427,7 +428,8 @@ def scan_text(text: str | None) -> tuple[list, list]:
     text = text or ""
     base = sorted(base_spans(text), key=lambda s: (s[0], s[2]))
     more = set()
-    if STEM.search(text):
+    low = text.lower()
+    if any(stem in low for stem in STEMS):
         for name, value, quoted in pairs(text):
             s = sensitivity(name)
             if s >= 0.7 and not value.told and 0.6 * s + 0.3 * value.randomness(text) + 0.1 * quoted >= ACCEPT:
