@@ -9,6 +9,7 @@ from ..operators import orderings as O
 from ..operators import pages as P
 from ..operators import shelf as S
 from ..sources import epub
+from ..sources.epub import packed
 from ..sources.paged import paged_source
 from .registry import query, table
 from .source_queries import SQL_BLOCKS
@@ -145,7 +146,7 @@ def _archives(spark, sf):
             for i, url, html in zip(b["page_id"], b["url"], b["html"]):
                 title = f"Page & {i}" if i % 3 else None
                 documents = [("cover.xhtml", None, "<p>cover</p>"), (f"c{i}.xhtml", title, html), ("tail.xhtml", None, "<p>short</p>")]
-                rows.append((str(i), epub.packed(f"Book {i}", "Doe, Ann" if i % 2 else "Ann Doe", "fr-FR", f"{1900 + i % 100}-01-02", documents)))
+                rows.append((str(i), packed(f"Book {i}", "Doe, Ann" if i % 2 else "Ann Doe", "fr-FR", f"{1900 + i % 100}-01-02", documents)))
             yield pd.DataFrame(rows + [("broken", b"no archive")] * bool(rows), columns=["path", "content"])
 
     return table(spark, sf, "pages").mapInPandas(pack, "path string, content binary")

@@ -73,3 +73,36 @@ def test_command_line(spark, tmp_path, monkeypatch):
     cli.main(["segment", str(tmp_path / "in"), str(tmp_path / "seg")])
     rows = spark.read.json(str(tmp_path / "seg")).collect()
     assert any("trois chats" in r.text for r in rows) and any(r.role == "dialogue" and r.pause_after_ms == 830 for r in rows)
+
+
+def test_violations_at_any_depth(spark):
+    import json
+
+    from parchment.functions.misc import violations
+
+    deep = {"hate": {"violated": True}}
+    for k in range(30):
+        deep = {f"n{k}": [1, deep]}
+    rows = [(json.dumps(deep),), ('{"a": {"violated": true, "b": {"violated": true}}, "c": {"violated": false}}',), ("{broken",), (None,), ('[{"x": {"violated": 1}}]',)]
+    got = [r.v for r in spark.createDataFrame(rows, "j string").select(violations("j").alias("v")).collect()]
+    assert got == [["hate"], ["a"], [], [], ["x"]]
+
+
+def test_a_service_gets_three_tries():
+    import pytest
+
+    from parchment.sources.services import Unavailable, retried
+
+    calls = []
+
+    def failing(n):
+        calls.append(n)
+        if len(calls) < n:
+            raise Unavailable
+        return len(calls)
+
+    assert retried(failing, 3, wait=0.0) == 3
+    calls.clear()
+    with pytest.raises(Unavailable):
+        retried(failing, 4, wait=0.0)
+    assert len(calls) == 3

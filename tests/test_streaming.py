@@ -28,3 +28,19 @@ def test_state_is_kept_between_runs(spark, tmp_path):
     state.follow_to_table(stream(), out, cp)
     rows = spark.read.parquet(out).groupBy("job").agg(F.max_by(F.struct("state", "n_events", "started", "finished"), "batch").alias("s")).collect()
     assert {r.job: tuple(r.s) for r in rows} == {1: ("done", 3, 2.0, 9.0), 2: ("pending", 1, None, None), 3: ("pending", 1, None, None)}
+
+
+def test_two_workers_claim_different_jobs(spark, tmp_path):
+    from parchment.streaming.jobs import JobQueue
+
+    one, two = JobQueue(spark, f"file://{tmp_path}/jobs"), JobQueue(spark, f"file://{tmp_path}/jobs")
+    for job, project in ((1, "a"), (2, "b"), (3, "c")):
+        assert one.enqueue(job, project, float(job))
+    assert not one.enqueue(4, "a", 4.0)
+    stale = two.jobs().cache()  # what a slow worker has read before the other claims
+    stale.count()
+    assert one.claim(5.0) == 1
+    two.jobs = lambda: stale
+    assert two.claim(5.0) == 2 and one.claim(6.0) == 3 and one.claim(7.0) is None
+    one.finish(1, "a", 8.0)
+    assert one.enqueue(4, "a", 9.0) and one.claim(9.0) == 4

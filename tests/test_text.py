@@ -90,3 +90,43 @@ def test_small_functions(spark):
     assert one(spark, T.typewriter(a), "œuf… “a”") == 'oeuf... "a"'
     assert one(spark, T.paragraphs_of(a), "a\r\n\r\nb\nc\n\n \n\nd") == ["a", "b\nc", "d"]
     assert one(spark, T.word_count(a), "  a  b c ") == 3
+
+
+def test_numbers_of_any_length():
+    from parchment.functions.numbers import spell_all
+
+    assert spell_all("10 000 000 000 000") == "dix billions" and spell_all(str(10**12)) == "un billion"
+    assert spell_all("a 1,5 b") == "a quinze b" and spell_all("80 000 000") == "quatre-vingts millions"
+    for n in (19, 25, 66, 67, 5000):
+        said = spell_all("x" + "9" * n + "y")
+        assert not any(c.isdigit() for c in said) and said[0] == "x" and said[-1] == "y"
+
+
+def test_alignment_tells_words_from_punctuation(spark):
+    from parchment.operators.review import alignment_truth
+
+    pairs = [(1, "« Le chien, noir. »", "« Le chat, noir. »"), (2, "un deux trois", "un DEUX et trois"), (3, "l'ane, (vieux)", "l’âne, (vieux)"), (4, "a b", "a"), (5, None, "x"), (6, "même texte", "même texte")]
+    got = sorted(tuple(r) for r in alignment_truth(spark.createDataFrame(pairs, "id long, raw string, clean string")).collect())
+    assert got == [(1, 5, "chien", "chat"), (2, 3, "deux", "DEUX"), (3, 0, "l'ane", "l’âne"), (4, 2, "b", "")]
+
+
+def test_silences_of_a_chapter(spark):
+    from pyspark.sql import functions as F
+
+    from parchment.operators.segmentation import spoken_segments
+
+    books = [
+        ("a", 3, "", ["Il faisait beau.", "@Ann", "« Non » dit-elle ici...", "@", "— Oui, bien entendu."]),
+        ("a", 0, "Avant", ["Un deux. Trois quatre cinq six sept huit neuf dix. Onze."]),
+        ("b", 1, "Le départ", ["Texte."]),
+        ("c", 1, "Chapitre 7", []),
+    ]
+    df = spark.createDataFrame(books, "book string, chapter int, title string, paragraphs array<string>")
+    rows = {(r.book, r.chapter, r.idx): (r.role, r.text, r.pause_after_ms) for r in spoken_segments(df).collect()}
+    assert rows == {
+        ("a", 3, 0): ("narrateur", "Chapitre trois.", 2000), ("a", 3, 1): ("narrateur", "Il faisait beau.", 800), ("a", 3, 2): ("Ann", "Non dit-elle ici", 1250),
+        ("a", 3, 3): ("dialogue", "Oui, bien entendu.", 800), ("a", 0, 0): ("narrateur", "Un deux. Trois quatre cinq six sept huit neuf dix.", 380), ("a", 0, 1): ("narrateur", "Onze.", 800),
+        ("b", 1, 0): ("narrateur", "Le départ.", 2000), ("b", 1, 1): ("narrateur", "Texte.", 800),
+    }
+    stretched = spoken_segments(df, scale=1.5, announce=False).where(F.col("book") == "b").collect()
+    assert [(r.text, r.pause_after_ms) for r in stretched] == [("Texte.", 1200)]
