@@ -115,3 +115,22 @@ def decode_wav(raw: pd.Series) -> pd.Series:
 def quantised(audio: Column) -> Column:
     """Samples as 16-bit whole numbers, clipped to -1 .. 1."""
     return F.transform(audio, lambda x: (F.least(F.lit(1.0), F.greatest(F.lit(-1.0), x.cast("double"))) * 32767).cast("int"))
+
+
+def encode_wav(samples: Column, rate: int = SAMPLE_RATE) -> Column:
+    """Whole numbers as quantised() gives them, as the bytes of a one-channel 16-bit WAV file."""
+
+    @F.pandas_udf("binary")
+    def pack(rows: pd.Series) -> pd.Series:
+        def one(x) -> bytes:
+            out = io.BytesIO()
+            with wave.open(out, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(rate)
+                w.writeframes(np.asarray(x if x is not None else [], "<i2").tobytes())
+            return out.getvalue()
+
+        return rows.map(one)
+
+    return pack(samples)

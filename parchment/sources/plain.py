@@ -55,12 +55,12 @@ def to_markdown(number: Column, title: Column, paragraphs: Column) -> Column:
 def from_markdown(c: Column) -> Column:
     """struct<chapter, title, pages, paragraphs> of a chapter file with a head between lines of ---."""
     parts = F.split(c, r"(?m)^---\s*$", 3)
-    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract(parts[1], rf"(?m)^{name}:[ \t]*(.*)$", 1), '^"|"$', ""))
+    field = lambda name: F.trim(F.regexp_replace(F.regexp_extract(F.get(parts, F.lit(1)), rf"(?m)^{name}:[ \t]*(.*)$", 1), '^"|"$', ""))
     pages = F.split(field("pages"), "-")
     return F.struct(
         field("chapter").try_cast("int").alias("chapter"), field("title").alias("title"),
-        F.when(F.size(pages) == 2, F.struct(pages[0].try_cast("int").alias("first"), pages[1].try_cast("int").alias("last"))).alias("pages"),
-        T.paragraphs_of(parts[2]).alias("paragraphs"),
+        F.when(F.size(pages) == 2, F.struct(F.get(pages, F.lit(0)).try_cast("int").alias("first"), F.get(pages, F.lit(1)).try_cast("int").alias("last"))).alias("pages"),
+        T.paragraphs_of(F.get(parts, F.lit(2))).alias("paragraphs"),
     )
 
 

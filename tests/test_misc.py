@@ -72,7 +72,7 @@ def test_command_line(spark, tmp_path, monkeypatch):
         (tmp_path / "in" / f"ch{i}.md").write_text(t)
     cli.main(["segment", str(tmp_path / "in"), str(tmp_path / "seg")])
     rows = spark.read.json(str(tmp_path / "seg")).collect()
-    assert any("trois chats" in r.text for r in rows) and any(r.role == "dialogue" and r.pause_after_ms == 830 for r in rows)
+    assert any("trois chats" in r.text for r in rows) and any(r.role == "dialogue" and r.pause_after_ms == 1250 for r in rows)
 
 
 def test_violations_at_any_depth(spark):
