@@ -46,6 +46,19 @@ def test_license_template_without_a_base_phrase():
     assert scanner.scan("permission is hereby not granted to publish or sell the sea")[5] == ""
 
 
+def test_whole_licences_are_one_span():
+    scanner = licenses.Scanner()
+    for k, (label, template) in enumerate(licenses.TEMPLATES):
+        words = [w.decode() for w in licenses.words_nonempty(template)]
+        if len(words) < 60:
+            continue
+        for broken in ((), (len(words) // 3, 2 * len(words) // 3)):  # words changed here and there
+            text = ["intro"] * 5 + [w if i not in broken else "changed" for i, w in enumerate(words)] + ["outro"] * 4
+            said = [x.split(":") for x in scanner.scan(" ".join(text))[7].split(",")]
+            assert [label, "5", str(5 + len(words))] in said, (label, broken, said)
+            assert max(int(e) - int(a) for la, a, e in said if la != label) < 40 if any(la != label for la, *_ in said) else True
+
+
 def test_automaton_holds_exactly_the_substrings():
     rng = random.Random(4)
     strings = [[rng.choice((b"a", b"b", b"c")) for _ in range(rng.randint(1, 14))] for _ in range(5)]
