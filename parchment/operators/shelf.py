@@ -169,3 +169,41 @@ def opening_headings(lines: DataFrame, keys: list[str], least: int = 40) -> Data
     """keys, page, title: pages that open with a heading and say enough. lines has page, pos, text, running, heading."""
     seen = lines.where(~F.col("running")).groupBy(*keys, "page").agg(F.min(F.struct("pos", "text", "heading")).alias("f"), F.sum(F.length("text")).alias("n"))
     return seen.where(F.col("f.heading") & (F.col("n") >= least)).select(*keys, "page", F.col("f.text").alias("title"))
+
+
+def cover_source(path: Column) -> Column:
+    """How a book's cover is got: an image is copied, a PDF gives its first page, an e-book is searched; else null."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    return F.when(suffix.isin("png", "jpg", "jpeg", "webp"), "copy").when(suffix == "pdf", "first page").when(suffix == "epub", "archive")
+
+
+PROJECT = "title string, backend string, voice string, speed double, voices map<string,string>, dialogue_voice string"
+
+
+def projects(saves: DataFrame) -> DataFrame:
+    """name and settings of every project, as saved last. saves (name, version, config) is only ever appended to.
+
+    A save is a new version, so nothing is updated. What isn't a project's JSON is left out; a missing speed is 1, and the
+    only second voice of old projects becomes the dialogues'.
+    """
+    last = saves.groupBy("name").agg(F.max_by("config", "version").alias("config"))
+    read = last.select("name", F.from_json("config", PROJECT).alias("p")).where("p.title is not null")
+    return read.select("name", "p.title", "p.backend", "p.voice", F.coalesce("p.speed", F.lit(1.0)).alias("speed"), migrated_voices(F.col("p.voices"), F.col("p.dialogue_voice")).alias("voices"))
+
+
+def saved(saves: DataFrame, changed: DataFrame) -> DataFrame:
+    """The rows to append to saves so that changed (name, config) is what they say: those that differ from the last save."""
+    last = saves.groupBy(F.col("name").alias("__n")).agg(F.max("version").alias("__v"), F.max_by("config", "version").alias("__c"))
+    both = changed.join(last, F.col("name") == F.col("__n"), "left").where(~F.col("config").eqNullSafe(F.col("__c")))
+    return both.select("name", (F.coalesce("__v", F.lit(0)) + 1).alias("version"), "config")
+
+
+def unknown_by_language(words: DataFrame, lexicons: DataFrame) -> DataFrame:
+    """words (lang, form) that the lexicon of their own language (lang, form) doesn't have."""
+    return words.join(lexicons.select("lang", "form").distinct(), ["lang", "form"], "left_anti")
+
+
+def speakers(listed: Column) -> Column:
+    """A service's list of voices as names: trimmed, without empty ones, each once, by name, case aside."""
+    names = F.array_distinct(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return F.transform(F.array_sort(F.transform(names, lambda x: F.struct(F.lower(x).alias("k"), x.alias("x")))), lambda s: s["x"])

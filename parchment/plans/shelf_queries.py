@@ -220,3 +220,56 @@ def shown_books(spark, sf):
 def same_readers(spark, sf):
     d = texts(spark, sf, "lang").select("doc_id", F.get(T.lines_of(F.col("text")), F.lit(0)).alias("a"), S.same_name(F.concat(F.lit(" "), F.upper("lang")), F.lit("De ")).alias("same"))
     return d.where("a is not null")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'Narrateur' WHEN turn % 7 = 0 THEN upper(role) ELSE role END AS who, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, who ORDER BY i) AS g FROM t),
+b AS (SELECT conv_id, who, min(i) AS f, max(i) AS l FROM g WHERE who <> 'Narrateur' GROUP BY conv_id, who, g),
+n AS (SELECT conv_id, lower(who) AS k, arg_min(who, f) AS persona FROM b GROUP BY conv_id, lower(who))
+SELECT b.conv_id AS book, n.persona, f AS first, l AS last FROM b JOIN n ON n.conv_id = b.conv_id AND n.k = lower(b.who)""")
+def discovered_readers(spark, sf):
+    """Conversations stand for chapters whose paragraphs say who reads; a name keeps the spelling it had first."""
+    who = F.when(F.col("role") == "system", "Narrateur").when(F.col("turn") % 7 == 0, F.upper("role")).otherwise(F.col("role"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(who, F.lit(": "), F.regexp_replace("text", r"[\[\]\n]", " ")).alias("p"))
+    chapters = c.groupBy(F.col("conv_id").alias("book")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "p"))), lambda x: x["p"]).alias("paragraphs")).withColumn("chapter", F.lit(1).cast("long"))
+    return services.discovered(chapters, services.Roles).select("book", "persona", "first", "last")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS name, max(o_orderkey) AS v FROM orders GROUP BY o_custkey)
+SELECT name, 't' || v AS title, CASE WHEN v % 3 = 0 THEN 1.0 ELSE v % 10 / 10.0::DOUBLE END AS speed, CASE v % 3 WHEN 1 THEN 'dialogue=d' || v ELSE '' END AS voices FROM o WHERE v % 5 <> 0""")
+def project_listing(spark, sf):
+    """Orders stand for saves of a customer's project; the last one counts, and a fifth of them can't be read."""
+    k = F.col("o_orderkey")
+    made = F.to_json(F.struct(F.concat(F.lit("t"), k.cast("string")).alias("title"), F.when(k % 3 != 0, k % 10 / 10.0).alias("speed"), F.when(k % 3 == 1, F.concat(F.lit("d"), k.cast("string"))).alias("dialogue_voice")))
+    saves = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), k.alias("version"), F.when(k % 5 == 0, "{broken").otherwise(made).alias("config"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("voices")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return S.projects(saves).select("name", "title", "speed", shown.alias("voices"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS name, max(o_orderkey) AS v, CAST(arg_max(o_orderstatus, o_orderkey) AS VARCHAR) AS c FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey)
+SELECT c_custkey AS name, coalesce(v, 0) + 1 AS version, 'F' AS config FROM customer LEFT JOIN s ON name = c_custkey WHERE c IS DISTINCT FROM 'F'""")
+def project_saves(spark, sf):
+    saves = table(spark, sf, "orders").where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("config"))
+    return S.saved(saves, table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), F.lit("F").alias("config")))
+
+
+@query(f"""
+WITH {SQL_TOKENS}, w AS (SELECT DISTINCT lang, lower(word) AS form FROM toks JOIN documents USING (doc_id) WHERE lang IS NOT NULL),
+l AS (SELECT lang, lower(word) AS form FROM toks JOIN documents USING (doc_id) GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2)
+SELECT lang, form FROM w WHERE (lang, form) NOT IN (SELECT lang, form FROM l WHERE lang IS NOT NULL)""")
+def unknown_by_language(spark, sf):
+    """Words that stand in one text only of their language; the lexicon of a language has those of two."""
+    d = texts(spark, sf, "lang").where("lang is not null")
+    forms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)), lambda w: F.lower(w)))
+    each = d.select("lang", F.explode(forms).alias("form")).groupBy("lang", "form").agg(F.count("*").alias("n"))
+    return S.unknown_by_language(each.select("lang", "form"), each.where("n >= 2"))
+
+
+@query("SELECT p_partkey, ['copy', 'first page', 'archive', NULL][p_partkey % 4 + 1] AS cover, array_to_string(list_sort(list_distinct([lower(p_name), lower(p_brand)])), '|') AS names FROM part")
+def book_covers(spark, sf):
+    path = F.element_at(F.array(*map(F.lit, ("/a/b.JPG", "/a.b/c.pdf", "x.epub", "/a.pdf/c"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    listed = F.array(F.concat(F.lit(" "), F.lower("p_name")), F.lit("  "), F.lower("p_brand"), F.lower("p_name"), F.lit(None).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", S.cover_source(path).alias("cover"), F.array_join(S.speakers(listed), "|").alias("names"))

@@ -68,6 +68,19 @@ class Cutter:
         return json.dumps([{"id": e["id"], "correction": e["word"][:-1]} for e in json.loads(prompt)])
 
 
+class Roles:
+    """Takes a paragraph's word before a colon for its reader; paragraphs that follow each other are one block."""
+
+    def ask(self, prompt: str) -> str:
+        blocks: list[dict] = []
+        for n, who in re.findall(r"(?m)^\[(\d+)\] (\w+):", prompt):
+            if blocks and blocks[-1]["name"] == who and blocks[-1]["to"] == int(n) - 1:
+                blocks[-1]["to"] = int(n)
+            else:
+                blocks.append({"name": who, "from": int(n), "to": int(n)})
+        return json.dumps({"blocks": blocks})
+
+
 class WordList:
     """Categories by words, from a service that is unavailable at every other call."""
 
@@ -131,6 +144,48 @@ def moderated(texts: DataFrame, make: Callable[[], Moderator], size: int = 32, w
     return texts.mapInPandas(run, _with(texts, "flags", ArrayType(StringType())))
 
 
+SLICE_CHARS = 24_000  # fixed value: characters of a chapter that a model is shown at once
+DISCOVERED = "book long, chapter long, persona string, first long, last long, opening string, closing string"
+
+
+def _slices(paragraphs: list[str]) -> Iterator[range]:
+    start, size = 0, 0
+    for i, p in enumerate(paragraphs):
+        if size and size + len(p) > SLICE_CHARS:
+            yield range(start, i)
+            start, size = i, 0
+        size += len(p)
+    if start < len(paragraphs):
+        yield range(start, len(paragraphs))
+
+
+def discovered(chapters: DataFrame, make: Callable[[], Model]) -> DataFrame:
+    """book, chapter, persona, first, last, opening, closing: blocks that a model gives to readers.
+
+    chapters has book, chapter and paragraphs. Names known from one chapter go into the questions about the next, and keep
+    the spelling they had first; so a book's chapters are read in order, by one task, and only books run beside each other.
+    Blocks of the narrator, without a name, or outside of what was shown are left out; a reply that can't be read gives none.
+    """
+
+    def read(b: pd.DataFrame) -> pd.DataFrame:
+        model, known, rows = make(), {}, []
+        for book, chapter, paragraphs in b.sort_values("chapter").itertuples(index=False):
+            paragraphs = list(paragraphs)
+            for shown in _slices(paragraphs):
+                head = f"Known: {', '.join(known.values())}.\n\n" if known else ""
+                try:
+                    blocks = json.loads(model.ask(head + "\n".join(f"[{i}] {paragraphs[i]}" for i in shown)))["blocks"]
+                except (ValueError, KeyError, TypeError):
+                    continue
+                for x in blocks:
+                    name, a, z = str(x.get("name") or "").strip(), x.get("from"), x.get("to")
+                    if name and name.casefold() != "narrateur" and a in shown and z in shown and a <= z:
+                        rows.append((book, chapter, known.setdefault(name.casefold(), name), a, z, paragraphs[a], paragraphs[z]))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in DISCOVERED.split(", ")])
+
+    return chapters.select("book", "chapter", "paragraphs").groupBy("book").applyInPandas(read, DISCOVERED)
+
+
 def reply_json(c: Column) -> Column:
     """The JSON in a model's reply: without thoughts, inside a fence if there is one, else between the outermost brackets."""
     said = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
