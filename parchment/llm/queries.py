@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, html_text, language, licenses, mixing, multiset_hash, quality, secrets, simhash, substring_dedup, whitening
+from . import attention, decontamination, hard_negatives, html_text, language, licenses, mixing, multiset_hash, quality, secrets, simhash, substring_dedup, whitening
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.scores(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_page_texts": op8_page_texts,
     "op9_secret_spans": op9_secret_spans,
     "op10_multiset_fingerprints": op10_multiset_fingerprints,
+    "op11_attention_scores": op11_attention_scores,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_whitened_embeddings": op13_whitened_embeddings,
 }
