@@ -5,9 +5,10 @@ popcounts nor any other cut of 64 bits tells pairs from strangers. So fingerprin
 wide here (1024 bits), candidates share a band of least shingle hashes, and they are
 told by the distance of fingerprints: popcounts of their 64-bit segments are compared
 first, as their Manhattan distance is a lower bound, then bits. Sets of one similarity lie
-at distances that scatter by eleven bits. So pairs 2.5 times as far below the mean distance
-of 0.8 are links; of those up to as far above, what could still connect groups is verified
-on the sets themselves, the nearest pairs of a cell that connect its groups.
+at distances that scatter by eleven bits. Pairs 4.5 times as far below the mean distance
+of 0.8 are links, those 4 times as far above are none. Where pairs between these bounds
+could still connect groups, the sets themselves of all that take part are compared, all
+with all, in blocks of bounded size.
 
 Equal sets of shingles are one before any search. A cell reports a star of each group it
 finds instead of the group's pairs. Nothing of a cell is compared twice that is linked
@@ -30,9 +31,10 @@ from .components import components
 
 SIZE, SIMILARITY = 5, 0.8
 WORDS = 16  # of 64 bits in a fingerprint
-BANDS, ROWS = 10, 4  # pairs of similarity 0.8 share a band with a probability of 0.995
+BANDS, ROWS = 16, 4  # pairs of similarity 0.8 share a band with a probability of 0.9998
 CELL_MOST = 8192
-SURE = 2.5  # standard deviations of a distance
+SURE, NONE = 4.5, 4.0  # standard deviations of a distance below and above the mean: between them sets are compared
+BLOCK_BYTES = 16 << 20  # of sets that meet in a task, from either side
 BROADCAST = 1_000_000  # texts to be verified that may be named in a broadcast
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -62,8 +64,8 @@ def radius(similarity: float) -> int:
 def zone(similarity: float) -> tuple[int, int]:
     """Distances up to which a pair surely is, and from which on it surely isn't, of that similarity."""
     mean, n = radius(similarity), 64 * WORDS
-    scatter = SURE * math.sqrt(mean * (n - mean) / n)
-    return int(mean - scatter), int(mean + scatter)
+    scatter = math.sqrt(mean * (n - mean) / n)
+    return int(mean - SURE * scatter), int(mean + NONE * scatter)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -109,47 +111,44 @@ def distances(one: np.ndarray, many: np.ndarray, counts: np.ndarray, most: int)
 
 
 def stars(nodes: np.ndarray, fps: np.ndarray, sure: int, most: int, only: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """(kind, u, v): kind 0, edges that connect what pairs within `sure` bits connect; kind 2, the nearest pairs within
-    `most` bits that would connect their groups. `only` says which members have to be compared with all (None: any).
+    """(kind, u, v): kind 0, edges that connect what pairs within `sure` bits connect; kind 2 (u = v), members that a pair
+    within `most` bits could connect with another group. `only` says which members have to be compared with all (None: any).
 
-    A member that nothing links yet is compared with all. Then those outside the largest group are, as a link between two
-    groups has an end in the smaller one; links inside a group are never looked for.
+    A member that nothing links yet is compared with all. Then those outside the largest group are, as a pair between two
+    groups has an end in the smaller one; links inside a group are never looked for. What is held grows with members, not pairs.
     """
     n = len(nodes)
     counts = np.bitwise_count(fps).astype(np.int16)
     label = np.arange(n)
     out: list[tuple[int, int, int]] = []
-    open_: list[tuple[int, int, int]] = []
-    done = np.zeros(n, bool)
+    done, open_, linked = (np.zeros(n, bool) for _ in range(3))
 
     def look(i: int) -> None:
         done[i] = True
         far = distances(fps[i], fps, counts, most)
         here = far <= sure
-        for root in np.unique(label[here]):
-            if root != label[i]:
-                j = np.flatnonzero(here & (label == root))[0]
-                out.append((0, int(nodes[i]), int(nodes[j])))
-                label[label == root] = label[i]
-        between = np.flatnonzero((far > sure) & (far <= most) & (label != label[i]))
-        open_.extend((int(far[j]), i, int(j)) for j in between)
-
-    linked = np.zeros(n, bool)
+        roots = np.unique(label[here])
+        for root in roots[roots != label[i]]:
+            j = np.flatnonzero(here & (label == root))[0]
+            out.append((0, int(nodes[i]), int(nodes[j])))
+            label[label == root] = label[i]
+        mine = label == label[i]
+        if mine.sum() > 1:
+            linked[mine] = True
+        between = (far > sure) & (far <= most) & ~mine
+        if between.any():
+            open_[between] = True
+            open_[i] = True
+
     for i in np.flatnonzero(only) if only is not None else range(n):
-        if only is None and linked[i]:
-            continue
-        look(i)
-        linked = np.bincount(label, minlength=n)[label] > 1
+        if only is not None or not linked[i]:
+            look(i)
     if only is None:
         found, sizes = np.unique(label, return_counts=True)
         if len(found) > 1:
             for i in np.flatnonzero((label != found[sizes.argmax()]) & ~done):
                 look(i)
-    for _, i, j in sorted(open_):
-        if label[i] != label[j]:
-            out.append((2, int(nodes[i]), int(nodes[j])))
-            label[label == label[j]] = label[i]
-    return out
+    return out + [(2, int(u), int(u)) for u in nodes[open_]]
 
 
 EDGES = "kind int, cell long, u long, v long"
@@ -193,7 +192,7 @@ def meet(sure: int, most: int, cell_most: int):
 
 
 def _large(cells: DataFrame, large: DataFrame, sure: int, most: int, cell_most: int) -> DataFrame:
-    """kind, u, v of cells that aren't held. large has l_cell and n."""
+    """kind, cell, u, v of cells that aren't held. large has l_cell and n."""
     members = materialize(cells.join(large, F.col("cell") == F.col("l_cell")).select("cell", "n", "node", "fp"), "similar-large")
     first = members.groupBy(F.col("cell").alias("f_cell")).agg(F.min(F.struct("node", "fp")).alias("f"))
 
@@ -207,7 +206,7 @@ def _large(cells: DataFrame, large: DataFrame, sure: int, most: int, cell_most:
         .mapInPandas(compared, "cell long, n long, node long, fp binary, root long, near boolean"),
         "similar-judged",
     )
-    star = judged.where("near and node <> root").select(F.lit(0).alias("kind"), F.col("node").alias("u"), F.col("root").alias("v"))
+    star = judged.where("near and node <> root").select(F.lit(0).alias("kind"), "cell", F.col("node").alias("u"), F.col("root").alias("v"))
     odd = judged.where("not near")
     sizes = odd.groupBy(F.col("cell").alias("o_cell")).agg(F.count("*").alias("odd"))
     blocks = lambda c: F.ceil(F.col(c) / cell_most).cast("int")
@@ -219,16 +218,56 @@ def _large(cells: DataFrame, large: DataFrame, sure: int, most: int, cell_most:
 
     def met(b: pd.DataFrame) -> pd.DataFrame:
         ids = b["node"].to_numpy()
-        return pd.DataFrame(stars(ids, unpacked(b["fp"]), sure, most, b["one"].to_numpy()), columns=["kind", "u", "v"])
+        found = pd.DataFrame(stars(ids, unpacked(b["fp"]), sure, most, b["one"].to_numpy()), columns=["kind", "u", "v"])
+        return found.assign(cell=b["cell"].iloc[0])[["kind", "cell", "u", "v"]]
+
+    crossed = ones.unionByName(all_.select("cell", "node", "fp", "one", "r", "a")).groupBy("cell", "r", "a").applyInPandas(met, EDGES)
+    return star.unionByName(crossed.where("u <> v or kind = 2"))
+
+
+def connected(nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect all sets which pairs of the similarity or more connect, beyond what `label` says is connected already.
+
+    A set is compared with all others at once: its hashes are marked, and marks are summed over each set's hashes.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    full = sizes > 0
+    label = np.unique(label, return_inverse=True)[1]
+    marked = np.zeros(len(values), bool)
+    out: list[tuple[int, int]] = []
+    most = np.bincount(label).argmax()  # a link between two groups has an end outside the largest of the start
+    for i in np.flatnonzero(full & (label != most)):
+        if (label == label[i]).all():
+            break
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        common = np.zeros(len(sets), np.int64)
+        common[full] = np.add.reduceat(marked[flat], starts[full])
+        marked[own] = False
+        near = (common >= similarity * (sizes + sizes[i] - common)) & full
+        roots = np.unique(label[near])
+        for root in roots[roots != label[i]]:
+            j = np.flatnonzero(near & (label == root))[0]
+            out.append((int(nodes[i]), int(nodes[j])))
+            label[label == root] = label[i]
+    return out
 
-    crossed = ones.unionByName(all_.select("cell", "node", "fp", "one", "r", "a")).groupBy("cell", "r", "a").applyInPandas(met, "kind int, u long, v long")
-    return star.unionByName(crossed.where("u <> v"))
 
+def _verified(docs: DataFrame, sets: DataFrame, open_: DataFrame, roots: DataFrame, size: int, similarity: float) -> DataFrame:
+    """u, v: links between the groups of `roots` among members (cell, node) of open cells. Only their texts are read again.
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """u, v: the pairs whose sets are similar enough. Only their texts are read again."""
-    need = pairs.select(F.explode(F.array("u", "v")).alias("n_node")).distinct()
-    wanted = materialize(sets.join(need, F.col("node") == F.col("n_node"), "left_semi").select("node", F.col("first.th").alias("w_th")), "similar-wanted")
+    A cell's sets meet in blocks of BLOCK_BYTES, each pair of blocks in a task of its own.
+    """
+    grouped = open_.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select("cell", "node", F.coalesce("root", "node").alias("g"))
+    sized = grouped.join(sets.select(F.col("node").alias("s_node"), "n"), F.col("node") == F.col("s_node")).select("cell", "node", "g", "n")
+    cells = (
+        sized.groupBy(F.col("cell").alias("o_cell")).agg(F.min("g").alias("low"), F.max("g").alias("high"), F.sum(8 * F.col("n")).alias("bytes"))
+        .where("low <> high").select("o_cell", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    )
+    members = materialize(sized.join(cells, F.col("cell") == F.col("o_cell")).select("cell", "node", "g", "blocks"), "similar-members")
+    wanted = materialize(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.th").alias("w_th")), "similar-wanted")
     few = wanted.count() <= BROADCAST
 
     def hashes(batches):
@@ -237,19 +276,18 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, sim
 
     texts = docs.select(F.xxhash64("text").alias("t_th"), "text").join(F.broadcast(wanted) if few else wanted, F.col("t_th") == F.col("w_th")).select("node", "text")
     known = materialize(texts.mapInPandas(hashes, "node long, h binary").groupBy("node").agg(F.min("h").alias("h")), "similar-hashes")
-    side = lambda c: known.select(F.col("node").alias(f"{c}_node"), F.col("h").alias(f"{c}_h"))
-    both = pairs.join(side("a"), F.col("u") == F.col("a_node")).join(side("b"), F.col("v") == F.col("b_node")).select("u", "v", "a_h", "b_h")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = (
+        members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cell", "g", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        .join(known.select(F.col("node").alias("k_node"), "h"), F.col("node") == F.col("k_node")).select("cell", "x", "y", "node", "g", "h")
+    )
 
-    def similar(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b["a_h"], b["b_h"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield b.loc[np.array(keep, bool), ["u", "v"]]
+    def compared(b: pd.DataFrame) -> pd.DataFrame:
+        found = connected(b["node"].to_numpy(), [np.frombuffer(h, np.uint64) for h in b["h"]], b["g"].to_numpy(), similarity) if len(b) > 1 else []
+        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    return both.mapInPandas(similar, "u long, v long")
+    return met.groupBy("cell", "x", "y").applyInPandas(compared, "u long, v long")
 
 
 def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, cell_most: int = CELL_MOST) -> tuple[DataFrame, DataFrame]:
@@ -257,26 +295,31 @@ def groups(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, ce
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [signature(shingles(t, size)) for t in b["text"]]
-            yield b.drop(columns=["text"]).assign(node=[f[0] for f in found], fp=[f[1] for f in found], bands=[f[2] for f in found])
+            sets = [shingles(t, size) for t in b["text"]]
+            found = [signature(h) for h in sets]
+            yield b.drop(columns=["text"]).assign(node=[f[0] for f in found], n=[len(h) for h in sets], fp=[f[1] for f in found], bands=[f[2] for f in found])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text_batches(docs.sparkSession)
     rows = materialize(
-        docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(signed, f"doc_id {kind}, th long, node long, fp binary, bands array<long>"), "similar-rows"
+        docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(signed, f"doc_id {kind}, th long, node long, n long, fp binary, bands array<long>"), "similar-rows"
     )
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")  # a row without an id stays only where no other does
-    sets = materialize(rows.groupBy("node").agg(least, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "similar-sets")
+    sets = materialize(rows.groupBy("node").agg(least, F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "similar-sets")
     cells = sets.select("node", "fp", F.explode("bands").alias("cell"))
     sure, most = zone(similarity)
     found = materialize(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(meet(sure, most, cell_most), EDGES), "similar-met")
-    links = found.where("kind <> 1").select("kind", "u", "v")
+    links = found.where("kind <> 1")
     large = found.where("kind = 1").select(F.col("cell").alias("l_cell"), F.col("u").alias("n"))
     if not large.isEmpty():
         links = materialize(links.unionByName(_large(cells, large, sure, most, cell_most)), "similar-links")
-    pairs = materialize(links.where("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-pairs")
-    edges = links.where("kind = 0").select("u", "v").unionByName(_verified(docs, sets, pairs, size, similarity))
+    edges = links.where("kind = 0").select("u", "v")
+    open_ = materialize(links.where("kind = 2").select("cell", F.col("u").alias("node")).distinct(), "similar-open")
     roots = components(edges)
+    if not open_.isEmpty():
+        more = materialize(_verified(docs, sets, open_, roots, size, similarity), "similar-more")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     joined = sets.select("node", "first").join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("group"))
     stay = joined.groupBy(F.col("group").alias("s_group")).agg(F.min("first").alias("first"))
     member = joined.select("node", "group").join(stay, F.col("group") == F.col("s_group"))
