@@ -38,7 +38,7 @@ PAGES_LEAST = 4  # different pages that must have a text before it is called con
 LINKED = 0.6  # part of a slot's characters inside links that makes it a menu
 BROADCAST_CHARS = 8_000_000  # characters of all wrappers that may be broadcast
 HOST_PAGES = 20_000  # pages of a host for one salt
-GAP_CELLS = 1 << 18  # pairs of unlike siblings that are weighed one by one; longer gaps are matched in order, by tag
+MATCH_CELLS = 1 << 16  # pairs of unlike nodes of a page that are weighed one by one; further ones are matched in order, by tag
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript iframe textarea title xmp".split())
@@ -52,15 +52,22 @@ CONTAINERS = {"ul", "ol", "dl", "table", "select", "div", "section", "article",
 INSIDE_P = BLOCK - {"option", "optgroup", "legend", "summary", "html", "body", "head"}
 
 # Elements, roles, and words of class or id that mark what isn't main text.
-DROP_TAGS = set("nav footer aside form button select menu dialog head search fieldset input label svg math object template".split())
+DROP_TAGS = set("nav footer aside button select menu dialog head search fieldset input label svg math object template".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar nav navbar navigation breadcrumb breadcrumbs"
     " cookie cookies consent gdpr newsletter subscribe subscription popup modal comment comments disqus login signup widget masthead toolbar"
-    " pagination pager footer".split()
+    " pagination pager footer notice notices".split()
 )
 #: Words that also name what a text is about: they drop boxes, but no paragraph or heading.
-BOX_WORDS = set("menu notice notices overlay promotion respond reply replies related recommended share sharing social search skip".split())
+BOX_WORDS = set("menu overlay promotion respond reply replies related recommended share sharing social search skip".split())
+#: Words that drop an element whatever else its class says, unless the class says that it has none or some (`no-comments`, `has-ads`).
+PART_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle googleads adslot adunit adbox adbanner sponsored"
+    " comment comments commentlist commentform commentbox commentarea usercomments disqus cookie cookies cookiebar cookiebanner cookienotice cookieconsent"
+    " notice notices consent gdpr".split()
+)
+ABOUT_PAGE = set("no not has have with without open opened closed enabled disabled hide hidden free off on is".split())
 #: What a class may be joined with and still mean the same.
 PLAIN_WORDS = set(
     "site page main top bottom left right box container wrapper wrap list area section block bar inner outer global primary secondary unit slot"
@@ -69,7 +76,7 @@ PLAIN_WORDS = set(
 TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dd dt td th em strong b i u a code mark q cite".split())
 HEADS = {"header", "masthead"}
 #: Words that an article may not lie in or bear itself; the other words may name a page's layout around it.
-FOREIGN = set("comment comments disqus respond reply replies related recommended".split())
+FOREIGN = set("comment comments commentlist commentbox commentarea usercomments disqus respond reply replies related recommended".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 #: The rest of a tag. Nothing is given back, so a tag that doesn't end is found out in one go.
@@ -86,10 +93,13 @@ def hashed(text: str, seed: int = 0) -> int:
 
 
 def marks(token: str) -> set[str]:
-    """The marking words of a class or id, if it says nothing else: `left-sidebar` does, `no-sidebar` doesn't."""
+    """The marking words of a class or id, if it says nothing else: `left-sidebar` does, `no-sidebar` doesn't. Words for adverts,
+    comments and notices mark beside others as well: `user-comments` does, `has-comments` doesn't."""
     words = set(re.findall(r"(?<![a-z0-9])[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
-    found = words & (DROP_WORDS | BOX_WORDS | HEADS)
-    return found if words <= found | PLAIN_WORDS else set()
+    found = words & (DROP_WORDS | BOX_WORDS | HEADS | PART_WORDS)
+    if words <= found | PLAIN_WORDS:
+        return found
+    return set() if words & ABOUT_PAGE else found & PART_WORDS
 
 
 def kind(token: str) -> str:
@@ -98,13 +108,13 @@ def kind(token: str) -> str:
 
 
 class Node:
-    """An open element. id: hash of the path of kinds from the root; block: the nearest block it is or lies in."""
+    """An open element. id: hash of the path of kinds from the root; block: the nearest block it is or lies in; form: in a form."""
 
-    __slots__ = ("tag", "sig", "id", "parent", "block", "drop", "foreign", "main", "link")
+    __slots__ = ("tag", "sig", "id", "parent", "block", "drop", "foreign", "main", "link", "form")
 
     def __init__(self, tag: str, sig: str, id_: int, parent: Node | None = None):
         self.tag, self.sig, self.id, self.parent, self.block = tag, sig, id_, parent, self
-        self.drop = self.foreign = self.main = self.link = False
+        self.drop = self.foreign = self.main = self.link = self.form = False
 
 
 def _open(parent: Node, tag: str, attributes: str) -> Node:
@@ -125,6 +135,7 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
     node.foreign = parent.foreign or role in DROP_ROLES or bool(hidden)
     node.main = parent.main or tag in ("article", "main") or role in ("main", "article")
     node.link = parent.link or tag == "a"
+    node.form = (parent.form or tag == "form") and tag not in ("article", "main")
     if tag in ("html", "body"):
         node.drop = node.foreign
     elif tag in ("article", "main"):
@@ -138,7 +149,8 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
 
 
 class Page:
-    """What a page holds beside what its mark-up drops.
+    """What a page holds beside what its mark-up drops. A form is dropped like the rest, but for an article inside it and unless
+    it holds more of the page's text than all else does: then the page lies in it.
 
     blocks: (id of the node, text, characters in links, in a main element) in page order. nodes: id -> (parent's id, kind)
     of these nodes and those around them, in page order; siblings of one kind have one id.
@@ -151,8 +163,22 @@ class Page:
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked, self.owner = 0, self.stack[0]
+        self.in_form: list[bool] = []
         self.read(page or "")
         self.flush()
+        if any(self.in_form):
+            inside = sum(len(t) for f, (_, t, *_) in zip(self.in_form, self.blocks) if f)
+            if 2 * inside <= sum(len(t) for _, t, *_ in self.blocks):
+                self.without_forms()
+
+    def without_forms(self) -> None:
+        self.blocks = [b for f, b in zip(self.in_form, self.blocks) if not f]
+        held: set[int] = set()
+        for id_, *_ in self.blocks:
+            while id_ in self.nodes and id_ not in held:
+                held.add(id_)
+                id_ = self.nodes[id_][0]
+        self.nodes = {k: v for k, v in self.nodes.items() if k in held}
 
     def flush(self) -> None:
         if self.parts:
@@ -160,6 +186,7 @@ class Page:
             if text:
                 own, n = [], self.owner
                 self.blocks.append((n.id, text, min(self.linked, len(text)), n.main))
+                self.in_form.append(n.form)
                 while n.parent is not None and n.id not in self.nodes:
                     own.append(n)
                     n = n.parent
@@ -301,35 +328,61 @@ def tag_of(sig: str) -> str:
 
 
 class Tree:
-    """Children of every node, (kind, id) in order."""
+    """Children of every node, (kind, id) in order; of each subtree how many nodes it has and a hash of its tags.
+
+    cells: pairs of children that may still be weighed one by one; beyond that, children are paired by tag alone.
+    """
 
-    def __init__(self, nodes: dict[int, tuple[int, str]]):
+    def __init__(self, nodes: dict[int, tuple[int, str]], cells: int = MATCH_CELLS):
         self.below: dict[int, list[tuple[str, int]]] = {}
+        self.size: dict[int, int] = {}
+        self.shape: dict[int, int] = {}
+        self.cells = cells
         for id_, (parent, sig) in nodes.items():
             self.below.setdefault(parent, []).append((sig, id_))
 
+    def measure(self) -> None:
+        """Sizes and shapes of subtrees, once they are asked for."""
+        order = [0]
+        for id_ in order:  # grows: parents come before their children
+            order += [c for _, c in self.below.get(id_, ())]
+        for id_ in reversed(order):
+            own = self.below.get(id_, ())
+            self.size[id_] = sum(1 + self.size[c] for _, c in own)
+            self.shape[id_] = hash(tuple((tag_of(s), self.shape[c]) for s, c in own))
+
 
 def tree_match(a: Tree, b: Tree, x: int, y: int, memo: dict[tuple[int, int], int]) -> int:
     """Simple tree matching of what lies below x of a and y of b: how many nodes, alike by tag, can be paired in order.
 
-    No recursion, so depth doesn't matter; pairs are weighed once (memo).
+    Subtrees of equal tags match whole, at once. No recursion, so depth doesn't matter; pairs are weighed once (memo), and b's
+    cells bound the work for a page.
     """
+    for t in (a, b):
+        if not t.shape:
+            t.measure()
     stack = [(x, y)]
     while stack:
         x, y = stack[-1]
+        if a.shape.get(x) == b.shape.get(y) and a.size.get(x) == b.size.get(y):
+            memo[x, y] = a.size.get(x, 0)
+            stack.pop()
+            continue
         left, right = a.below.get(x, []), b.below.get(y, [])
-        few = len(left) * len(right) <= GAP_CELLS
-        alike = [(u, v) for s, u in left for t, v in right if tag_of(s) == tag_of(t)] if few else []
+        n = len(left) * len(right)
+        alike = [(u, v) for s, u in left for t, v in right if tag_of(s) == tag_of(t)] if n <= b.cells else None
+        if alike is None:
+            memo[x, y] = len(by_tag([tag_of(s) for s, _ in left], [tag_of(s) for s, _ in right]))
+            stack.pop()
+            continue
         waiting = [p for p in alike if p not in memo]
         if waiting:
+            b.cells -= n
             stack += waiting
             continue
         stack.pop()
-        if few:
-            allowed = set(alike)
-            memo[x, y] = pairs_in_order([u for _, u in left], [v for _, v in right], lambda u, v: 1 + memo[u, v] if (u, v) in allowed else 0)[0] if allowed else 0
-        else:
-            memo[x, y] = len(by_tag([tag_of(s) for s, _ in left], [tag_of(s) for s, _ in right]))
+        allowed = set(alike)
+        memo[x, y] = pairs_in_order([u for _, u in left], [v for _, v in right], lambda u, v: 1 + memo[u, v] if (u, v) in allowed else 0)[0] if allowed else 0
     return memo[x, y]
 
 
@@ -374,9 +427,10 @@ class Wrapper:
         return slots
 
     def matched(self, free: list, odd: list, tree: Tree, memo: dict) -> list[tuple]:
-        if len(free) * len(odd) > GAP_CELLS:
+        if len(free) * len(odd) > tree.cells:
             pairs = by_tag([tag_of(s) for s, _ in free], [tag_of(s) for s, _ in odd])
         else:
+            tree.cells -= len(free) * len(odd)
 
             def weight(w, p):
                 if tag_of(w[0]) != tag_of(p[0]):
@@ -438,10 +492,17 @@ def trees(pages: DataFrame) -> DataFrame:
 
 
 class Wrappers:
-    """Wrappers by their rows; a worker reads each once."""
+    """Wrappers by their rows; a worker reads each once. shipped: rows of all hosts, where they are few enough to be broadcast."""
 
-    def __init__(self):
+    def __init__(self, shipped=None):
         self.known: dict[tuple, Wrapper] = {}
+        self.shipped = shipped.value if shipped is not None else None
+
+    def each(self, b: pd.DataFrame, *columns: str) -> Iterator[Wrapper]:
+        """The wrapper of each row of a batch, from its host or from the columns it came with."""
+        if self.shipped is not None:
+            return (self.of(*self.shipped.get(host, ())) for host in b["host"])
+        return (self.of(*row) for row in zip(*(b[c] for c in columns)))
 
     def of(self, *row) -> Wrapper:
         row = tuple(None if pd.isna(x) else x for x in row)
@@ -452,25 +513,29 @@ class Wrappers:
         return self.known[row]
 
 
-def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slots(shipped):
     """Slots and texts of pages; key is the text's hash with its slot."""
-    known = Wrappers()
-    for b in batches:
-        rows = []
-        for host, page, tree in zip(b["host"], b["html"], b["tree"]):
-            page, wrapper = Page(page), known.of(tree)
-            slots, own = wrapper.align(page), identity(page)
-            rows += [(host, own, slots[n], hashed(t, slots[n]), slots[n] in wrapper.nodes, len(t), linked) for n, t, linked, _ in page.blocks]
-        yield pd.DataFrame(rows, columns=["host", "page", "slot", "key", "inside", "chars", "linked"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Wrappers(shipped)
+        for b in batches:
+            rows = []
+            for host, page, wrapper in zip(b["host"], b["html"], known.each(b, "tree")):
+                page = Page(page)
+                slots, own = wrapper.align(page), identity(page)
+                rows += [(host, own, slots[n], hashed(t, slots[n]), slots[n] in wrapper.nodes, len(t), linked) for n, t, linked, _ in page.blocks]
+            yield pd.DataFrame(rows, columns=["host", "page", "slot", "key", "inside", "chars", "linked"])
+
+    return run
 
 
 def wrappers(pages: DataFrame, most: int = BROADCAST_CHARS) -> DataFrame:
     """w_host, n_pages, tree, menus, constants of every host with two pages or more. pages has page_id, url, host and html."""
     grown = materialize(trees(pages.select("host", "html")), "html-trees")
+    joined, shipped = with_wrappers(pages, grown, ["tree"], most)
     seen = materialize(
-        with_wrappers(pages, grown, most)
-        .select("host", "html", "tree")
-        .mapInPandas(_slots, "host string, page long, slot long, key long, inside boolean, chars long, linked long")
+        joined.select("host", "html", *([] if shipped else ["tree"]))
+        .mapInPandas(_slots(shipped), "host string, page long, slot long, key long, inside boolean, chars long, linked long")
         .groupBy("host", "page", "slot", "key", "inside").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")),
         "html-slots",
     )
@@ -520,18 +585,19 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def with_wrappers(pages: DataFrame, found: DataFrame, most: int = BROADCAST_CHARS, host_pages: int = HOST_PAGES) -> DataFrame:
-    """pages (host) with the wrappers of their hosts; null where a host has none."""
-    texts = [c for c in found.columns if c not in ("w_host", "n_pages")]
-    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.length("w_host") + 8)
+def with_wrappers(pages: DataFrame, found: DataFrame, columns: list[str], most: int = BROADCAST_CHARS, host_pages: int = HOST_PAGES):
+    """(pages, shipped): columns of all wrappers by host as a broadcast, where they have `most` characters at most; else (pages
+    joined with the wrappers of their hosts, null where a host has none; None)."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.length("w_host") + 8)
     if (found.agg(F.sum(size)).first()[0] or 0) <= most:
-        return pages.join(F.broadcast(found), F.col("host") == F.col("w_host"), "left")
+        rows = {r.w_host: tuple(r[c] for c in columns) for r in found.select("w_host", *columns).collect()}
+        return pages, pages.sparkSession.sparkContext.broadcast(rows)
     salts = F.ceil(F.col("n_pages") / host_pages).cast("int")
     large = found.where(F.col("n_pages") > host_pages).select(F.col("w_host").alias("l_host"), salts.alias("salts"))  # at most a host for host_pages pages
     dealt = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("salts", F.lit(1))).cast("int"))
     salted = found.withColumn("w_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
+    return dealt.join(salted, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left"), None
 
 
 def extract(pages: DataFrame, most: int = BROADCAST_CHARS) -> DataFrame:
@@ -547,15 +613,18 @@ def extract(pages: DataFrame, most: int = BROADCAST_CHARS) -> DataFrame:
     not read. The order of rows and files doesn't matter.
     """
 
+    text_batches(pages.sparkSession)
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    columns = ["tree", "menus", "constants"]
+    found = materialize(wrappers(own, most), "html-wrappers")
+    joined, shipped = with_wrappers(own, found, columns, most)
+
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Wrappers()
+        known = Wrappers(shipped)
         for b in batches:
-            text = [main_text(page, known.of(*row)) for page, *row in zip(b["html"], b["tree"], b["menus"], b["constants"])]
+            text = [main_text(page, wrapper) for page, wrapper in zip(b["html"], known.each(b, *columns))]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": pd.Series(text, dtype=object)})
 
-    text_batches(pages.sparkSession)
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = materialize(wrappers(own, most), "html-wrappers")
     kinds = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    read = with_wrappers(own, found, most).select("page_id", "url", "html", "tree", "menus", "constants").mapInPandas(texts, kinds)
+    read = joined.select("page_id", "url", "html", *(["host"] if shipped else columns)).mapInPandas(texts, kinds)
     return read.withColumn("n_chars", F.length("text").cast("long"))

@@ -18,6 +18,48 @@ def test_blocks_and_repairs():
     assert ht.main_text(page("<aside>side</aside><div class=cookie-notice>c</div><div id=content><p>Real</p></div>")) == "Real"
 
 
+def test_a_page_in_one_form():
+    body = "<form id=aspnetForm><div class=menu><a href=/>m</a></div><input><label>L</label>{}<button>Go</button></form>"
+    assert ht.main_text(page(body.format("<article><p>Real text</p></article>"))) == "Real text"
+    assert ht.main_text(page(body.format("<div><p>Real text of the page</p><p>More of it</p></div>"))) == "Real text of the page\n\nMore of it"
+    small = "<form action=/s><p>Find something</p><div class=x>here</div></form>"
+    assert ht.main_text(page(f"<div id=content><p>Real text that is longer than the form</p>{small}</div>")) == "Real text that is longer than the form"
+    assert ht.main_text(page(f"<article><p>Real</p>{small}</article>")) != ""
+    assert len(ht.Page(page(f"<div id=content><p>Real text that is longer than the form</p>{small}</div>")).nodes) == len(ht.Page(page("<div id=content><p>x</p></div>")).nodes)
+
+
+def test_comments_adverts_and_notices_in_compound_classes():
+    for left_out in (
+        "<div class='user-comments'><p>me too</p></div>", "<ol class=commentlist><li>me too</li></ol>", "<div id=google_ads_1>buy</div>", "<ins class=adsbygoogle>buy</ins>",
+        "<p class=notice>We use cookies.</p>", "<div class=articleComments>no</div>", "<div class='js-cookie-bar-v2'>c</div>", "<section id='post-comments'><p>no</p></section>",
+    ):
+        assert ht.main_text(page(f"<div id=content><p>Real</p>{left_out}<p>Text</p></div>")) == "Real\n\nText", left_out
+    for kept in ("no-comments", "has-ads", "comments-closed", "ads-disabled", "commentary", "adequate", "loads", "with-notice", "roadside"):
+        assert ht.main_text(page(f"<div class='{kept}'><p>Real</p></div>")) == "Real", kept
+    assert ht.main_text(page("<article class='post comments-open has-comments'><p>Real</p></article>")) == "Real"
+
+
+def nested(rng, n, names):
+    """Mark-up of n elements at random depths, with classes that no other page has."""
+    out, open_ = [], 0
+    for k in range(n):
+        out.append(f"<div class='{rng.choice(names)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}'><p>t{k}</p>")
+        open_ += 1
+        while open_ and rng.random() < 0.55:
+            out.append("</div>")
+            open_ -= 1
+    return "".join(out)
+
+
+def test_a_wide_unlike_page_is_matched_in_bounded_time():
+    rng = random.Random(9)
+    first, second = (ht.Page(nested(rng, 4000, [a, a + "x"])) for a in ("q", "z"))
+    wrapper = ht.Wrapper("\n".join(f"{i}\t{p}\t{s}" for i, (p, s) in first.nodes.items()))
+    began = time.perf_counter()
+    slots = wrapper.align(second)
+    assert time.perf_counter() - began < 2 and set(slots) >= set(second.nodes)
+
+
 def tree(shape, at=0, nodes=None):
     """Tree of nested (kind, children)."""
     nodes = {} if nodes is None else nodes
@@ -182,7 +224,8 @@ def test_against_plain_counts_in_any_order(spark):
         assert {r.page_id: r.text for r in ht.extract(pages).collect()} == want
     assert {r.page_id: r.text for r in ht.extract(pages, 0).collect()} == want  # dealt by host
     found = ht.wrappers(pages.withColumn("host", ht.host_of(pages.url)))
-    salted = ht.with_wrappers(pages.withColumn("host", ht.host_of(pages.url)), found, 0, 10)
+    salted, shipped = ht.with_wrappers(pages.withColumn("host", ht.host_of(pages.url)), found, ["tree"], 0, 10)
+    assert shipped is None
     assert salted.count() == len(rows) and salted.where("tree is null and host <> 'h2.example.com'").count() == 0
 
 
