@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -140,26 +139,58 @@ def truth_rows(f) -> Column:
     return f.count_if(f.col("kind") != "undue")
 
 
-TOKEN = re.compile(r"[A-Za-zÀ-ÿœŒæÆ0-9'’-]+")  # fixed value: a word of the comparison
+TOKEN = r"[A-Za-zÀ-ÿœŒæÆ0-9'’-]+"  # fixed value: a word of the comparison
+_TOKEN = re.compile(TOKEN)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
+def _token_places(texts: pd.Series) -> pd.Series:
+    return pd.Series([[(m.start(), m.group()) for m in _TOKEN.finditer(t)] if t else [] for t in texts], dtype=object)
+
+
+def _numbered(pairs: DataFrame, text: str) -> DataFrame:
+    return pairs.select("id", F.posexplode(_token_places(text)).alias("pos", "t")).select("id", "pos", "t.offset", "t.word", F.lower("t.word").alias("low"))
+
+
+def _anchors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """id, i, j: places of words that either text has once, without those that any other anchor crosses."""
+    once = lambda t, at: t.groupBy("id", "low").agg(F.count("*").alias("n"), F.min("pos").alias(at)).where("n = 1").drop("n")
+    w = Window.partitionBy("id").orderBy("i")
+    before, after = F.max("j").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("j").over(w.rowsBetween(1, Window.unboundedFollowing))
+    met = once(left, "i").join(once(right, "j"), ["id", "low"]).withColumn("ok", (F.col("j") > F.coalesce(before, F.lit(-1))) & (F.col("j") < F.coalesce(after, F.col("j") + 1)))
+    return met.where("ok").select("id", "i", "j")
+
+
+def _gaps(tokens_: DataFrame, anchors: DataFrame, at: str, name: str) -> DataFrame:
+    """id, gap and the tokens from an anchor up to the next, in order."""
+    marked = tokens_.join(anchors.select("id", F.col(at).alias("pos"), F.lit(1).alias("anchor")), ["id", "pos"], "left")
+    counted = marked.withColumn("gap", F.count("anchor").over(Window.partitionBy("id").orderBy("pos")))
+    return counted.groupBy("id", "gap").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "low", "offset"))).alias(name))
+
+
+def _alike(n: Column, same) -> Column:
+    """How many of the first n places agree before one doesn't."""
+    agree = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), same)).otherwise(F.array().cast("array<boolean>"))
+    first = F.array_position(agree, False).cast("int")
+    return F.when(first > 0, first - 1).otherwise(n)
 
 
 def alignment_truth(pairs: DataFrame) -> DataFrame:
-    """id, offset, word, expected: what turns `raw` into `clean`, one pair of texts (id, raw, clean) at a time."""
-
-    def align(batches):
-        for b in batches:
-            rows = []
-            for i, raw, clean in zip(b["id"], b["raw"], b["clean"]):
-                before = [(m.group(), m.start()) for m in TOKEN.finditer(raw or "")]
-                after = TOKEN.findall(clean or "")
-                codes = SequenceMatcher(None, [w.lower() for w, _ in before], [w.lower() for w in after], autojunk=False).get_opcodes()
-                for tag, a1, a2, b1, b2 in codes:
-                    same = tag == "equal" or (tag == "replace" and a2 - a1 == b2 - b1)
-                    whole = " ".join(after[b1:b2])
-                    for k, (word, at) in enumerate(before[a1:a2]):
-                        expected = after[b1 + k] if same else whole
-                        if word != expected:
-                            rows.append((i, at, word, expected))
-            yield pd.DataFrame(rows, columns=["id", "offset", "word", "expected"])
-
-    return pairs.mapInPandas(align, "id long, offset long, word string, expected string")
+    """id, offset, word, expected: what turns `raw` into `clean`, for pairs of texts (id, raw, clean).
+
+    Words that stand once in either text, in the same order, are anchors. Between anchors, tokens that agree from either end
+    are matched (but for case); of what is left as many tokens are matched one by one, else all are to be what clean has there.
+    """
+    left, right = _numbered(pairs, "raw"), _numbered(pairs, "clean")
+    anchors = _anchors(left, right)
+    both = _gaps(left, anchors, "i", "r").join(_gaps(right, anchors, "j", "c"), ["id", "gap"], "left")
+    both = both.withColumn("c", F.coalesce("c", F.slice("r", 1, 0)))
+    at = lambda a, k: F.col(a)[k]["low"]
+    sized = both.withColumn("n", F.size("r")).withColumn("m", F.size("c")).withColumn("pre", _alike(F.least("n", "m"), lambda k: at("r", k) == at("c", k)))
+    ends = sized.withColumn("suf", _alike(F.least("n", "m") - F.col("pre"), lambda k: at("r", F.col("n") - 1 - k) == at("c", F.col("m") - 1 - k)))
+    whole = F.array_join(F.transform(F.slice("c", F.col("pre") + 1, F.greatest(F.col("m") - F.col("pre") - F.col("suf"), F.lit(0))), lambda x: x["word"]), " ")
+    each = ends.withColumn("whole", whole).select("id", "n", "m", "pre", "suf", "c", "whole", F.posexplode("r").alias("k", "t"))
+    one_by_one = (F.col("k") < F.col("pre")) | (F.col("n") == F.col("m"))
+    place = F.when(one_by_one, F.col("k")).when(F.col("k") >= F.col("n") - F.col("suf"), F.col("m") - F.col("n") + F.col("k"))
+    expected = F.when(place.isNotNull(), F.get("c", place)["word"]).otherwise(F.col("whole"))
+    return each.select("id", F.col("t.offset").alias("offset"), F.col("t.word").alias("word"), expected.alias("expected")).where("word <> expected")

@@ -332,7 +332,30 @@ def bench_outcome(spark, sf):
     return review.outcome(s, t, li.where("l_tax > 0.04").select(*key))
 
 
-@query()
+SQL_PAIR_TOKENS = r"""(SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, CAST(coalesce(o, 0) AS BIGINT) AS "offset", word, lower(word) AS low FROM (
+  SELECT *, sum(length(word)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (
+    SELECT id, unnest(range(len(l))) AS i, unnest(l) AS word FROM (
+      SELECT id, string_split(regexp_replace({0}, '([A-Za-zÀ-ÿœŒæÆ0-9''’-]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM pairs)))
+  WHERE regexp_full_match(word, '[A-Za-zÀ-ÿœŒæÆ0-9''’-]+'))"""
+
+
+@query(
+    f"""WITH heads AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS head FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT h.doc_id AS id, h.text AS raw, f.text AS clean FROM heads h JOIN (SELECT head, min(doc_id) AS first FROM heads GROUP BY head) g USING (head) JOIN heads f ON f.doc_id = g.first WHERE h.doc_id <> g.first),
+l AS {SQL_PAIR_TOKENS.format("raw")}, r AS {SQL_PAIR_TOKENS.format("clean")},
+l1 AS (SELECT id, low, min(pos) AS i FROM l GROUP BY id, low HAVING count(*) = 1), r1 AS (SELECT id, low, min(pos) AS j FROM r GROUP BY id, low HAVING count(*) = 1),
+met AS (SELECT id, i, j, max(j) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(j) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM l1 JOIN r1 USING (id, low)),
+anchors AS (SELECT id, i, j FROM met WHERE j > coalesce(b, -1) AND j < coalesce(a, j + 1)),
+lg AS (SELECT l.*, count(i) OVER (PARTITION BY l.id ORDER BY pos) AS gap FROM l LEFT JOIN anchors ON l.id = anchors.id AND pos = i),
+rg AS (SELECT r.*, count(j) OVER (PARTITION BY r.id ORDER BY pos) AS gap FROM r LEFT JOIN anchors ON r.id = anchors.id AND pos = j),
+la AS (SELECT id, gap, list(low ORDER BY pos) AS x, list(word ORDER BY pos) AS w, list("offset" ORDER BY pos) AS o FROM lg GROUP BY id, gap),
+ra AS (SELECT id, gap, list(low ORDER BY pos) AS y, list(word ORDER BY pos) AS v FROM rg GROUP BY id, gap),
+s AS (SELECT la.*, coalesce(y, []) AS y, coalesce(v, []) AS v, len(x) AS n, coalesce(len(y), 0) AS m FROM la LEFT JOIN ra ON la.id = ra.id AND la.gap = ra.gap),
+p AS (SELECT *, coalesce(list_position(list_transform(range(1, least(n, m) + 1), lambda k: x[k] = y[k]), false) - 1, least(n, m)) AS pre FROM s),
+q AS (SELECT *, coalesce(list_position(list_transform(range(0, least(n, m) - pre), lambda k: x[n - k] = y[m - k]), false) - 1, least(n, m) - pre) AS suf FROM p),
+e AS (SELECT id, n, m, pre, suf, v, array_to_string(v[pre + 1:m - suf], ' ') AS whole, unnest(range(n)) AS k, unnest(w) AS word, unnest(o) AS "offset" FROM q)
+SELECT id, "offset", word, expected FROM (SELECT id, "offset", word, CASE WHEN k < pre OR n = m THEN v[k + 1] WHEN k >= n - suf THEN v[m - n + k + 1] ELSE whole END AS expected FROM e) WHERE word <> expected"""
+)
 def alignment_truth(spark, sf):
     """Corrections that turn each text into the first text with the same first line."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.substring_index("text", "\n", 1).alias("head"))

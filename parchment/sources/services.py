@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StringType, StructField, StructType
 
+from ..operators.sequence import budget_slices
+
 
 class Speech(Protocol):
     def say(self, text: str) -> np.ndarray: ...
@@ -148,42 +150,44 @@ SLICE_CHARS = 24_000  # fixed value: characters of a chapter that a model is sho
 DISCOVERED = "book long, chapter long, persona string, first long, last long, opening string, closing string"
 
 
-def _slices(paragraphs: list[str]) -> Iterator[range]:
-    start, size = 0, 0
-    for i, p in enumerate(paragraphs):
-        if size and size + len(p) > SLICE_CHARS:
-            yield range(start, i)
-            start, size = i, 0
-        size += len(p)
-    if start < len(paragraphs):
-        yield range(start, len(paragraphs))
+def shown_slices(chapters: DataFrame) -> DataFrame:
+    """book, chapter, slice, first, shown: the runs of a chapter's paragraphs that a model is shown at once, each a row, and the number of its first."""
+    sizes = F.transform("paragraphs", F.length)
+    each = chapters.select("book", "chapter", F.posexplode(F.arrays_zip("paragraphs", budget_slices(sizes, SLICE_CHARS).alias("cut"))).alias("at", "p"))
+    rows = each.groupBy("book", "chapter", F.col("p.cut").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("at", F.col("p.paragraphs").alias("text")))).alias("r"))
+    return rows.select("book", "chapter", "slice", F.col("r")[0]["at"].cast("long").alias("first"), F.transform("r", lambda x: x["text"]).alias("shown"))
 
 
 def discovered(chapters: DataFrame, make: Callable[[], Model]) -> DataFrame:
     """book, chapter, persona, first, last, opening, closing: blocks that a model gives to readers.
 
-    chapters has book, chapter and paragraphs. Names known from one chapter go into the questions about the next, and keep
-    the spelling they had first; so a book's chapters are read in order, by one task, and only books run beside each other.
+    chapters has book, chapter and paragraphs. Names known from one slice go into the questions about the next, and keep
+    the spelling they had first; so a book's slices are read in order, by one task, and only books run beside each other.
     Blocks of the narrator, without a name, or outside of what was shown are left out; a reply that can't be read gives none.
     """
 
     def read(b: pd.DataFrame) -> pd.DataFrame:
         model, known, rows = make(), {}, []
-        for book, chapter, paragraphs in b.sort_values("chapter").itertuples(index=False):
-            paragraphs = list(paragraphs)
-            for shown in _slices(paragraphs):
-                head = f"Known: {', '.join(known.values())}.\n\n" if known else ""
-                try:
-                    blocks = json.loads(model.ask(head + "\n".join(f"[{i}] {paragraphs[i]}" for i in shown)))["blocks"]
-                except (ValueError, KeyError, TypeError):
-                    continue
-                for x in blocks:
-                    name, a, z = str(x.get("name") or "").strip(), x.get("from"), x.get("to")
-                    if name and name.casefold() != "narrateur" and a in shown and z in shown and a <= z:
-                        rows.append((book, chapter, known.setdefault(name.casefold(), name), a, z, paragraphs[a], paragraphs[z]))
+        for s in b.sort_values(["chapter", "slice"]).itertuples(index=False):
+            numbered = {int(s.first) + i: p for i, p in enumerate(s.shown)}
+            asked_ = [f"Known: {', '.join(known.values())}.", ""] if known else []
+            reply = model.ask("\n".join(asked_ + [f"[{i}] {p}" for i, p in numbered.items()]))
+            for name, a, z in _blocks(reply):
+                if a in numbered and z in numbered and a <= z:
+                    rows.append((s.book, s.chapter, known.setdefault(name.casefold(), name), a, z, numbered[a], numbered[z]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in DISCOVERED.split(", ")])
 
-    return chapters.select("book", "chapter", "paragraphs").groupBy("book").applyInPandas(read, DISCOVERED)
+    return shown_slices(chapters).groupBy("book").applyInPandas(read, DISCOVERED)
+
+
+def _blocks(reply: str) -> list[tuple]:
+    """(name, from, to) of a reply's blocks that have a reader of their own."""
+    try:
+        blocks = json.loads(reply)["blocks"]
+        named = [(str(x.get("name") or "").strip(), x.get("from"), x.get("to")) for x in blocks]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return []
+    return [b for b in named if b[0] and b[0].casefold() != "narrateur"]
 
 
 def reply_json(c: Column) -> Column:
