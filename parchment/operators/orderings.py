@@ -43,3 +43,8 @@ def neutral_first(voices: DataFrame, keys: list[str], name: str = "name") -> Dat
 def shipped_last(voices: DataFrame, keys: list[str], shipped: list[str], name: str = "name") -> DataFrame:
     """Own voices before those that an engine brings along, each by name, case aside."""
     return _placed(voices, keys, F.col(name).isin(*shipped), F.lower(name), name)
+
+
+def newest(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """The `most` newest rows of a group, and their place from 1; the limit is applied before rows move."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("place") <= most)
