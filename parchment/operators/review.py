@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import checkpointed
 
 # Limits of the guards.
 MAX_DISTANCE, MAX_WORDS, RECURRENCE_LIMIT, CONTEXT = 3, 2, 4, 45
@@ -78,9 +79,19 @@ def suspects(toks: DataFrame, judged: DataFrame) -> DataFrame:
     return _at_places(toks, judged.select(F.col("word").alias("w"), "reason"))
 
 
+#: Words that may be broadcast, of WORD_CHARS characters in the mean.
+BROADCAST_WORDS, WORD_CHARS = 300_000, 16
+
+
 def _at_places(toks: DataFrame, found: DataFrame) -> DataFrame:
-    """toks whose word is `w` of found. Sizes of exploded texts are guessed far too low, so a merge is asked for: places are never broadcast."""
-    return toks.join(found.hint("merge"), F.col("word") == F.col("w")).drop("w")
+    """toks whose word is `w` of found. The words are judged and counted first: while they are few they are broadcast and no place moves.
+
+    Beyond that places are exchanged; sizes of exploded texts are guessed far too low, so a merge is asked for.
+    """
+    known = checkpointed(found)
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars")).first()
+    few = size.n <= BROADCAST_WORDS and (size.chars or 0) <= BROADCAST_WORDS * WORD_CHARS
+    return toks.join(F.broadcast(known) if few else known.hint("merge"), F.col("word") == F.col("w")).drop("w")
 
 
 def recurrence_gate(toks: DataFrame, judged: DataFrame, limit: int = RECURRENCE_LIMIT) -> DataFrame:

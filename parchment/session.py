@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,3 +18,16 @@ DEFAULTS = {
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.config(map=DEFAULTS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder that driver and executors share (spark.checkpoint.dir); a local master may have one of its own."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="parchment-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
