@@ -9,6 +9,8 @@ from ..operators import calibration as C
 from ..operators import library as L
 from ..operators import orderings as O
 from ..operators import versions as V
+from ..session import scratch_dir
+from ..sources.changed import write_changed
 from .registry import query, table
 
 
@@ -90,3 +92,18 @@ def quad_left_middles(spark, sf):
     box = F.array(*[F.struct(at(2 * i).alias("x"), at(2 * i + 1).alias("y")) for i in range(4)])
     left = table(spark, sf, "embeddings").select("vec_id", M.quad_left(box).alias("l"))
     return left.select("vec_id", F.round("l.x", 6).alias("x"), F.round("l.y", 6).alias("y"))
+
+
+@query("""
+WITH l AS (SELECT p_brand || '/' || (p_size % 5) || '.txt' AS name, p_partkey, p_partkey || ' ' || p_name AS line FROM part)
+SELECT name, sha256(string_agg(line, chr(10) ORDER BY p_partkey)) AS sha, count(*) AS lines FROM l GROUP BY name""")
+def written_files(spark, sf):
+    """Parts as a file for each brand and size, written, written again with half of the files changed and back, and read as a folder."""
+    p = table(spark, sf, "part").select(F.concat("p_brand", F.lit("/"), (F.col("p_size") % 5).cast("string"), F.lit(".txt")).alias("name"), "p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("line"))
+    files = p.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    path = scratch_dir(spark, "files")
+    for content in (F.col("content"), F.when(F.crc32("name") % 2 == 0, "changed").otherwise(F.col("content")), F.col("content")):
+        write_changed(files.withColumn("content", content), path)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return read.select(F.regexp_replace(name, "%23", "#").alias("name"), F.sha2("content", 256).alias("sha"), F.size(F.split(F.decode("content", "UTF-8"), "\n")).cast("long").alias("lines"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="parchment-")
         context.setCheckpointDir(path)
     return df.checkpoint()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the folder that driver and executors share; without that setting a local master has one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{path.rstrip('/') if path else tempfile.mkdtemp(prefix='parchment-')}/{label}-{uuid.uuid4().hex}"
