@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import Row, StructType
 
 MANIFEST = "_manifest.json"
+OPEN = "_open"  # stands in a staging folder while its run goes on
 NAME = re.compile(r"(?!.*(?:^|/)\.\.?(?:/|$))[^/\x00]+(?:/[^/\x00]+)*")  # no empty part, no way out of the folder
 
 
@@ -52,10 +53,18 @@ def _write(files: fs.FileSystem, path: str, content: bytes) -> None:
 class ChangedFilesWriter(DataSourceWriter):
     def __init__(self, url: str, overwrite: bool):
         self.url, self.overwrite, self.run = url.rstrip("/"), overwrite, uuid.uuid4().hex
+        files, root = _open(self.url)
+        _write(files, f"{self._staging(root)}/{OPEN}", b"")
 
     def _staging(self, root: str) -> str:
         return f"{root}/_staging-{self.run}"
 
+    def _still_open(self, files: fs.FileSystem, root: str) -> None:
+        """A task that goes on after its run was given up takes away what it has staged since."""
+        if files.get_file_info(f"{self._staging(root)}/{OPEN}").type != fs.FileType.File:
+            self.abort([])
+            raise RuntimeError("the run was given up")
+
     def write(self, iterator: Iterator[Row]) -> Written:
         files, root = _open(self.url)
         hashes, staged = {}, []
@@ -69,6 +78,7 @@ class ChangedFilesWriter(DataSourceWriter):
             if before is None or hashlib.sha256(before).hexdigest() != h:
                 _write(files, f"{self._staging(root)}/{row.name}", content)
                 staged.append(row.name)
+                self._still_open(files, root)
         return Written(hashes, staged)
 
     def commit(self, messages: list[Written | None]) -> None:
