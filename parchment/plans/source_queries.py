@@ -57,7 +57,7 @@ def clean_pages(spark, sf):
 def synthesised_lengths(spark, sf):
     """Documents through the stand-in for speech, at fifty samples a second, and what they come to in seconds."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return services.synthesised(d, lambda: services.Tone(sample_rate=50)).select("doc_id", (F.size("audio") / 50).alias("seconds"))
+    return services.synthesised(d, lambda: services.Tone(sample_rate=50)).select("doc_id", F.when(F.col("text").isNotNull(), F.size("audio") / 50).alias("seconds"))
 
 
 @query("SELECT doc_id, '[\"' || source || '\"]' AS reply FROM documents")

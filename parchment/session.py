@@ -21,6 +21,16 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+#: What one Arrow batch, which is what a Python worker holds at once, takes at most; the same bounds as of the operators for corpora.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes: ten thousand long texts or archives would be gigabytes in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the folder that driver and executors share (spark.checkpoint.dir); a local master may have one of its own."""
     context = df.sparkSession.sparkContext

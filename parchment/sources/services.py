@@ -100,13 +100,26 @@ def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
 
+SAID_BYTES = 4 << 20  # of audio that a worker holds at once
+
+
 def synthesised(segments: DataFrame, make: Callable[[], Speech]) -> DataFrame:
-    """segments with `audio`; an engine is made once for each task. Filter before: nothing is pushed below it."""
+    """segments with `audio`; an engine is made once for each task. Filter before: nothing is pushed below it.
+
+    Audio is many times its text, so what is said goes on in pieces of SAID_BYTES or one text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = make()
         for b in batches:
-            yield b.assign(audio=[engine.say(t or "") for t in b["text"]])
+            said: list[np.ndarray] = []
+            size = first = 0
+            for k, t in enumerate(b["text"], 1):
+                said.append(engine.say(t or ""))
+                size += said[-1].nbytes
+                if size >= SAID_BYTES or k == len(b):
+                    yield b.iloc[first:k].assign(audio=said)
+                    said, size, first = [], 0, k
 
     return segments.mapInPandas(run, _with(segments, "audio", ArrayType(FloatType())))
 
