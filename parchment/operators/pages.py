@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.misc import lettering
 
 
@@ -17,7 +18,7 @@ def classify(lines: DataFrame, keys: list[str], body: Column, height: Column, ra
     Repeated heads are counted by aggregation over normalised text and joined back.
     """
     edge = (F.col("y") > 0.86 * height) | (F.col("y") < 0.14 * height)
-    norm = F.trim(F.regexp_replace(F.upper("text"), "[^A-ZÀ-Ý]+", " "))
+    norm = T.head_letters(F.col("text"))
     marked = lines.withColumn("__edge", edge).withColumn("__norm", norm)
     heads = marked.where(F.col("__edge") & (F.col("__norm") != "")).groupBy(*keys, "__norm").agg(F.count("*").alias("__times"))
     seen = marked.join(heads, [*keys, "__norm"], "left")
@@ -25,7 +26,7 @@ def classify(lines: DataFrame, keys: list[str], body: Column, height: Column, ra
     folio = t.rlike(r"^\s*\d{1,4}\s*$")
     repeated = F.coalesce(F.col("__edge") & (F.col("__times") >= 3), F.lit(False))
     label = rare & (F.length(t) <= 60) & (h < 1.25 * body)
-    caps = (F.upper(t) == t) & (F.lower(t) != t)
+    caps = T.no_small(t) & (F.lower(t) != t)
     running = folio | ((F.length(F.trim(t)) <= 2) & (h < 1.8 * body)) | ~t.rlike(r"[\p{L}\p{N}]") | lettering(t) | repeated | label | (F.col("__edge") & ((h < 0.85 * body) | caps))
     drop_cap = (h >= 1.8 * body) & F.trim(t).rlike(r"^\p{L}['’]?$")
     return seen.withColumn("running", running).withColumn("heading", ~running & (h >= 1.25 * body) & ~drop_cap).drop("__edge", "__norm", "__times")

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from parchment.functions import misc as M
 from parchment.plans import registry
 from parchment.sources import services
 
@@ -34,3 +35,10 @@ def test_batches_are_bounded_by_bytes(spark):
     long = spark.range(0, 12, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
     sizes = long.mapInPandas(lambda bs: (pd.DataFrame({"n": [len(b)]}) for b in bs), "n long").collect()
     assert sum(r.n for r in sizes) == 12 and max(r.n for r in sizes) <= 5
+
+
+def test_lines_of_odd_letters(spark):
+    """Capitals with accents are vowels, ß has no two capitals, wide blanks are blanks, a vertical tab is none."""
+    rows = [("CAPÍTULO x", True), ("CHAPITREé du soir ou non", True), ("ÉTÉS Île", False), ("Ît Ôt Ât", False), ("Ît Ôt xx", False), ("Ît xx vv", True), ("straß", False), ("STRAﬁ", True), ("　abc xyz 　", False), ("abc\x0bxyz", True), ("abc ", True)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", M.garbage(F.col("t"), F.lit(9), F.lit(5), F.lit(24)))
+    assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []
