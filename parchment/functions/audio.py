@@ -90,6 +90,12 @@ def joined(parts: Column, rate: int = SAMPLE_RATE, lead_ms: int = 600) -> Column
     return F.concat(quiet(F.lit(lead_ms)), F.flatten(F.transform(parts, lambda p: F.concat(p["audio"], quiet(p["pause_ms"])))))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded half away from zero; what rounds to zero keeps its sign, which round() loses."""
+    r = F.round(x, places)
+    return F.when((r == 0) & (x <= 0), x * 0.0).otherwise(r)
+
+
 def spliced(audio: Column, start: Column, stop: Column, new: Column) -> Column:
     """audio with samples start .. stop - 1 replaced."""
     return F.concat(F.slice(audio, F.lit(1), start), new, F.slice(audio, stop + 1, F.greatest(F.lit(0), F.size(audio) - stop)))

@@ -210,7 +210,7 @@ def joined_takes(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
     part = lambda a, n, ms: F.struct(F.slice("e", a, n).alias("audio"), F.lit(ms).alias("pause_ms"))
     j = e.withColumn("j", F.transform(A.joined(F.array(part(1, 5, 25), part(6, 4, 0)), 100, 30), lambda x: x.cast("double")))
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    rounded = lambda c: F.transform(c, lambda x: A.rounded(x, 6))
     new = F.array(F.lit(9.0), F.lit(8.0))
     return j.select(
         "vec_id", rounded("j").alias("joined"), rounded(A.spliced(F.col("j"), F.lit(4), F.lit(7), new)).alias("spliced"), A.quantised(F.transform("j", lambda x: x * 9)).alias("quantised")

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from parchment.functions import audio as A
 from parchment.functions import misc as M
 from parchment.plans import registry
 from parchment.sources import services
@@ -42,3 +43,8 @@ def test_lines_of_odd_letters(spark):
     rows = [("CAPÍTULO x", True), ("CHAPITREé du soir ou non", True), ("ÉTÉS Île", False), ("Ît Ôt Ât", False), ("Ît Ôt xx", False), ("Ît xx vv", True), ("straß", False), ("STRAﬁ", True), ("　abc xyz 　", False), ("abc\x0bxyz", True), ("abc ", True)]
     df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", M.garbage(F.col("t"), F.lit(9), F.lit(5), F.lit(24)))
     assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []
+
+
+def test_small_negative_samples_keep_their_sign(spark):
+    df = spark.createDataFrame([(-1e-7,), (1e-7,), (-0.0,), (0.0,), (-0.0078125,), (None,)], "x double").select(A.rounded(F.col("x"), 6).alias("r"))
+    assert [repr(r.r) for r in df.collect()] == ["-0.0", "0.0", "-0.0", "0.0", "-0.007813", "None"]
