@@ -130,7 +130,8 @@ def relocated(text: Column, word: Column, offset: Column) -> Column:
 
     found = F.aggregate(pieces, start, step, lambda a: a["best"])
     first = F.nullif(F.instr(text, word) - 1, F.lit(-1))
-    return F.when(F.substring(text, offset + 1, F.length(word)) == word, offset).otherwise(F.coalesce(found, first))
+    here = (offset >= 0) & (F.substring(text, offset + 1, F.length(word)) == word)  # a place before the text would count from its end
+    return F.when(here, offset).otherwise(F.coalesce(found, first))
 
 
 def assigned(paragraphs: Column, first: Column, last: Column, name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import audio as A
 from parchment.functions import misc as M
-from parchment.operators import sheets
+from parchment.operators import library, sheets
 from parchment.plans import QUERIES, registry
 from parchment.sources import services
 
@@ -63,3 +63,9 @@ def test_short_and_wide_lines_of_pages(spark, tmp_path):
     spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = QUERIES["page_geometry"](spark, str(tmp_path)).orderBy("place").collect()
     assert [(r.text, r.font) for r in got] == [("a &lt; b &lt;", "fonts/a.ttf"), ("to", "fonts/a.ttf"), ("wide", "fonts/a.ttf")]
+
+
+def test_places_before_a_text(spark):
+    """A place before the text isn't one from its end."""
+    r = spark.range(1).select(library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(-2)).alias("a"), library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(11)).alias("b")).first()
+    assert (r.a, r.b) == (4, 11)
