@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import casting as C
 from ..operators import layout as L
 from .registry import query, table
@@ -49,7 +50,7 @@ def rare_groups(spark, sf):
 WITH h AS (SELECT source, trim(regexp_replace(upper(string_split(text, chr(10))[1]), '[^A-ZÀ-Ý]+', ' ', 'g')) AS head FROM documents)
 SELECT source, head, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 2""")
 def repeated_heads(spark, sf):
-    head = F.trim(F.regexp_replace(F.upper(F.substring_index("text", "\n", 1)), "[^A-ZÀ-Ý]+", " "))
+    head = T.head_letters(F.substring_index("text", "\n", 1))
     return table(spark, sf, "documents").groupBy("source", head.alias("head")).agg(F.count("*").alias("n")).where("n >= 2")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from parchment.functions import audio as A
 from parchment.functions import misc as M
-from parchment.operators import library, sheets
+from parchment.functions import text as T
+from parchment.operators import library, pages, sheets
 from parchment.plans import QUERIES, registry
 from parchment.sources import services
 
@@ -69,3 +70,12 @@ def test_places_before_a_text(spark):
     """A place before the text isn't one from its end."""
     r = spark.range(1).select(library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(-2)).alias("a"), library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(11)).alias("b")).first()
     assert (r.a, r.b) == (4, 11)
+
+
+def test_heads_are_read_letter_by_letter(spark):
+    """ß stays one sign that no head has; dotless and long letters have capitals."""
+    heads = {"Straße": "STRA E", "straße ſı": "STRA E SI", "ÿ é÷ß": "É", "ﬁn": "N", "×": "×"}
+    df = spark.createDataFrame([(h,) for h in heads], "h string")
+    assert {r.h: r.got for r in df.withColumn("got", T.head_letters(F.col("h"))).collect()} == heads
+    lines = spark.createDataFrame([("b", "STRAßE IST", 5.0, 12.0), ("b", "STRAﬁ IST", 5.0, 12.0)], "k string, text string, y double, h double")
+    assert [r.running for r in pages.classify(lines, ["k"], F.lit(10.0), F.lit(100.0), F.lit(False)).orderBy("text").collect()] == [False, True]
