@@ -51,3 +51,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not path and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{path.rstrip('/') if path else tempfile.mkdtemp(prefix='parchment-')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df, computed once and read back from a table in the folder that driver and executors share; later steps read the columns they need."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 """Odd letters, blanks, places and sizes: what the queries' SQL says of them."""
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from parchment.functions import audio as A
 from parchment.functions import misc as M
 from parchment.functions import text as T
-from parchment.operators import library, pages, sheets
+from parchment.operators import library, pages, proofreading, sheets
 from parchment.plans import QUERIES, registry
 from parchment.sources import services
 
@@ -79,3 +81,22 @@ def test_heads_are_read_letter_by_letter(spark):
     assert {r.h: r.got for r in df.withColumn("got", T.head_letters(F.col("h"))).collect()} == heads
     lines = spark.createDataFrame([("b", "STRAßE IST", 5.0, 12.0), ("b", "STRAﬁ IST", 5.0, 12.0)], "k string, text string, y double, h double")
     assert [r.running for r in pages.classify(lines, ["k"], F.lit(10.0), F.lit(100.0), F.lit(False)).orderBy("text").collect()] == [False, True]
+
+
+def test_a_model_is_asked_once(spark, tmp_path):
+    """What proofreading steps share is computed once: every word in doubt goes to the model a single time."""
+    said = str(tmp_path / "said")
+
+    class Listener:
+        def ask(self, prompt):
+            words = [e["word"] for e in json.loads(prompt)]
+            with open(said, "a") as f:
+                f.write("".join(w + "\n" for w in words))
+            return json.dumps([{"id": i, "correction": w} for i, w in enumerate(words)])
+
+    texts = spark.createDataFrame([(1, "alpha zzqq beta"), (2, "alpha wwkk beta")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("alpha",), ("beta",)], "form string")
+    got = proofreading.proofread(texts, lexicon, Listener).select("doc_id", "word", "offset", "proposal").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, "zzqq", 6, "zzqq"), (2, "wwkk", 6, "wwkk")]
+    with open(said) as f:
+        assert sorted(f.read().split()) == ["wwkk", "zzqq"]
