@@ -70,7 +70,7 @@ def test_short_and_wide_lines_of_pages(spark, tmp_path):
 
 def test_places_before_a_text(spark):
     """A place before the text isn't one from its end."""
-    r = spark.range(1).select(library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(-2)).alias("a"), library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(11)).alias("b")).first()
+    r = spark.range(1).select(library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(-3)).alias("a"), library.relocated(F.lit("abc to xyz to"), F.lit("to"), F.lit(11)).alias("b")).first()
     assert (r.a, r.b) == (4, 11)
 
 
