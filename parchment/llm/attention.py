@@ -4,19 +4,25 @@ Subwords come from a public tokenizer. The network reads the kinds of subwords b
 place (the KINDS most frequent ids; the others are one kind) and says the class of the
 next: frequent ids are classes of their own, the others share classes of ids that stand
 near the same frequent ids. A token's probability is that of its class in its context
-times its share of the class after the subword before it. Shares, and what the network's
-table of the last subword starts from, are counted over the whole corpus; the network
-itself learns from a bounded sample. A place attends to LEFT + STRIDE before it at most;
-windows overlap by LEFT, so each token is scored once and has LEFT of context at least.
-
-Words are counted over all training texts. Words that make up a share of 1 / HOT of
-all words or more, HOT of them at most, are broadcast with their subwords; the rest of
-a text's words meet their counts in a join.
+times its share of the class after the subword before it. A place attends to LEFT + STRIDE
+before it at most; windows overlap by LEFT, so each token is scored once and has LEFT of
+context at least.
+
+Everything is learned from all training texts. Texts are coded once; what stands near what,
+which kind follows which, and shares are counted over all of them, and so is the network's
+table of the last subword. What attention adds is learned in ROUNDS rounds, each of twice the
+texts of the one before, so that each text is learned from once: in a round every task takes
+steps over its own texts from the same network, and the next round starts from their mean,
+weighted by windows.
+
+Words are counted over all training texts. The HOT most frequent, at most, are broadcast with
+their subwords; the rest of a text's words meet their counts in a join.
 """
 
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +46,9 @@ PRIOR = 2.0  # counts that smoothing adds
 LEFT, STRIDE = 8, 24
 KEY, VALUE = 8, 16
 BATCH = 128  # windows at once
-SAMPLE, SNIPPET = 4096, 1024  # texts that the network may learn from, and characters of each
-STEPS, FIT_BATCH, RATE = 500, 128, 0.02
-TABLE_RATE = 0.1  # of the rate: the table starts from counts
+FIT_BATCH, RATE = 128, 0.02
+ROUNDS = 6
+GRAIN = 1 << 16  # parts of one that networks are summed in: whole numbers give the same sum in any order
 HOT = 200_000
 LONG = 64  # bytes of a word beyond which its hash stands for it in joins
 STEADY = 60.0  # exponents of float32 below which no maximum need be taken off
@@ -62,6 +68,7 @@ class Network:
         self.q, self.k, self.v, self.u = draw(kinds, KEY), draw(kinds, KEY), draw(kinds, VALUE), draw(VALUE, classes) * 0.1
         self.far = np.zeros(LEFT + STRIDE, np.float32)
         self.t = start.astype(np.float32)
+        self.highest = float(np.abs(self.t).max())  # the table isn't learned
 
     def parameters(self) -> list[np.ndarray]:
         return [self.q, self.k, self.v, self.u, self.far, self.t]
@@ -77,81 +84,94 @@ class Network:
         logits = np.abs(self.t).max() + np.abs(self.v @ self.u).max()
         return bool(max(scores, logits) < STEADY)
 
+    def calm(self) -> bool:
+        """The same by a bound that costs little: lengths of vectors."""
+        longest = lambda m: float(np.sqrt((m * m).sum(axis=1).max()))
+        scores = longest(self.q) * longest(self.k) + float(np.abs(self.far).max())
+        return scores < STEADY and self.highest + longest(self.v) * longest(self.u.T) < STEADY
+
     def forward(self, x: np.ndarray, steady: bool = False):
-        """Attention, its totals, values, outputs and logits (n, STRIDE, classes) for windows x (n, LEFT + STRIDE) of kinds."""
+        """Queries, keys, values, attention, its totals, outputs and logits (n * STRIDE, classes) for windows x (n, LEFT + STRIDE) of kinds."""
         own = x[:, LEFT:]
-        a = self.q[own] @ self.k[x].swapaxes(1, 2)
+        queries, keys, values = self.q.take(own, axis=0), self.k.take(x, axis=0), self.v.take(x, axis=0)
+        a = queries @ keys.swapaxes(1, 2)
         a += self.bias()
         if not steady:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        values = self.v[x]
         o = a @ values
-        total = a.sum(axis=2, keepdims=True)
+        total = (a @ np.ones(LEFT + STRIDE, a.dtype))[:, :, None]  # sums of short rows are quicker as products
         o /= total
-        logits = self.t[own.ravel()]
+        logits = self.t.take(own.ravel(), axis=0)
         logits += o.reshape(-1, VALUE) @ self.u
-        return a, total, values, o, logits.reshape(*own.shape, -1)
+        return queries, keys, values, a, total, o, logits
 
     def losses(self, x: np.ndarray, y: np.ndarray, steady: bool = False) -> np.ndarray:
         """Natural log probabilities (n, STRIDE) of classes y."""
-        logits = self.forward(x, steady)[-1].reshape(y.size, -1)
+        logits = self.forward(x, steady)[-1]
         if not steady:
             logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(y.size), y.ravel()]
+        picked = logits.ravel().take(np.arange(y.size) * logits.shape[1] + y.ravel())
         np.exp(logits, out=logits)
-        return (picked - np.log(logits.sum(axis=1))).reshape(y.shape)
+        return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))).reshape(y.shape)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative log probability of y over positions of weight 1, in the order of parameters()."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, table: bool = True, steady: bool = False) -> list[np.ndarray]:
+        """Of the mean negative log probability of y over positions of weight 1, in the order of parameters(); the table's only if asked for."""
         kinds = len(self.q)
         own = x[:, LEFT:]
-        a, total, values, o, logits = self.forward(x)
-        a = a / total
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
-        d = logits.reshape(y.size, -1)
-        d[np.arange(y.size), y.ravel()] -= 1
-        d *= (weight / max(1, weight.sum())).reshape(-1, 1).astype(d.dtype)
+        queries, keys, values, a, total, o, d = self.forward(x, steady)
+        a /= total
+        if not steady:
+            d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        w = (weight / max(1, weight.sum())).ravel().astype(d.dtype)
+        d *= (w / (d @ np.ones(d.shape[1], d.dtype)))[:, None]
+        d[np.arange(y.size), y.ravel()] -= w
         d_o = (d @ self.u.T).reshape(o.shape)
-        d_a = d_o @ values.swapaxes(1, 2)
-        d_s = a * (d_a - (a * d_a).sum(axis=2, keepdims=True))
+        d_s = d_o @ values.swapaxes(1, 2)
+        d_s -= ((d_o * o) @ np.ones(VALUE, d.dtype))[:, :, None]
+        d_s *= a
         gap = np.maximum(np.arange(STRIDE)[:, None] + LEFT - np.arange(LEFT + STRIDE), 0)
         seen = np.arange(STRIDE)[:, None] + LEFT >= np.arange(LEFT + STRIDE)
-        return [
-            by_row(own, d_s @ self.k[x], kinds),
-            by_row(x, d_s.swapaxes(1, 2) @ self.q[own], kinds),
-            by_row(x, a.swapaxes(1, 2) @ d_o, kinds),
-            o.reshape(-1, VALUE).T @ d,
-            np.bincount(gap[seen], d_s.sum(axis=0)[seen], minlength=LEFT + STRIDE).astype(d.dtype),
-            by_row(own, d, kinds),
-        ]
-
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, seed: int = 8) -> None:
-        """Steps of Adam with a falling rate, over windows drawn at random."""
-        rng = np.random.default_rng(seed)
-        first, second = ([np.zeros_like(p) for p in self.parameters()] for _ in range(2))
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(x), FIT_BATCH)
-            grads = self.gradients(x[pick], y[pick], weight[pick])
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            rate = RATE * (1 - 0.95 * step / steps)
-            for p, g, m, s in zip(self.parameters(), grads, first, second):
-                own = rate * (TABLE_RATE if p is self.t else 1)
-                g = g * min(1.0, 1.0 / max(size, 1e-12))
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                p -= (own * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        of_x = np.empty((*x.shape, 2 * KEY + VALUE), d.dtype)  # one sort serves all three tables
+        of_x[:, :LEFT, :KEY] = 0
+        of_x[:, LEFT:, :KEY] = d_s @ keys
+        of_x[:, :, KEY : 2 * KEY] = d_s.swapaxes(1, 2) @ queries
+        of_x[:, :, 2 * KEY :] = a.swapaxes(1, 2) @ d_o
+        q, k, v = np.split(by_row(x, of_x, kinds), [KEY, 2 * KEY], axis=1)
+        found = [q, k, v, o.reshape(-1, VALUE).T @ d, np.bincount(gap[seen], d_s.sum(axis=0)[seen], minlength=LEFT + STRIDE).astype(d.dtype)]
+        return found + [by_row(own, d, kinds)] if table else found
+
+    def learner(self, rate: float):
+        """A function that takes one step of Adam over windows; the table, which is counted, stays."""
+        learned = self.parameters()[:-1]
+        first, second = ([np.zeros_like(p) for p in learned] for _ in range(2))
+        taken, calm = 0, False
+
+        def step(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+            nonlocal taken, calm
+            taken += 1
+            calm = self.calm() if taken % 8 == 1 else calm  # a step moves little, and STEADY leaves room
+            grads = self.gradients(x, y, weight, False, calm)
+            keep = min(1.0, 1.0 / max(np.sqrt(sum(float((g * g).sum()) for g in grads)), 1e-12))
+            for p, g, m, s in zip(learned, grads, first, second):
+                g = g * np.float32(keep)
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                p -= (rate * (m / (1 - 0.9**taken)) / (np.sqrt(s / (1 - 0.99**taken)) + 1e-6)).astype(np.float32)
+
+        return step
 
 
 def by_row(rows: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     """Sums of d's vectors by row number: the gradient of a table that was read by those rows."""
     flat, d = rows.ravel(), d.reshape(rows.size, -1)
+    flat = flat.astype(np.uint16) if n <= 1 << 16 else flat  # short numbers are sorted by digits
     order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    flat = flat[order].astype(np.int64)
+    starts = np.flatnonzero(np.diff(flat, prepend=-1))
     out = np.zeros((n, d.shape[1]), d.dtype)
-    out[flat[order][starts]] = np.add.reduceat(d[order], starts, axis=0)
+    out[flat[starts]] = np.add.reduceat(d.take(order, axis=0), starts, axis=0)
     return out
 
 
@@ -220,10 +240,10 @@ def _sparse(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "c"])
 
 
-def _summed(counts: DataFrame, run, size: int) -> np.ndarray:
+def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
     """What tasks count in arrays of one size, summed: a row a filled cell."""
     total = np.zeros(size, np.int64)
-    found = counts.select("word", "c").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    found = rows.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     total[found["at"].to_numpy()] = found["c"].to_numpy()
     return total
 
@@ -238,7 +258,7 @@ def subword_counts(counts: DataFrame, subwords) -> np.ndarray:
             np.add.at(total, ids, np.repeat(c, lengths))
         yield _sparse(total)
 
-    return _summed(counts, run, size)
+    return _summed(counts.select("word", "c"), run, size)
 
 
 def pair_counts(counts: DataFrame, subwords, kind: np.ndarray, kinds: int) -> np.ndarray:
@@ -253,7 +273,7 @@ def pair_counts(counts: DataFrame, subwords, kind: np.ndarray, kinds: int) -> np
             np.add.at(total, (k, np.where(last, kinds, np.roll(k, -1))), c)
         yield _sparse(total)
 
-    return _summed(counts, run, kinds * (kinds + 1)).reshape(kinds, kinds + 1)
+    return _summed(counts.select("word", "c"), run, kinds * (kinds + 1)).reshape(kinds, kinds + 1)
 
 
 def clusters(points: np.ndarray, mass: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -274,27 +294,26 @@ def clusters(points: np.ndarray, mass: np.ndarray, k: int, rounds: int = 12) ->
     return own
 
 
+def ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids by falling count, the kind of each id, and how many kinds there are; what is not frequent is one kind, the last."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    kinds = min(KINDS, len(order)) + 1
+    kind = np.full(len(counts), kinds - 1)
+    kind[order[: kinds - 1]] = np.arange(kinds - 1)
+    return order, kind, kinds
+
+
 class Classes:
     """Kinds and classes of ids, and the log share of an id in its class after a kind. The end of a text is the last kind and the last class."""
 
-    def __init__(self, counts: np.ndarray, ends: int, opens: np.ndarray, texts: list[np.ndarray]):
-        """counts: of ids, over the corpus; texts: ids of the sample's texts."""
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        self.kinds = min(KINDS, len(order)) + 1
-        self.kind = np.full(len(counts), self.kinds - 1)  # what is not frequent is one kind
-        self.kind[order[: self.kinds - 1]] = np.arange(self.kinds - 1)
+    def __init__(self, counts: np.ndarray, ends: int, opens: np.ndarray, near: np.ndarray):
+        """counts: of ids, over the corpus; near: how often a kind stands near a frequent one, (kinds, OWN)."""
+        order, self.kind, self.kinds = ranked(counts)
         self.n = OWN + OPENING + INNER + 1
         self.end_kind, self.end = self.kinds, self.n - 1
         self.opens = opens
         self.of = np.where(opens, OWN + OPENING - 1, self.n - 2)
         self.of[order[:OWN]] = np.arange(min(OWN, len(order)))
-        near = np.zeros((self.kinds, OWN))
-        for ids in texts:
-            k = self.kind[ids]
-            for gap in range(1, NEAR + 1):
-                for a, b in ((k[gap:], k[:-gap]), (k[:-gap], k[gap:])):
-                    known = b < OWN
-                    np.add.at(near, (a[known], b[known]), 1)
         mass = counts + 0.1
         rest = order[OWN : self.kinds - 1]
         for flag, first, many in ((True, OWN, OPENING), (False, OWN + OPENING, INNER)):
@@ -305,72 +324,91 @@ class Classes:
         self.share = np.where(self.of < OWN, 0.0, np.log(mass / total[self.of]))
         self.sums = np.bincount(self.of, counts, minlength=self.n).astype(float)
         self.sums[self.end] = ends
-        self.inner = np.zeros((self.kinds, self.n))
 
-    def follow(self, pairs: np.ndarray) -> np.ndarray:
-        """Take in how kinds follow each other; log probabilities of classes after each kind."""
+    def follow(self, pairs: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Take in how kinds follow each other inside words (pairs) and in texts (after, as neighbours() has it); log probabilities of classes after each kind."""
         frequent = np.zeros(self.kinds - 1, np.int64)
         ids = np.flatnonzero(self.kind < self.kinds - 1)
         frequent[self.kind[ids]] = ids
         of = np.append(self.of[frequent], self.n - 2)  # the one kind of all others inside a word has the last class of those
-        by_class = np.zeros((self.kinds, self.n))
-        np.add.at(by_class.T, of, pairs[:, : self.kinds].T)
-        told = by_class.copy()
+        told = np.zeros((self.kinds, self.n))
+        np.add.at(told.T, of, pairs[:, : self.kinds].T)
         told[:, self.n - 2] -= pairs[:, self.kinds - 1]
         self.pairs, self.told = pairs[:, : self.kinds - 1].astype(np.float32), told  # shares after a kind: what is not frequent has its prior alone
-        opening = np.zeros(self.n, bool)
-        opening[self.of[self.opens]] = True
-        opening[self.end] = True
-        open_ = np.where(opening, self.sums + 0.1, 0)
-        open_ /= open_.sum()
-        prior = (self.sums + 0.1) / (self.sums + 0.1).sum()
-        by_class += pairs[:, self.kinds, None] * open_ + PRIOR * prior
-        start = open_ * (1 - 1e-6) + prior * 1e-6  # after the end, which stands before a text too
-        return np.log(np.vstack([by_class / by_class.sum(axis=1, keepdims=True), start]))
+        by_class = np.zeros((self.kinds + 1, self.n))
+        np.add.at(by_class.T, np.concatenate([of, [self.end, OWN + OPENING - 1]]), after.T)
+        by_class += PRIOR * (self.sums + 0.1) / (self.sums + 0.1).sum()
+        return np.log(by_class / by_class.sum(axis=1, keepdims=True))
 
     def shares(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log shares of the ids of words in their classes: those that open a word by all counts, others after the one before."""
+        heads = self.opens[ids]
+        heads[np.cumsum(lengths) - lengths] = True
+        return self.shares_by_heads(ids, heads)
+
+    def shares_by_heads(self, ids: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The same, where it is told which ids open a word or stand first in one."""
         share, of, kind = self.share[ids], self.of[ids], self.kind[ids]
-        inside = np.ones(len(ids), bool)
-        inside[(np.cumsum(lengths) - lengths)] = False
-        at = np.flatnonzero(inside & ~self.opens[ids] & (of >= OWN))
+        at = np.flatnonzero(~heads & (of >= OWN))
         before = kind[at - 1]
         n = np.where(kind[at] < self.kinds - 1, self.pairs[before, np.minimum(kind[at], self.kinds - 2)], 0)
         share[at] = np.log((n + PRIOR * np.exp(share[at])) / (self.told[before, of[at]] + PRIOR))
         return share
 
 
-class Model:
-    """What tasks need: subwords, classes, the network, and the frequent words with their subwords and logs of counts."""
+class Coder:
+    """Subwords, and the frequent words with theirs and with logs of counts."""
 
-    def __init__(self, subwords: Subwords, classes: Classes, network: Network, hot: list[tuple[bytes, int]]):
-        self.subwords, self.classes, self.network = subwords, classes, network
-        self.steady = network.steady()
+    def __init__(self, subwords: Subwords, hot: list[tuple[bytes, int]]):
+        self.subwords = subwords
         self.place = {w: i for i, (w, _) in enumerate(hot)}
-        ids, lengths = subwords.encode([w for w, _ in hot])
-        self.flat, self.shares, self.lengths = ids, classes.shares(ids, lengths), lengths
+        self.flat, self.lengths = subwords.encode([w for w, _ in hot])
         self.log = np.log10(np.array([c for _, c in hot], float) + 0.1)
+        self.type = np.dtype("<u2" if len(subwords.opens) <= 1 << 16 else "<u4")  # of stored ids
 
     def tokens(self, docs: list[list[bytes]]):
-        """Of many texts' words: ids and shares of all tokens, tokens of each text without its end, and places of words (-1: not frequent)."""
+        """Of many texts' words: ids of all tokens, ids of each word, tokens of each text without its end, and places of words (-1: not frequent)."""
         n = np.array([len(d) for d in docs], np.int64)
         get = self.place.get
         at = np.fromiter((get(w, -1) for d in docs for w in d), np.int64, n.sum())
         rare = np.flatnonzero(at < 0)
-        lengths, flat, shares, places = self.lengths, self.flat, self.shares, at
+        lengths, flat, places = self.lengths, self.flat, at
         if len(rare):
             words = [w for d in docs for w in d]
             ids, own = self.subwords.encode([words[i] for i in rare.tolist()])
             places = at.copy()
             places[rare] = len(lengths) + np.arange(len(rare))
-            lengths = np.concatenate([lengths, own])
-            flat, shares = np.concatenate([flat, ids]), np.concatenate([shares, self.classes.shares(ids, own)])
+            lengths, flat = np.concatenate([lengths, own]), np.concatenate([flat, ids])
         starts = np.cumsum(lengths) - lengths
         each = lengths[places]
         ends = np.cumsum(each)
         take = np.repeat(starts[places] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
         by_doc = np.concatenate([[0], ends])[np.cumsum(n)] if len(n) else np.zeros(0, np.int64)
-        return flat[take], shares[take], np.diff(by_doc, prepend=0), at
+        return flat[take], each, np.diff(by_doc, prepend=0), at
+
+    def read(self, part: pa.RecordBatch):
+        """Ids of all tokens of coded texts, which of them don't follow inside a word, and tokens of each text."""
+        ids = [np.frombuffer(b, self.type) for b in part.column("ids").to_pylist()]
+        n = np.array([len(i) for i in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, self.type), *ids]).astype(np.int64)
+        heads = self.subwords.opens[flat]  # what opens a word; where words begin otherwise is told beside
+        for i, odd in zip((np.cumsum(n) - n).tolist(), part.column("odd").to_pylist()):
+            if odd:
+                heads[i + np.array(odd)] = True
+        return flat, heads, n
+
+
+class Model:
+    """What scoring needs: how texts are coded, classes, the network."""
+
+    def __init__(self, coder: Coder, classes: Classes, network: Network):
+        self.coder, self.subwords, self.classes, self.network = coder, coder.subwords, classes, network
+        self.steady = network.steady()
+
+    def tokens(self, docs: list[list[bytes]]):
+        """Of many texts' words: ids and shares of all tokens, tokens of each text without its end, and places of words (-1: not frequent)."""
+        flat, lengths, n, at = self.coder.tokens(docs)
+        return flat, self.classes.shares(flat, lengths), n, at
 
     def windows(self, flat: np.ndarray, n: np.ndarray):
         """Windows x of kinds, classes y, weights and windows of each text, from ids; a text's end is added."""
@@ -389,17 +427,17 @@ class Model:
         x[base // STRIDE, : LEFT + 1] = self.classes.end_kind
         return x, y.reshape(-1, STRIDE), weight.reshape(-1, STRIDE), per
 
-    def log10(self, docs: list[list[bytes]]):
-        """log10 probabilities of texts, and the places of their words."""
-        flat, shares, n, at = self.tokens(docs)
+    def log10(self, flat: np.ndarray, heads: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts of n tokens each, from all ids and where words begin."""
         x, y, weight, per = self.windows(flat, n)
         logs = np.zeros(len(x))
         for a in range(0, len(x), BATCH):
             own = self.network.losses(x[a : a + BATCH], y[a : a + BATCH], self.steady)
             logs[a : a + BATCH] = np.where(weight[a : a + BATCH], own, 0).sum(axis=1, dtype=np.float64)
-        owner = np.repeat(np.arange(len(docs)), n)
-        total = np.bincount(np.repeat(np.arange(len(docs)), per), logs, minlength=len(docs)) + np.bincount(owner, shares, minlength=len(docs))
-        return total / np.log(10), at
+        docs = np.arange(len(n))
+        total = np.bincount(np.repeat(docs, per), logs, minlength=len(n))
+        total += np.bincount(np.repeat(docs, n), self.classes.shares_by_heads(flat, heads), minlength=len(n))
+        return total / np.log(10)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -414,42 +452,157 @@ def learned(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
 
-def snippets(docs: DataFrame, sample: int) -> list[str]:
-    """A piece of one text of each of `sample` strata of ids."""
-    start = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SNIPPET + 1)) + 1).cast("int")
-    rows = (
-        docs.where("text is not null")
-        .select(F.xxhash64("doc_id").alias("h"), F.substring("text", start, F.lit(SNIPPET)).alias("s"))
-        .groupBy(F.pmod("h", F.lit(sample)).alias("stratum")).agg(F.min(F.struct("h", "s")).alias("m"))
-        .select("stratum", "m.s")
-    )
-    return [r.s for r in sorted(rows.collect())]
+def frequent(counts: DataFrame, hot: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, hot of them at most: all whose count is in a band of an eighth of a doubling that still fits."""
+    band = F.floor(F.log2("c") * 8)
+    short_words = counts.where(F.octet_length("word") <= LONG)
+    room, least = hot, None
+    for b, n in sorted(((r.b, r.n) for r in short_words.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, b
+    return [] if least is None else sorted((r.word.encode(), r.c) for r in short_words.where(band >= least).select("word", "c").collect())
 
 
-def fit(docs: DataFrame, counts: DataFrame, ends: int, tokenizer: str = TOKENIZER, sample: int = SAMPLE, steps: int = STEPS, hot: int = HOT) -> tuple[Model, int, int]:
-    """The model, N and V; counts: word, c of the training texts, ends: how many those are."""
-    spark = docs.sparkSession
-    subwords = Subwords.load(tokenizer)
-    shipped = spark.sparkContext.broadcast(subwords)
-    totals = counts.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
-    n, v = (totals.c or 0) + ends, totals.v + (ends > 0)
-    frequent = counts.where(F.col("c") * hot >= n).where(F.octet_length("word") <= LONG).select("word", "c").collect()  # hot of them at most
-    texts = [words_of(s)[1:-1] for s in snippets(learned(docs), sample)]  # words may be cut at either end
-    classes = Classes(subword_counts(counts, shipped), ends, subwords.opens, [subwords.encode(t)[0] for t in texts if t])
-    network = Network(classes.follow(pair_counts(counts, shipped, classes.kind, classes.kinds)))
+CODED = "held_out boolean, round int, n_tokens long, hot long, hot_log double, rare array<struct<key: string, k: int>>, ids binary, odd array<int>"
+
+
+def coded(docs: DataFrame, shipped) -> DataFrame:
+    """doc_id, held_out, round (null: not learned from), n_tokens, hot, hot_log, rare, ids, odd: each text as ids of its subwords and what its base score needs."""
+    seen = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit((1 << ROUNDS) - 1)) + 1  # half of these numbers have ROUNDS digits, a fourth one digit less
+    columns = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(seen, F.floor(F.log2(drawn)).cast("int")).alias("round"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                docs = [words_of(t) for t in part.column("text").to_pylist()]
+                flat, lengths, n, places = own.tokens(docs)
+                first = np.zeros(len(flat), bool)
+                first[np.cumsum(lengths) - lengths] = True
+                first &= ~own.subwords.opens[flat]
+                ends = np.cumsum(n)
+                rows, known, sums, ids, odd, start = [], [], [], [], [], 0
+                for d, a, e in zip(docs, (ends - n).tolist(), ends.tolist()):
+                    here = places[start : start + len(d)]
+                    start += len(d)
+                    rare = Counter(short(d[i]) for i in np.flatnonzero(here < 0).tolist())
+                    hot = here[here >= 0]
+                    known.append(len(hot))
+                    sums.append(float(own.log[hot].sum()))
+                    rows.append([{"key": w.decode("utf-8", "replace"), "k": k} for w, k in rare.items()])
+                    ids.append(flat[a:e].astype(own.type).tobytes())
+                    odd.append(np.flatnonzero(first[a:e]).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), part.column("held_out"), part.column("round"), pa.array([len(d) + 1 for d in docs], pa.int64()),
+                        pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rows, pa.list_(pa.struct([("key", pa.string()), ("k", pa.int32())]))),
+                        pa.array(ids, pa.binary()), pa.array(odd, pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "held_out", "round", "n_tokens", "hot", "hot_log", "rare", "ids", "odd"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return columns.mapInArrow(run, f"doc_id {kind}, {CODED}").withColumn("row", F.monotonically_increasing_id())
+
+
+def neighbours(texts: DataFrame, shipped, kind: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often a kind stands NEAR an id of a class of its own, (kinds, OWN), and after a kind, the start (the last row) or before the end, (kinds + 1, kinds + 2).
+
+    The last two columns: how often the end follows, and how often what isn't frequent and opens a word.
+    """
+    width = kinds + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        near, after = np.zeros(kinds * OWN, np.int64), np.zeros((kinds + 1) * width, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                flat, _, n = own.read(b.slice(at, 512))
+                gaps = np.repeat(np.arange(len(n)) * NEAR, n)  # NEAR ends stand between texts
+                k = np.full(len(flat) + (len(n) + 1) * NEAR, kinds)
+                place = np.arange(len(flat)) + gaps + NEAR
+                k[place] = kind[flat]
+                to = k.copy()
+                to[place[(k[place] == kinds - 1) & own.subwords.opens[flat]]] = kinds + 1
+                before = np.concatenate([place, np.cumsum(n) + np.arange(len(n)) * NEAR + NEAR])  # of each token and of each text's end: the place itself
+                after += np.bincount(k[before - 1] * width + to[before], minlength=len(after))
+                for gap in range(1, NEAR + 1):
+                    for a, c in ((k[gap:], k[:-gap]), (k[:-gap], k[gap:])):
+                        known = (c < OWN) & (a < kinds)
+                        near += np.bincount(a[known] * OWN + c[known], minlength=len(near))
+        yield _sparse(np.concatenate([near, after]))
+
+    total = _summed(texts.select("ids", "odd"), run, kinds * OWN + (kinds + 1) * width)
+    return total[: kinds * OWN].reshape(kinds, OWN), total[kinds * OWN :].reshape(kinds + 1, width)
+
+
+def learned_round(texts: DataFrame, model: Model, rate: float, steps: int | None) -> None:
+    """Every task takes steps over all windows of its texts; the network becomes the mean of theirs, weighted by windows."""
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
+    start = model.network.parameters()[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        network = copy.deepcopy(own.network)  # a worker's next task starts from what was shipped, too
+        rng, step, seen, taken = np.random.default_rng(8), network.learner(rate), 0, 0
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                flat, _, n = own.coder.read(b.slice(at, 1024))
+                x, y, weight, _ = own.windows(flat, n)
+                order = rng.permutation(len(x))
+                for i in range(0, len(x), FIT_BATCH):
+                    if steps is None or taken < steps:
+                        pick = order[i : i + FIT_BATCH]
+                        step(x[pick], y[pick], weight[pick])
+                        seen, taken = seen + len(pick), taken + 1
+        moved = np.concatenate([p.ravel() for p in network.parameters()[:-1]]).astype(np.float64)
+        yield _sparse(np.append(np.rint(moved * GRAIN).astype(np.int64) * seen, seen))
+
+    size = sum(p.size for p in start)
+    total = _summed(texts.select("ids", "odd"), run, size + 1)
     shipped.unpersist()
-    found = sorted((r.word.encode(), r.c) for r in frequent)
-    model = Model(subwords, classes, network, found)
-    flat, _, lengths, _ = model.tokens(texts)
-    if len(flat):
-        x, y, weight, per = model.windows(flat, lengths)
-        weight[np.cumsum(per) - 1, lengths % STRIDE] = False  # a piece has no end of a text
-        network.train(x, y, weight, steps)
-        model.steady = network.steady()
-    return model, n, v
-
-
-def scores(docs: DataFrame, tokenizer: str = TOKENIZER, **options) -> DataFrame:
+    if total[-1]:
+        mean = (total[:-1] / total[-1] / GRAIN).astype(np.float32)
+        for p, new in zip(start, np.split(mean, np.cumsum([p.size for p in start])[:-1])):
+            p[...] = new.reshape(p.shape)
+        model.steady = model.network.steady()
+
+
+def learn(table: DataFrame, counts: DataFrame, ends: int, coder: Coder, shipped, sample: int | None = None, steps: int | None = None) -> Model:
+    """The model of coded texts. Trials may bound what the network learns from: one text of each of `sample` strata of ids, `steps` of a task in a round."""
+    subwords = table.sparkSession.sparkContext.broadcast(coder.subwords)
+    texts = table.where("round is not null")
+    found = subword_counts(counts, subwords)
+    _, kind, kinds = ranked(found)
+    near, after = neighbours(texts, shipped, kind, kinds)
+    classes = Classes(found, ends, coder.subwords.opens, near)
+    model = Model(coder, classes, Network(classes.follow(pair_counts(counts, subwords, kind, kinds), after)))
+    subwords.unpersist()
+    if sample is not None:
+        h = F.xxhash64("doc_id")
+        texts = texts.join(texts.groupBy(F.pmod(h, F.lit(sample))).agg(F.min(h).alias("h")).select("h"), h == F.col("h"), "left_semi")
+    for r in range(ROUNDS):
+        learned_round(texts.where(F.col("round") == r), model, RATE * (1 - 0.95 * r / ROUNDS), steps)
+    return model
+
+
+def prepared(docs: DataFrame, counts: DataFrame, ends: int, tokenizer: str, hot: int) -> tuple[Coder, int, int]:
+    """How texts are coded, N and V; counts: word, c of the training texts, ends: how many those are."""
+    totals = counts.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
+    return Coder(Subwords.load(tokenizer), frequent(counts, hot)), (totals.c or 0) + ends, totals.v + (ends > 0)
+
+
+def fit(docs: DataFrame, counts: DataFrame, ends: int, tokenizer: str = TOKENIZER, hot: int = HOT, **options) -> tuple[Model, int, int]:
+    """The model, N and V of texts that aren't coded yet."""
+    coder, n, v = prepared(docs, counts, ends, tokenizer, hot)
+    shipped = docs.sparkSession.sparkContext.broadcast(coder)
+    return learn(materialize(coded(docs, shipped), "coded"), counts, ends, coder, shipped, **options), n, v
+
+
+def scores(docs: DataFrame, tokenizer: str = TOKENIZER, hot: int = HOT, **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Defined cases: a null or empty text is its end alone; a null doc_id isn't held out and never learned from; repeated rows
@@ -466,48 +619,29 @@ def scores(docs: DataFrame, tokenizer: str = TOKENIZER, **options) -> DataFrame:
     train = learned(docs)
     counts = materialize(word_counts(train), "words")
     ends = train.count()
-    model, n, v = fit(docs, counts, ends, tokenizer, **options)
-    shipped = spark.sparkContext.broadcast(model)
+    coder, n, v = prepared(docs, counts, ends, tokenizer, hot)
+    coding = spark.sparkContext.broadcast(coder)
+    table = materialize(coded(docs, coding), "coded")
+    shipped = spark.sparkContext.broadcast(learn(table, counts, ends, coder, coding, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                docs = [words_of(t) for t in part.column("text").to_pylist()]
-                logs, places = own.log10(docs)
-                rows, known, sums, start = [], [], [], 0
-                for d in docs:
-                    here = places[start : start + len(d)]
-                    start += len(d)
-                    rare = Counter(short(d[i]) for i in np.flatnonzero(here < 0).tolist())
-                    hot = here[here >= 0]
-                    known.append(len(hot))
-                    sums.append(float(own.log[hot].sum()))
-                    rows.append([{"key": w.decode("utf-8", "replace"), "k": k} for w, k in rare.items()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("held_out"), pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(known, pa.int64()),
-                        pa.array(sums, pa.float64()), pa.array(logs, pa.float64()),
-                        pa.array(rows, pa.list_(pa.struct([("key", pa.string()), ("k", pa.int32())]))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "hot", "hot_log", "score", "rare"],
-                )
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own.log10(*own.coder.read(part)))], names=["row", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, hot long, hot_log double, score double, rare array<struct<key: string, k: int>>"
-    )
-    measured = materialize(measured.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = table.select("row", "ids", "odd").mapInArrow(run, "row long, score double")
     tail = (
-        measured.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.k")
+        table.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.k")
         .join(counts.select(short_column(F.col("word")).alias("key"), "c"), "key", "left")
         .groupBy("row").agg(
             F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known")
         )
     )
+    measured = table.select("row", "doc_id", "held_out", "n_tokens", "hot", "hot_log").join(materialize(scored, "scored"), "row")
     whole = float(np.log10(n + 0.1 * (v + 1)))
-    return measured.drop("rare").join(tail, "row", "left").select(
+    return measured.join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot") + F.coalesce("rare_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("hot_log") + F.coalesce("rare_log", F.lit(0.0)) + float(np.log10(ends + 0.1)) - F.col("n_tokens") * whole).alias("base_score"), "score",

@@ -151,3 +151,41 @@ def test_subwords_of_odd_words():
     assert ids.tolist() == [i for a, _ in alone for i in a.tolist()] and lengths.tolist() == [int(n.sum()) for _, n in alone]
     assert own.encode([])[0].tolist() == []
     assert attention.short(b"abc") == b"abc" and len(attention.short(b"a" * 65)) == 65
+
+
+def test_every_part_of_a_text_is_learned_from(spark):
+    """Words change places at the start, in the middle or at the end of a long text, which changes no count of words: each change is learned."""
+    i = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10)
+    out = next(i for i in range(100, 200) if not zlib.crc32(str(i).encode()) % 10)
+    words = [f"{a} {b}" for a, b in zip("the of and to in that is was".split() * 100, "for it with as his on be at by".split() * 100)]
+
+    def score(at):
+        own = list(words)
+        if at is not None:
+            own[at : at + 60] = sorted(own[at : at + 60])
+        return {r.doc_id: r.score for r in attention.scores(make(spark, [(i, " ".join(own), "x", "s"), (out, " ".join(words[:50]), "x", "s")])).collect()}[out]
+
+    base = score(None)
+    assert all(score(at) != base for at in (0, len(words) // 2, len(words) - 60))
+
+
+def test_neighbours_are_counted_over_all_texts(spark, corpus):
+    """Against a plain count of pairs of kinds in all training texts."""
+    docs = make(spark, corpus)
+    counts = attention.word_counts(attention.learned(docs))
+    coder = attention.prepared(docs, counts, 0, attention.TOKENIZER, 5)[0]
+    shipped = spark.sparkContext.broadcast(coder)
+    kind, kinds = attention.ranked(attention.subword_counts(counts, spark.sparkContext.broadcast(coder.subwords)))[1:]
+    near, after = attention.neighbours(attention.coded(docs, shipped).where("round is not null"), shipped, kind, kinds)
+    want_near, want_after = np.zeros_like(near), np.zeros_like(after)
+    for j, t, *_ in corpus:
+        if zlib.crc32(str(j).encode()) % 10:
+            k = kind[ids := coder.subwords.encode(attention.words_of(t))[0]].tolist()
+            for a in range(len(k)):
+                for b in range(max(0, a - attention.NEAR), min(len(k), a + attention.NEAR + 1)):
+                    if a != b and k[b] < attention.OWN:
+                        want_near[k[a], k[b]] += 1
+            to = [kinds + 1 if c == kinds - 1 and coder.subwords.opens[w] else c for c, w in zip(k, ids)]
+            for a, b in zip([kinds, *k], [*to, kinds]):
+                want_after[a, b] += 1
+    assert (near == want_near).all() and (after == want_after).all()
