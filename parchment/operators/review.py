@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -20,9 +20,24 @@ FORBIDDEN = r"""[.,;:!?…()\[\]{}«»“”"/\\<>=+*_#@&%$€0-9]"""
 _WORD = re.compile(T.WORD)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
-def word_places(texts: pd.Series) -> pd.Series:
-    return pd.Series([[(m.start(), m.group()) for m in _WORD.finditer(t)] if t else [] for t in texts], dtype=object)
+def placed(texts: pa.Array, pattern: re.Pattern, step: int = 64) -> pa.Array:
+    """offset, word of all matches in each text; a few texts at a time become Arrow arrays, so no batch of them stands as Python objects."""
+    parts = []
+    for at in range(0, max(1, len(texts)), step):
+        ends, starts, found = [0], [], []
+        for t in texts.slice(at, step).to_pylist():
+            for m in pattern.finditer(t or ""):
+                starts.append(m.start())
+                found.append(m.group())
+            ends.append(len(starts))
+        each = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(found, pa.string())], names=["offset", "word"])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
+def word_places(texts: pa.Array) -> pa.Array:
+    return placed(texts, _WORD)
 
 
 def tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,9 +169,9 @@ TOKEN = r"[A-Za-zÀ-ÿœŒæÆ0-9'’-]+"  # fixed value: a word of the comparis
 _TOKEN = re.compile(TOKEN)
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
-def _token_places(texts: pd.Series) -> pd.Series:
-    return pd.Series([[(m.start(), m.group()) for m in _TOKEN.finditer(t)] if t else [] for t in texts], dtype=object)
+@F.arrow_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
+def _token_places(texts: pa.Array) -> pa.Array:
+    return placed(texts, _TOKEN)
 
 
 def _numbered(pairs: DataFrame, text: str) -> DataFrame:

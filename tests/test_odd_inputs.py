@@ -1,15 +1,18 @@
 """Odd letters, blanks, places and sizes: what the queries' SQL says of them."""
 
 import json
+import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parchment.functions import audio as A
 from parchment.functions import misc as M
 from parchment.functions import text as T
-from parchment.operators import library, pages, proofreading, sheets
+from parchment.operators import library, pages, proofreading, review, sheets
 from parchment.plans import QUERIES, registry
 from parchment.sources import services
 
@@ -100,3 +103,15 @@ def test_a_model_is_asked_once(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "zzqq", 6, "zzqq"), (2, "wwkk", 6, "wwkk")]
     with open(said) as f:
         assert sorted(f.read().split()) == ["wwkk", "zzqq"]
+
+
+def test_places_hold_few_python_objects():
+    """Places of words are Arrow arrays: a batch of texts takes a small multiple of its bytes, and nulls, blanks and odd letters keep their places."""
+    texts = pa.array(["Élan  vital", None, "", "…", *["une phrase de mots"] * 20_000])
+    tracemalloc.start()
+    got = review.placed(texts, re.compile(T.WORD))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.slice(0, 4).to_pylist() == [[{"offset": 0, "word": "Élan"}, {"offset": 6, "word": "vital"}], [], [], []]
+    assert len(got) == 20_004 and peak < 2_000_000
+    assert review.placed(pa.array([], pa.string()), re.compile(T.WORD)).to_pylist() == []
