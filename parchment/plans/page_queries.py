@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import orderings as O
@@ -142,14 +142,18 @@ def _archives(spark, sf):
 
     def pack(batches):
         for b in batches:
-            rows = []
-            for i, url, html in zip(b["page_id"], b["url"], b["html"]):
-                title = f"Page & {i}" if i % 3 else None
-                documents = [("cover.xhtml", None, "<p>cover</p>"), (f"c{i}.xhtml", title, html), ("tail.xhtml", None, "<p>short</p>")]
-                rows.append((str(i), packed(f"Book {i}", "Doe, Ann" if i % 2 else "Ann Doe", "fr-FR", f"{1900 + i % 100}-01-02", documents)))
-            yield pd.DataFrame(rows + [("broken", b"no archive")] * bool(rows), columns=["path", "content"])
-
-    return table(spark, sf, "pages").mapInPandas(pack, "path string, content binary")
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                paths, books = [], []
+                for i, html in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist()):
+                    title = f"Page & {i}" if i % 3 else None
+                    documents = [("cover.xhtml", None, "<p>cover</p>"), (f"c{i}.xhtml", title, html), ("tail.xhtml", None, "<p>short</p>")]
+                    paths.append(str(i))
+                    books.append(packed(f"Book {i}", "Doe, Ann" if i % 2 else "Ann Doe", "fr-FR", f"{1900 + i % 100}-01-02", documents))
+                broken = at + 64 >= b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(paths + ["broken"] * broken, pa.string()), pa.array(books + [b"no archive"] * broken, pa.binary())], names=["path", "content"])
+
+    return table(spark, sf, "pages").select("page_id", "html").mapInArrow(pack, "path string, content binary")
 
 
 @query("""

@@ -4,6 +4,7 @@ import wave
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parchment.functions import audio as A
@@ -50,6 +51,19 @@ def test_epub(spark, tmp_path):
     assert [(c.pos, c.title, c.paragraphs[0]) for c in chapters] == [(1, "First one", "First")]
 
 
+def test_archives_go_on_in_pieces(spark):
+    """A batch's documents aren't held at once, and chapters are read where their archive is opened, by one function."""
+    books = [epub.packed(f"B{i}", "Ann", "fr", "1900", [(f"c{i}.xhtml", "T", f"<p>{'x' * 300_000}</p>")]) for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*map(str, range(12)), "none", "bad"]), pa.array([*books, None, b"bad"])], names=["path", "content"])
+    for made, columns in ((lambda s, _: s, epub.SPINE), (lambda _, m: [m], epub.META)):
+        pieces = list(epub._each(made, columns)(iter([batch, batch.slice(12)])))
+        assert [p for b in pieces for p in b.column("path").to_pylist()] == [*map(str, range(12))] and max(b.num_rows for b in pieces) <= 4
+    archives = spark.createDataFrame([("a", bytes(books[0])), ("b", b"bad")], "path string, content binary")
+    chapters = epub.chapters(archives)
+    assert "EvalPython" not in chapters._jdf.queryExecution().executedPlan().toString()
+    assert [(c.path, c.pos, c.title, c.paragraphs) for c in chapters.collect()] == [("a", 0, "T", ["x" * 300_000])]
+
+
 def test_segments_and_timing(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"idx": 0, "text": "a", "pause_after_ms": 5}\n{"idx": 1, "text": "b", "role": "x"}\n')
     assert [r.role for r in plain.read_segments(spark, str(tmp_path / "s.jsonl")).orderBy("idx").collect()] == ["narrateur", "x"]
