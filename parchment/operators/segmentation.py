@@ -26,11 +26,12 @@ def spoken_segments(chapters: DataFrame, key: str = "book", announce: bool = Tru
     """
     run = Window.partitionBy(key, "chapter").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
     marker = T.persona_of(F.col("p"))
-    lines = chapters.select(key, "chapter", "title", F.posexplode("paragraphs").alias("para", "p")).withColumn("marker", marker)
+    lines = T.exploded(chapters.select(key, "chapter", "title", "paragraphs"), "paragraphs", "para", "p").withColumn("marker", marker)
     read = lines.withColumn("reader", F.last("marker", True).over(run)).where("marker is null")
     role = F.coalesce(F.nullif("reader", F.lit("")), T.role_of(F.col("p")))
-    cut = read.select(key, "chapter", "title", "para", role.alias("role"), T.segments(normalised(F.col("p"))).alias("s"))
-    each = cut.select("*", F.size("s").alias("n"), F.posexplode("s").alias("k", "one"))
+    said = read.withColumn("role", role).withColumn("p", T.unify(F.col("p"))).withColumn("p", numbers.spelled_numbers(F.col("p")))  # a column that several steps ask is worked out once
+    cut = said.select(key, "chapter", "title", "para", "role", T.segments(T.tidy(T.capitalise_acronyms(F.col("p")))).alias("s"))
+    each = T.exploded(cut.withColumn("n", F.size("s")), "s", "k", "one")
     text, extra = T.defuse_ellipsis(F.col("one.text"))
     base = F.when(F.col("k") == F.col("n") - 1, T.PAUSE_PARAGRAPH).when(F.col("one.ends"), T.PAUSE_SENTENCE).otherwise(T.PAUSE_SEGMENT)
     pause = lambda ms: scaled_pause(ms, F.lit(scale))

@@ -18,7 +18,7 @@ SQL_PARAGRAPHS = f"SELECT doc_id, unnest(range(len(l))) AS para, unnest(l) AS p
 
 
 def lines(spark, sf: str) -> DataFrame:
-    return texts(spark, sf).select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("para", "p"))
+    return T.exploded(texts(spark, sf).select("doc_id", T.lines_of(F.col("text")).alias("l")), "l", "para", "p")
 
 
 @query(
@@ -72,12 +72,12 @@ def doc_segments_summary(spark, sf):
 
 @query(SQL_SEGMENTS + "SELECT doc_id, para, unnest(range(len(s))) AS idx, unnest(list_transform(s, lambda x: x.t)) AS text, unnest(list_transform(s, lambda x: x.e)) AS ends FROM seg")
 def doc_segments(spark, sf):
-    return lines(spark, sf).select("doc_id", "para", F.posexplode(T.segments(F.col("p"))).alias("idx", "s")).select("doc_id", "para", "idx", "s.text", "s.ends")
+    return T.exploded(lines(spark, sf).select("doc_id", "para", T.segments(F.col("p")).alias("s")), "s", "idx", "one").select("doc_id", "para", "idx", "one.text", "one.ends")
 
 
 @query(f"WITH para AS ({SQL_PARAGRAPHS}), s AS (SELECT doc_id, para, {SQL_SENTENCES.format('p')} AS ss FROM para) SELECT doc_id, para, unnest(range(len(ss))) AS idx, unnest(ss) AS sentence FROM s")
 def sentence_split(spark, sf):
-    return lines(spark, sf).select("doc_id", "para", F.posexplode(T.sentences(F.col("p"))).alias("idx", "sentence"))
+    return T.exploded(lines(spark, sf).select("doc_id", "para", T.sentences(F.col("p")).alias("s")), "s", "idx", "sentence")
 
 
 SQL_UNIFY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({0}, '\p{{Zs}}', ' ', 'g'), '’', ''''), '[«»“”]', '', 'g'), '[()]', ', ', 'g'), '^[—–-]\s*', ''), '[—–]', ',', 'g')"""

@@ -144,3 +144,25 @@ def test_silences_of_a_chapter(spark):
     }
     stretched = spoken_segments(df, scale=1.5, announce=False).where(F.col("book") == "b").collect()
     assert [(r.text, r.pause_after_ms) for r in stretched] == [("Texte.", 1200)]
+
+
+def test_segments_are_worked_out_once(spark):
+    """A question of the optimizer's whether there are any, put before they are exploded, would cut every paragraph again."""
+    from pyspark.sql import functions as F
+
+    from parchment.operators.segmentation import spoken_segments
+    from parchment.plans.text_queries import doc_segments
+
+    books = spark.range(4).select(F.col("id").alias("book"), F.lit(1).alias("chapter"), F.lit("x").alias("title"), F.array(F.concat(F.lit("Un "), F.col("id").cast("string")), F.lit(None)).alias("paragraphs"))
+    spoken = spoken_segments(books)
+    for df in (spoken, doc_segments(spark, "/root/testdata/sf0.001")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(flatten(") == 1
+    assert sorted(r.text for r in spoken.where("idx = 1").collect()) == ["Un deux", "Un trois", "Un un", "Un zéro"]
+
+
+def test_only_texts_with_runs_are_rewritten(spark):
+    rows = [("..",), ("a.b",), ("Un.. ,deux",), (None,), ("É, ;x ",), ("AÉ ab",), ("Ab C",), ("",)]
+    df = spark.createDataFrame(rows, "a string")
+    text, extra = T.defuse_ellipsis(F.col("a"))
+    got = [tuple(r) for r in df.select(T.capitalise_acronyms(F.col("a")), text, extra).collect()]
+    assert got == [("..", "", 0), ("a.b", "a.b", 0), ("Un.. ,deux", "Un,deux", 0), (None, None, 0), ("É, ;x ", "É,x", 0), ("Aé ab", "AÉ ab", 0), ("Ab C", "Ab C", 0), ("", "", 0)]
