@@ -517,7 +517,7 @@ def neighbours(texts: DataFrame, shipped, kind: np.ndarray, kinds: int) -> tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        near, after = np.zeros(kinds * OWN, np.int64), np.zeros((kinds + 1) * width, np.int64)
+        near, after = np.zeros((kinds + 1) * OWN, np.int64), np.zeros((kinds + 1) * width, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 flat, _, n = own.read(b.slice(at, 512))
@@ -529,11 +529,11 @@ def neighbours(texts: DataFrame, shipped, kind: np.ndarray, kinds: int) -> tuple
                 to[place[(k[place] == kinds - 1) & own.subwords.opens[flat]]] = kinds + 1
                 before = np.concatenate([place, np.cumsum(n) + np.arange(len(n)) * NEAR + NEAR])  # of each token and of each text's end: the place itself
                 after += np.bincount(k[before - 1] * width + to[before], minlength=len(after))
-                for gap in range(1, NEAR + 1):
-                    for a, c in ((k[gap:], k[:-gap]), (k[:-gap], k[gap:])):
-                        known = (c < OWN) & (a < kinds)
-                        near += np.bincount(a[known] * OWN + c[known], minlength=len(near))
-        yield _sparse(np.concatenate([near, after]))
+                at_own = np.flatnonzero(k < min(OWN, kinds))
+                c = k[at_own]
+                for gap in (*range(-NEAR, 0), *range(1, NEAR + 1)):
+                    near += np.bincount(k[at_own + gap] * OWN + c, minlength=len(near))
+        yield _sparse(np.concatenate([near[: kinds * OWN], after]))  # the row of ends is left out
 
     total = _summed(texts.select("ids", "odd"), run, kinds * OWN + (kinds + 1) * width)
     return total[: kinds * OWN].reshape(kinds, OWN), total[kinds * OWN :].reshape(kinds + 1, width)

@@ -189,3 +189,25 @@ def test_neighbours_are_counted_over_all_texts(spark, corpus):
             for a, b in zip([kinds, *k], [*to, kinds]):
                 want_after[a, b] += 1
     assert (near == want_near).all() and (after == want_after).all()
+
+
+@pytest.mark.parametrize("kinds", [20, 300])
+def test_neighbours_against_a_plain_count(spark, corpus, kinds):
+    """What stands near what, ends of texts left out, whatever the kinds: the ends' own kind may be one of the first."""
+    docs = make(spark, corpus[:40] + corpus[-2:] + [(1, "", "x", "s"), (2, "the", "x", "s")])
+    coder = attention.Coder(attention.Subwords.load(), [(b"the", 5), (b"la", 3)])
+    shipped = spark.sparkContext.broadcast(coder)
+    table = attention.coded(docs, shipped).cache()
+    kind = np.arange(len(coder.subwords.opens)) * 7919 % kinds
+    near, after = attention.neighbours(table, shipped, kind, kinds)
+    want, follows = np.zeros((kinds, attention.OWN), int), np.zeros(kinds + 1, int)
+    for r in table.collect():
+        k = [int(kind[i]) for i in np.frombuffer(r.ids, coder.type)]
+        for i, a in enumerate(k):
+            for c in k[max(0, i - attention.NEAR) : i] + k[i + 1 : i + 1 + attention.NEAR]:
+                if c < attention.OWN:
+                    want[a, c] += 1
+        follows += np.bincount([kinds, *k], minlength=kinds + 1)
+    assert (near[:, : min(kinds, attention.OWN)] == want[:, : min(kinds, attention.OWN)]).all() and (after.sum(axis=1) == follows).all()
+    if kinds < attention.OWN:
+        assert not near[:, kinds:].any()
