@@ -11,6 +11,7 @@ from ..operators import shelf as S
 from ..sources import epub
 from ..sources.epub import packed
 from ..sources.paged import paged_source
+from ..sources.pages import named
 from .registry import query, table
 from .source_queries import SQL_BLOCKS
 
@@ -147,7 +148,7 @@ def _archives(spark, sf):
                 paths, books = [], []
                 for i, html in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist()):
                     title = f"Page & {i}" if i % 3 else None
-                    documents = [("cover.xhtml", None, "<p>cover</p>"), (f"c{i}.xhtml", title, html), ("tail.xhtml", None, "<p>short</p>")]
+                    documents = [("cover.xhtml", None, "<p>cover</p>"), (f"c{i}.xhtml", title, html or ""), ("tail.xhtml", None, "<p>short</p>")]
                     paths.append(str(i))
                     books.append(packed(f"Book {i}", "Doe, Ann" if i % 2 else "Ann Doe", "fr-FR", f"{1900 + i % 100}-01-02", documents))
                 broken = at + 64 >= b.num_rows
@@ -171,7 +172,7 @@ def epub_metadata(spark, sf):
 WITH l AS (SELECT page_id, list_filter(list_transform(string_split({SQL_BLOCKS}, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)
 SELECT page_id AS book, CASE WHEN page_id % 3 <> 0 THEN 'Page & ' || page_id END AS title, len(l) AS n_paragraphs FROM l WHERE list_sum(list_transform(l, lambda x: length(x))) >= 200""")
 def epub_chapters(spark, sf):
-    c = epub.chapters(_archives(spark, sf))
+    c = epub.chapters(_archives(spark, sf), named)
     return c.select(F.col("path").cast("long").alias("book"), "title", F.size("paragraphs").cast("long").alias("n_paragraphs"))
 
 

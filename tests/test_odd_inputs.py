@@ -131,7 +131,7 @@ def test_odd_pages_read_as_in_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     with duckdb.connect() as c:
         c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
-        for name in ("html_blocks",):
+        for name in ("html_blocks", "epub_chapters"):
             got = QUERIES[name](spark, str(tmp_path))
             assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, c.sql(f"select {', '.join(got.columns)} from ({ORACLE_SQL[name]})").fetchall())), name
 
