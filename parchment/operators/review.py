@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..session import checkpointed
+from ..session import BATCH_BYTES, checkpointed
 
 # Limits of the guards.
 MAX_DISTANCE, MAX_WORDS, RECURRENCE_LIMIT, CONTEXT = 3, 2, 4, 45
@@ -169,54 +171,120 @@ TOKEN = r"[A-Za-zÀ-ÿœŒæÆ0-9'’-]+"  # fixed value: a word of the comparis
 _TOKEN = re.compile(TOKEN)
 
 
-@F.arrow_udf(ArrayType(StructType([StructField("offset", LongType()), StructField("word", StringType())])))
-def _token_places(texts: pa.Array) -> pa.Array:
-    return placed(texts, _TOKEN)
-
+class Read(NamedTuple):
+    """A text's tokens: where they stand, as they stand and in small letters; the places of those that stand once, in order."""
+
+    offsets: list[int]
+    words: list[str]
+    lows: list[str]
+    once: dict[str, int]
+
+
+def _read(text: str | None) -> Read:
+    found = [(m.start(), m.group()) for m in _TOKEN.finditer(text or "")]
+    lows = [w.lower() for _, w in found]
+    places: dict[str, int] = {}
+    for at, low in enumerate(lows):
+        places[low] = -1 if low in places else at
+    return Read([o for o, _ in found], [w for _, w in found], lows, {low: at for low, at in places.items() if at >= 0})
+
+
+def _anchors(raw: Read, clean: Read) -> list[tuple[int, int]]:
+    """Places of words that either text has once, without those that any other anchor crosses."""
+    met = [(i, clean.once[low]) for low, i in raw.once.items() if low in clean.once]
+    after = [len(clean.words)]
+    for _, j in reversed(met):
+        after.append(min(after[-1], j))
+    found, before = [], -1
+    for (i, j), least in zip(met, after[-2::-1]):
+        if before < j < least:
+            found.append((i, j))
+        before = max(before, j)
+    return found
+
+
+def corrections(raw: Read, clean: Read) -> Iterator[tuple[int, str, str]]:
+    """offset, word, expected: what turns raw into clean, from anchor to anchor."""
+    anchors = _anchors(raw, clean)
+    for (i, j), (i_end, j_end) in zip([(0, 0), *anchors], [*anchors, (len(raw.words), len(clean.words))]):
+        x, y = raw.lows[i:i_end], clean.lows[j:j_end]
+        n, m, least = len(x), len(y), min(len(x), len(y))
+        pre = next((k for k in range(least) if x[k] != y[k]), least)
+        suf = next((k for k in range(least - pre) if x[n - 1 - k] != y[m - 1 - k]), least - pre)
+        whole = " ".join(clean.words[j + pre : j_end - suf]) if n != m else ""
+        for k in range(n):
+            at = k if k < pre or n == m else m - n + k if k >= n - suf else None
+            expected = whole if at is None else clean.words[j + at]
+            if raw.words[i + k] != expected:
+                yield raw.offsets[i + k], raw.words[i + k], expected
+
+
+def _told(found: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (id, offset, word, expected) in pieces: many words may be to become the same long stretch, so they aren't held at once."""
+    schema = pa.schema([("id", kind), ("offset", pa.int64()), ("word", pa.string()), ("expected", pa.string())])
+    rows: list[tuple] = []
+    size = 0
+    for row in found:
+        rows.append(row)
+        size += 64 + len(row[2]) + len(row[3])
+        if size >= BATCH_BYTES // 4:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _truth_schema(df: DataFrame) -> StructType:
+    return StructType([StructField("id", df.schema["id"].dataType), StructField("offset", LongType()), StructField("word", StringType()), StructField("expected", StringType())])
 
-def _numbered(pairs: DataFrame, text: str) -> DataFrame:
-    return pairs.select("id", F.posexplode(_token_places(text)).alias("pos", "t")).select("id", "pos", "t.offset", "t.word", F.lower("t.word").alias("low"))
 
+def alignment_truth(pairs: DataFrame) -> DataFrame:
+    """id, offset, word, expected: what turns `raw` into `clean`, for pairs of texts (id, raw, clean).
 
-def _anchors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, i, j: places of words that either text has once, without those that any other anchor crosses."""
-    once = lambda t, at: t.groupBy("id", "low").agg(F.count("*").alias("n"), F.min("pos").alias(at)).where("n = 1").drop("n")
-    w = Window.partitionBy("id").orderBy("i")
-    before, after = F.max("j").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("j").over(w.rowsBetween(1, Window.unboundedFollowing))
-    met = once(left, "i").join(once(right, "j"), ["id", "low"]).withColumn("ok", (F.col("j") > F.coalesce(before, F.lit(-1))) & (F.col("j") < F.coalesce(after, F.col("j") + 1)))
-    return met.where("ok").select("id", "i", "j")
+    Words that stand once in either text, in the same order, are anchors. Between anchors, tokens that agree from either end
+    are matched (but for case); of what is left as many tokens are matched one by one, else all are to be what clean has there.
+    A pair is aligned where it is, so no word is exchanged.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = zip(b.column("id"), b.column("raw"), b.column("clean"))
+            yield from _told(((i.as_py(), *c) for i, r, t in each for c in corrections(_read(r.as_py()), _read(t.as_py()))), b.schema.field("id").type)
 
-def _gaps(tokens_: DataFrame, anchors: DataFrame, at: str, name: str) -> DataFrame:
-    """id, gap and the tokens from an anchor up to the next, in order."""
-    marked = tokens_.join(anchors.select("id", F.col(at).alias("pos"), F.lit(1).alias("anchor")), ["id", "pos"], "left")
-    counted = marked.withColumn("gap", F.count("anchor").over(Window.partitionBy("id").orderBy("pos")))
-    return counted.groupBy("id", "gap").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "low", "offset"))).alias(name))
+    return pairs.select("id", "raw", "clean").mapInArrow(run, _truth_schema(pairs))
 
 
-def _alike(n: Column, same) -> Column:
-    """How many of the first n places agree before one doesn't."""
-    agree = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), same)).otherwise(F.array().cast("array<boolean>"))
-    first = F.array_position(agree, False).cast("int")
-    return F.when(first > 0, first - 1).otherwise(n)
+#: Texts of a head that are aligned by one task at most, about; a larger head is dealt out, its first text with each part.
+HEAD_TEXTS = 100
 
 
-def alignment_truth(pairs: DataFrame) -> DataFrame:
-    """id, offset, word, expected: what turns `raw` into `clean`, for pairs of texts (id, raw, clean).
+def alignment_to_first(texts: DataFrame) -> DataFrame:
+    """alignment_truth of texts (id, head, raw), each against the text of the smallest id that has its head.
 
-    Words that stand once in either text, in the same order, are anchors. Between anchors, tokens that agree from either end
-    are matched (but for case); of what is left as many tokens are matched one by one, else all are to be what clean has there.
+    Each text is exchanged once, to where the first of its head is. Heads may be whole texts, so digests stand for them.
     """
-    left, right = _numbered(pairs, "raw"), _numbered(pairs, "clean")
-    anchors = _anchors(left, right)
-    both = _gaps(left, anchors, "i", "r").join(_gaps(right, anchors, "j", "c"), ["id", "gap"], "left")
-    both = both.withColumn("c", F.coalesce("c", F.slice("r", 1, 0)))
-    at = lambda a, k: F.col(a)[k]["low"]
-    sized = both.withColumn("n", F.size("r")).withColumn("m", F.size("c")).withColumn("pre", _alike(F.least("n", "m"), lambda k: at("r", k) == at("c", k)))
-    ends = sized.withColumn("suf", _alike(F.least("n", "m") - F.col("pre"), lambda k: at("r", F.col("n") - 1 - k) == at("c", F.col("m") - 1 - k)))
-    whole = F.array_join(F.transform(F.slice("c", F.col("pre") + 1, F.greatest(F.col("m") - F.col("pre") - F.col("suf"), F.lit(0))), lambda x: x["word"]), " ")
-    each = ends.withColumn("whole", whole).select("id", "n", "m", "pre", "suf", "c", "whole", F.posexplode("r").alias("k", "t"))
-    one_by_one = (F.col("k") < F.col("pre")) | (F.col("n") == F.col("m"))
-    place = F.when(one_by_one, F.col("k")).when(F.col("k") >= F.col("n") - F.col("suf"), F.col("m") - F.col("n") + F.col("k"))
-    expected = F.when(place.isNotNull(), F.get("c", place)["word"]).otherwise(F.col("whole"))
-    return each.select("id", F.col("t.offset").alias("offset"), F.col("t.word").alias("word"), expected.alias("expected")).where("word <> expected")
+    t = texts.where("id is not null and head is not null and raw is not null").select("id", F.unhex(F.sha2("head", 256)).alias("head"), "raw")
+    large = t.groupBy("head").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > HEAD_TEXTS)
+    parts = F.ceil(F.col("n") / HEAD_TEXTS).cast("int")
+    part = (
+        F.when(F.col("n").isNull(), F.array(F.lit(0))).when(F.col("id") == F.col("first"), F.sequence(F.lit(0), parts - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))
+    )
+    dealt = t.join(F.broadcast(large), "head", "left").select("head", F.explode(part).alias("part"), "id", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = first = clean = read = None
+        for b in batches:
+
+            def found(b=b):
+                nonlocal at, first, clean, read
+                for head, part, i, raw in zip(*[b.column(c).to_pylist() for c in ("head", "part", "id", "raw")]):
+                    if (head, part) != at:
+                        at, first, clean, read = (head, part), i, raw, None
+                    elif i != first and raw != clean:  # of equal texts nothing is to be corrected
+                        read = read or _read(clean)
+                        yield from ((i, *c) for c in corrections(_read(raw), read))
+
+            yield from _told(found(), b.schema.field("id").type)
+
+    return dealt.repartition("head", "part").sortWithinPartitions("head", "part", "id").mapInArrow(run, _truth_schema(texts))

@@ -358,7 +358,5 @@ SELECT id, "offset", word, expected FROM (SELECT id, "offset", word, CASE WHEN k
 )
 def alignment_truth(spark, sf):
     """Corrections that turn each text into the first text with the same first line."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.substring_index("text", "\n", 1).alias("head"))
-    firsts = d.groupBy("head").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    clean = d.join(firsts, "head").where("id = first").select("head", "first", F.col("raw").alias("clean"))
-    return review.alignment_truth(d.join(clean, "head").where("id <> first").select("id", "raw", "clean"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("head"), F.col("text").alias("raw"))
+    return review.alignment_to_first(d)

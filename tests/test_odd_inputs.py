@@ -140,3 +140,18 @@ def test_blocks_take_linear_time():
     """What is never closed is looked for once; without the queries' list every reference is read."""
     assert web.blocks_of("<script>" * 100_000 + "<a" * 100_000 + "x") == ["<a" * 100_000 + "x"]
     assert web.blocks_of("<p>&eacute;&#233;&quot") == ['éé"'] and web.blocks_of("<p>&eacute;&quot", web.named) == ["&eacute;&quot"]
+
+
+def test_aligned_texts_move_once(spark, tmp_path, monkeypatch):
+    """Texts of large heads are dealt out with the first one; only they and the heads' digests are exchanged, no words."""
+    monkeypatch.setattr(review, "HEAD_TEXTS", 3)
+    rng = np.random.default_rng(5)
+    words = "un Un deux trois quatre l’âne ÉTÉ été x1 «".split()
+    rows = [(i, (f"tête {i % 4 if i < 40 else i}" + "\n" * (i % 7 > 0) + " ".join(rng.choice(words, rng.integers(0, 25)))) if i % 11 else None) for i in rng.permutation(60).tolist()] + [(-1, "tête 1\n"), (61, ""), (62, ""), (None, "tête 1\nun")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["alignment_truth"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(f"select {', '.join(got.columns)} from ({ORACLE_SQL['alignment_truth']})".replace("id, offset", 'id, "offset"')).fetchall()
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(want)
