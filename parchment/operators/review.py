@@ -203,8 +203,8 @@ def _anchors(raw: Read, clean: Read) -> list[tuple[int, int]]:
     return found
 
 
-def corrections(raw: Read, clean: Read) -> Iterator[tuple[int, str, str]]:
-    """offset, word, expected: what turns raw into clean, from anchor to anchor."""
+def corrections(raw: Read, clean: Read) -> Iterator[tuple[str, list[tuple[int, str, str | None]]]]:
+    """whole, [(offset, word, expected)] from anchor to anchor: what turns raw into clean; where expected is None, it is whole."""
     anchors = _anchors(raw, clean)
     for (i, j), (i_end, j_end) in zip([(0, 0), *anchors], [*anchors, (len(raw.words), len(clean.words))]):
         x, y = raw.lows[i:i_end], clean.lows[j:j_end]
@@ -212,30 +212,40 @@ def corrections(raw: Read, clean: Read) -> Iterator[tuple[int, str, str]]:
         pre = next((k for k in range(least) if x[k] != y[k]), least)
         suf = next((k for k in range(least - pre) if x[n - 1 - k] != y[m - 1 - k]), least - pre)
         whole = " ".join(clean.words[j + pre : j_end - suf]) if n != m else ""
+        found = []
         for k in range(n):
             at = k if k < pre or n == m else m - n + k if k >= n - suf else None
-            expected = whole if at is None else clean.words[j + at]
-            if raw.words[i + k] != expected:
-                yield raw.offsets[i + k], raw.words[i + k], expected
+            expected = None if at is None else clean.words[j + at]
+            if raw.words[i + k] != (whole if expected is None else expected):
+                found.append((raw.offsets[i + k], raw.words[i + k], expected))
+        if found:
+            yield whole, found
+
+
+_FOUND = StructType([StructField("offset", LongType()), StructField("word", StringType()), StructField("expected", StringType())])
 
 
 def _told(found: Iterator[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (id, offset, word, expected) in pieces: many words may be to become the same long stretch, so they aren't held at once."""
-    schema = pa.schema([("id", kind), ("offset", pa.int64()), ("word", pa.string()), ("expected", pa.string())])
+    """Rows (id, whole, found) in pieces, so that a batch's aren't held at once."""
+    each = pa.list_(pa.struct([("offset", pa.int64()), ("word", pa.string()), ("expected", pa.string())]))
+    schema = pa.schema([("id", kind), ("whole", pa.string()), ("found", each)])
+    told = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     rows: list[tuple] = []
     size = 0
     for row in found:
         rows.append(row)
-        size += 64 + len(row[2]) + len(row[3])
+        size += len(row[1]) + 64 * len(row[2])
         if size >= BATCH_BYTES // 4:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield told(rows)
             rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield told(rows)
 
 
-def _truth_schema(df: DataFrame) -> StructType:
-    return StructType([StructField("id", df.schema["id"].dataType), StructField("offset", LongType()), StructField("word", StringType()), StructField("expected", StringType())])
+def _aligned(df: DataFrame, run) -> DataFrame:
+    """id, offset, word, expected. Many words may be to become one long stretch: it comes out of Python once and is given to each word after that."""
+    told = df.mapInArrow(run, StructType([df.schema["id"], StructField("whole", StringType()), StructField("found", ArrayType(_FOUND))]))
+    return told.select("id", "whole", F.explode("found").alias("f")).select("id", "f.offset", "f.word", F.coalesce("f.expected", "whole").alias("expected"))
 
 
 def alignment_truth(pairs: DataFrame) -> DataFrame:
@@ -251,7 +261,7 @@ def alignment_truth(pairs: DataFrame) -> DataFrame:
             each = zip(b.column("id"), b.column("raw"), b.column("clean"))
             yield from _told(((i.as_py(), *c) for i, r, t in each for c in corrections(_read(r.as_py()), _read(t.as_py()))), b.schema.field("id").type)
 
-    return pairs.select("id", "raw", "clean").mapInArrow(run, _truth_schema(pairs))
+    return _aligned(pairs.select("id", "raw", "clean"), run)
 
 
 #: Texts of a head that are aligned by one task at most, about; a larger head is dealt out, its first text with each part.
@@ -287,4 +297,4 @@ def alignment_to_first(texts: DataFrame) -> DataFrame:
 
             yield from _told(found(), b.schema.field("id").type)
 
-    return dealt.repartition("head", "part").sortWithinPartitions("head", "part", "id").mapInArrow(run, _truth_schema(texts))
+    return _aligned(dealt.repartition("head", "part").sortWithinPartitions("head", "part", "id"), run)
